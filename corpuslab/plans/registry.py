@@ -123,3 +123,207 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain on real HTML pages: tags, entities, attributes, colours."""
     p = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text"))
     return clean_text(p, "text")
+
+
+# ---------------------------------------------------------------------------
+# Documents, split, shards, index, heads
+# ---------------------------------------------------------------------------
+
+from corpuslab.functions import tokens as tk  # noqa: E402
+from corpuslab.operators import metrics as mt  # noqa: E402
+from corpuslab.operators import order as od  # noqa: E402
+from corpuslab.operators.explode import line_sample  # noqa: E402
+from corpuslab.plans import prepare_job as pj  # noqa: E402
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pj.load_docs(table(spark, sf_dir, "documents"))
+
+
+_DOCS_CTE = ("WITH docs AS (SELECT lang, doc_id, coalesce(text, '') AS text FROM documents "
+             f"WHERE length({o.strip_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')}) > 50), ")
+_SPLIT_CTE = _DOCS_CTE + """
+keyed AS (SELECT *, md5('42:' || CAST(doc_id AS VARCHAR)) AS k, count(*) OVER (PARTITION BY lang) AS n
+          FROM docs),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) AS rn,
+                  CASE WHEN n > 0 THEN greatest(1, floor(n * CAST(0.05 AS DOUBLE))) ELSE 0 END AS nval
+           FROM keyed),
+split AS (SELECT lang, doc_id, text, CASE WHEN rn <= nval THEN 'val' ELSE 'train' END AS split
+          FROM ranked) """
+
+
+@register("docs_loaded", _DOCS_CTE[:-2] + " SELECT lang, doc_id, text FROM docs")
+def docs_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3 + F7: documents kept for training (stripped length > 50)."""
+    return _docs(spark, sf_dir)
+
+
+@register("split_assignment", _SPLIT_CTE + "SELECT lang, doc_id, split FROM split")
+def split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact-size seeded validation split per language."""
+    return pj.split_docs(_docs(spark, sf_dir)).select("lang", "doc_id", "split")
+
+
+@register("split_counts", _SPLIT_CTE + """
+SELECT lang, CAST(count(*) AS BIGINT) AS loaded,
+       CAST(sum(CASE WHEN split = 'train' THEN 1 ELSE 0 END) AS BIGINT) AS train,
+       CAST(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) AS BIGINT) AS val,
+       round(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS val_pct
+FROM split GROUP BY lang""")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2."""
+    return pj.split_counts(pj.split_docs(_docs(spark, sf_dir)))
+
+
+@register("byte_totals", _SPLIT_CTE + """
+SELECT lang, split, CAST(sum(strlen(text)) AS BIGINT) AS bytes, CAST(count(*) AS BIGINT) AS docs
+FROM split GROUP BY ROLLUP (lang, split)""")
+def byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: UTF-8 bytes per language and split with rollup totals."""
+    return pj.byte_totals(pj.split_docs(_docs(spark, sf_dir)))
+
+
+@register("global_index", """
+SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx
+FROM documents""")
+def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: dense 0-based index per language in document order."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id")
+    return od.with_global_index(d, ["doc_id"], ["lang"], "idx")
+
+
+def _shards_sql(per: int, start: int) -> str:
+    return _SPLIT_CTE + f""",
+idx AS (SELECT lang, doc_id, split,
+               row_number() OVER (PARTITION BY lang, split ORDER BY doc_id) - 1 AS idx FROM split),
+sh AS (SELECT *, {start} + idx // {per} AS s FROM idx)
+SELECT lang, doc_id, split, idx,
+       CAST(CASE WHEN split = 'val' THEN 6542 ELSE s + CASE WHEN s >= 6542 THEN 1 ELSE 0 END END
+            AS INTEGER) AS shard
+FROM sh"""
+
+
+@register("shards", _shards_sql(50_000, 0))
+def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 + G2 with the reference constants (50,000 docs per shard, reserved 6542)."""
+    return pj.assign_shards(pj.split_docs(_docs(spark, sf_dir))).select(
+        "lang", "doc_id", "split", "idx", "shard")
+
+
+@register("shards_50_from_6535", _shards_sql(50, 6535))
+def shards_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 with 50 docs per shard starting at 6535, so numbering crosses the reserved 6542."""
+    return pj.assign_shards(pj.split_docs(_docs(spark, sf_dir)), 50, 6535).select(
+        "lang", "doc_id", "split", "idx", "shard")
+
+
+@register("head_articles_100", _CLEANED_CTE + """
+SELECT doc_id, lang, title FROM
+  (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn FROM valid)
+WHERE rn <= 100""")
+def head_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L1: the first 100 kept articles per language in dump order."""
+    arts = _valid_articles(spark, sf_dir).select("doc_id", "lang", "title")
+    return od.head(arts, 100, ["doc_id"], ["lang"])
+
+
+_LINES_CTE = _CLEANED_CTE + """,
+pars AS (SELECT lang, doc_id, CAST(generate_subscripts(arr, 1) AS INTEGER) AS para_pos,
+                unnest(arr) AS p
+         FROM (SELECT lang, doc_id, string_split(text, chr(10) || chr(10)) AS arr FROM valid)),
+spars AS (SELECT lang, doc_id, para_pos, """ + o.strip_sql("p") + """ AS p FROM pars),
+kept2 AS (SELECT * FROM spars WHERE length(p) > 20),
+lns AS (SELECT lang, doc_id, para_pos, CAST(generate_subscripts(la, 1) AS INTEGER) AS line_pos,
+               unnest(la) AS line
+        FROM (SELECT *, regexp_split_to_array(p, '\\r\\n|\\r|\\n') AS la FROM kept2)),
+numbered AS (SELECT lang, doc_id, line,
+                    row_number() OVER (PARTITION BY lang ORDER BY doc_id, para_pos, line_pos) - 1
+                      AS line_no FROM lns)
+"""
+
+
+def _line_sample_sql(n: int) -> str:
+    return _LINES_CTE + f"SELECT lang, doc_id, line_no, line FROM numbered WHERE line_no < {n}"
+
+
+def _lines(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    return line_sample(_valid_articles(spark, sf_dir).select("lang", "doc_id", "text"), n)
+
+
+@register("line_sample", _line_sample_sql(mt.TRAIN_SAMPLE_LINES))
+def line_sample_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + P2: the first 10,000 physical lines per language of the paragraph file."""
+    return _lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES)
+
+
+@register("line_sample_eval", _line_sample_sql(mt.EVAL_SAMPLE_LINES))
+def line_sample_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L2 + P2: the evaluation sample (5,000 lines)."""
+    return _lines(spark, sf_dir, mt.EVAL_SAMPLE_LINES)
+
+
+def _eff_sql(n: int, count_expr: str) -> str:
+    return _LINES_CTE + f""",
+s AS (SELECT lang, {o.strip_sql('line')} AS l FROM numbered WHERE line_no < {n}),
+per AS (SELECT lang, CAST({count_expr} AS BIGINT) AS t, length(l) AS c, strlen(l) AS b
+        FROM s WHERE l <> ''),
+agg AS (SELECT lang, sum(t) AS tt, sum(c) AS tc, sum(b) AS tb, count(*) AS lp FROM per GROUP BY lang)
+SELECT lang,
+  CASE WHEN tt > 0 THEN round(tb / tt, 4) END AS bytes_per_token,
+  CASE WHEN tt > 0 THEN round(tc / tt, 4) END AS chars_per_token,
+  CASE WHEN tt > 0 THEN round(tt / lp, 2) END AS tokens_per_line,
+  CAST(CASE WHEN tt > 0 THEN tt END AS BIGINT) AS total_tokens,
+  CAST(CASE WHEN tt > 0 THEN tc END AS BIGINT) AS total_chars,
+  CAST(CASE WHEN tt > 0 THEN tb END AS BIGINT) AS total_bytes,
+  CAST(CASE WHEN tt > 0 THEN lp END AS BIGINT) AS lines_processed,
+  CASE WHEN tt > 0 THEN NULL ELSE 'no tokens produced' END AS error
+FROM agg"""
+
+
+_SIMPLE_COUNT_SQL = f"len(regexp_extract_all(l, {o.q(tk.SIMPLE_PATTERN)}))"
+
+
+@register("efficiency_bytes", _eff_sql(mt.TRAIN_SAMPLE_LINES, "strlen(l)"))
+def efficiency_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 with byte-level tokens (B8) on the 10,000-line sample."""
+    return mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.byte_token_count)
+
+
+@register("efficiency_pretokens", _eff_sql(mt.TRAIN_SAMPLE_LINES, _SIMPLE_COUNT_SQL))
+def efficiency_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 with pattern pre-tokens (the look-ahead-free byte-level pattern)."""
+    return mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.pretoken_count)
+
+
+@register("efficiency_eval_pretokens", "SELECT lang, bytes_per_token, chars_per_token, "
+          "tokens_per_line, CASE WHEN error IS NULL THEN NULL ELSE 'no tokens' END AS error FROM ("
+          + _eff_sql(mt.EVAL_SAMPLE_LINES, _SIMPLE_COUNT_SQL) + ")")
+def efficiency_eval_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5: evaluation variant on the 5,000-line sample."""
+    return mt.efficiency_eval(_lines(spark, sf_dir, mt.EVAL_SAMPLE_LINES), tk.pretoken_count)
+
+
+@register("efficiency_compare", "WITH e AS (" + _eff_sql(mt.TRAIN_SAMPLE_LINES, _SIMPLE_COUNT_SQL)
+          + """), b AS (SELECT bytes_per_token AS base_bpt FROM e WHERE lang = 'en')
+SELECT 'en' AS baseline, e.lang, round(e.bytes_per_token - b.base_bpt, 4) AS bytes_per_token_delta,
+       round(e.bytes_per_token / b.base_bpt, 4) AS bytes_per_token_ratio
+FROM e LEFT JOIN b ON true WHERE e.lang <> 'en'""")
+def efficiency_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language against english ('en') on rounded bytes/token."""
+    eff = mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.pretoken_count)
+    return mt.compare(eff, "en")
+
+
+@register("byte_tokens", _DOCS_CTE[:-2] + """,
+h AS (SELECT lang, doc_id, text, hex(encode(text)) AS h FROM docs)
+SELECT lang, doc_id, CAST(strlen(text) AS INTEGER) AS n_ids,
+       CAST(('0x' || substr(h, 1, 2))::INTEGER AS INTEGER) AS first_id,
+       CAST(list_sum(list_transform(range(0, strlen(text)),
+                                    lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INTEGER)) AS BIGINT) AS id_sum
+FROM h""")
+def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every kept document (count, first id, sum of ids)."""
+    d = _docs(spark, sf_dir).select("lang", "doc_id", tk.byte_ids(F.col("text")).alias("ids"))
+    return d.select("lang", "doc_id", F.size("ids").alias("n_ids"),
+                    F.element_at("ids", 1).alias("first_id"),
+                    F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
