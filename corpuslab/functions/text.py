@@ -43,8 +43,10 @@ BLANK_RUN = r"[ \t]+"                         # T21 -> one space
 PUNCT_LINE = r"(?m)^\s*[|!:{}\[\]]\s*$"       # T22
 TEMPLATE_PASSES = 30
 TABLE_PASSES = 5
-# Python's str.strip() whitespace = Unicode White_Space plus U+001C..U+001F.
-STRIP = r"\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"  # T23/T24
+# Python's str.strip() whitespace (str.isspace): Unicode White_Space plus U+001C..U+001F.
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 + "".join(chr(c) for c in range(0x2000, 0x200B))
+                 + "\u2028\u2029\u202f\u205f\u3000")
 
 
 def _re(pattern: str) -> str:
@@ -55,7 +57,7 @@ def _sub(c: Column, pattern: str, repl: str = "") -> Column:
     return F.regexp_replace(c, _re(pattern), repl)
 
 
-def fixpoint_head(c: Column, pattern: str, unrolled: int = 2) -> Column:
+def fixpoint_head(c: Column, pattern: str, unrolled: int = 3) -> Column:
     """The first ``unrolled`` passes of ``pattern -> ''`` as plain expressions."""
     for _ in range(unrolled):
         c = _sub(c, pattern)
@@ -91,8 +93,8 @@ def _fixpoint(c: Column, pattern: str, max_passes: int, unrolled: int = 2) -> Co
 
 
 def strip(c: Column) -> Column:
-    """Python ``str.strip()`` (Unicode whitespace and U+001C..U+001F)."""
-    return F.regexp_replace(c, _re(STRIP), "")
+    """Python ``str.strip()``: ``btrim`` with the exact whitespace set (no regex)."""
+    return F.btrim(c, F.lit(PY_WHITESPACE))
 
 
 def remove_templates(c: Column) -> Column:

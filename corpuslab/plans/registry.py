@@ -17,7 +17,7 @@ from corpuslab.plans import dump_job
 from corpuslab.plans import oracle as o
 from corpuslab.plans.views import wikified_documents
 from corpuslab.profiles import ENGLISH, ESPERANTO
-from corpuslab.session import table
+from corpuslab.session import cut_lineage, table
 
 PROFILES = o.QUERY_PROFILES
 
@@ -42,6 +42,12 @@ def _valid_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dump_job.articles(wikified_documents(spark, sf_dir), ENGLISH, "lang", PROFILES)
 
 
+def _articles_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned articles written once to the checkpoint folder (the job's article
+    output); order-dependent steps read it several times without re-cleaning."""
+    return cut_lineage(_valid_articles(spark, sf_dir))
+
+
 def _title_sql(prof) -> str:
     return " OR ".join(f"starts_with(title, {o.q(p)})" for p in prof.title_prefixes)
 
@@ -223,7 +229,7 @@ SELECT doc_id, lang, title FROM
 WHERE rn <= 100""")
 def head_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1: the first 100 kept articles per language in dump order."""
-    arts = _valid_articles(spark, sf_dir).select("doc_id", "lang", "title")
+    arts = _articles_table(spark, sf_dir).select("doc_id", "lang", "title")
     return od.head(arts, 100, ["doc_id"], ["lang"])
 
 
@@ -247,7 +253,7 @@ def _line_sample_sql(n: int) -> str:
 
 
 def _lines(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return line_sample(_valid_articles(spark, sf_dir).select("lang", "doc_id", "text"), n)
+    return line_sample(_articles_table(spark, sf_dir).select("lang", "doc_id", "text"), n)
 
 
 @register("line_sample", _line_sample_sql(mt.TRAIN_SAMPLE_LINES))

@@ -71,5 +71,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+TEXT_TABLES = frozenset({"documents", "pages", "conversations", "benchmark"})
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give per-row heavy work (regex chains, tokenising) every core.
+
+    A scan has one task per file split; a small table in one row group is one
+    task. When the scan has fewer partitions than the default parallelism, deal
+    the rows round-robin (deterministic on retry) over that many. Large inputs
+    already have enough splits and are left alone, so no shuffle is added there.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
