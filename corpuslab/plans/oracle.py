@@ -117,7 +117,7 @@ def runs_cte(max_event_id: int = 24, one_seed_mod3: bool = False) -> str:
         "CAST(event_id // 8 AS INTEGER) AS seed, "
         "CASE WHEN (event_id // 4) % 2 = 0 THEN 'bpe' ELSE 'byte' END AS tokenizer_type, "
         "value AS val_bpb, CAST(user_id * 1000 AS BIGINT) AS tokens, value AS wallclock_s, "
-        "props AS hparams_json, "
+        "props AS hparams_json, event_id AS run_ord, "
         "'[' || CAST(value + 3.0 AS VARCHAR) || ',' || CAST(value + 1.0 AS VARCHAR) || ',' "
         "|| CAST(value AS VARCHAR) || ']' AS val_bpb_curve "
         f"FROM events WHERE event_id < {max_event_id}{extra})"

@@ -333,3 +333,219 @@ def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("lang", "doc_id", F.size("ids").alias("n_ids"),
                     F.element_at("ids", 1).alias("first_id"),
                     F.aggregate("ids", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("id_sum"))
+
+
+# ---------------------------------------------------------------------------
+# Runs table: bootstrap, criterion, verdicts, summaries
+# ---------------------------------------------------------------------------
+
+from corpuslab.operators import stats as st  # noqa: E402
+from corpuslab.plans.views import runs_from_events  # noqa: E402
+
+
+def _cells_sql(max_event_id: int) -> str:
+    return "WITH " + o.runs_cte(max_event_id) + """,
+cells AS (SELECT language, size, tokenizer_type, list(val_bpb ORDER BY run_ord) AS vals,
+                 count(*) AS n FROM runs GROUP BY language, size, tokenizer_type)"""
+
+
+def _ci_sql(max_event_id: int) -> str:
+    return _cells_sql(max_event_id) + """,
+reps AS (SELECT c.*, r.rep FROM cells c, range(0, 10000) r(rep)),
+means AS (SELECT language, size, tokenizer_type,
+                 list_sum(list_transform(range(0, n), lambda j:
+                   vals[(('0x' || substr(md5(concat_ws(':', '42', rep, j)), 1, 8))::BIGINT % n) + 1]))
+                 / n AS m FROM reps),
+q AS (SELECT language, size, tokenizer_type, quantile_cont(m, 0.025) AS lo,
+             quantile_cont(m, 0.975) AS hi FROM means GROUP BY language, size, tokenizer_type),
+ci AS (SELECT c.language, c.size, c.tokenizer_type, list_sum(c.vals) / c.n AS mean, q.lo AS ci_lo,
+              q.hi AS ci_hi, CAST(c.n AS BIGINT) AS n
+       FROM cells c JOIN q ON c.language = q.language AND c.size = q.size
+                          AND c.tokenizer_type = q.tokenizer_type)"""
+
+
+def _ci_query_sql(max_event_id: int) -> str:
+    return _ci_sql(max_event_id) + """
+SELECT language, size, tokenizer_type, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo,
+       round(ci_hi, 6) AS ci_hi, n FROM ci"""
+
+
+def _eval_sql(max_event_id: int) -> str:
+    return _ci_sql(max_event_id) + """,
+grid AS (SELECT DISTINCT s.size, t.tokenizer_type, l.language
+         FROM (SELECT DISTINCT size FROM runs) s, (SELECT DISTINCT tokenizer_type FROM runs) t,
+              (SELECT DISTINCT language FROM runs WHERE language <> 'english') l),
+j AS (SELECT g.size, g.tokenizer_type, g.language,
+             b.mean AS b_mean, b.ci_lo AS b_lo, b.ci_hi AS b_hi, coalesce(b.n, 0) AS bn,
+             t.mean AS t_mean, t.ci_lo AS t_lo, t.ci_hi AS t_hi, coalesce(t.n, 0) AS tn
+      FROM grid g
+      LEFT JOIN ci b ON b.language = 'english' AND b.size = g.size AND b.tokenizer_type = g.tokenizer_type
+      LEFT JOIN ci t ON t.language = g.language AND t.size = g.size AND t.tokenizer_type = g.tokenizer_type),
+k AS (SELECT *, bn >= 2 AND tn >= 2 AS ok, b_lo * (1 - 0.05) AS thr,
+             upper(substr(language, 1, 1)) || substr(language, 2) AS nm FROM j),
+ev AS (SELECT size, tokenizer_type, language,
+  CASE WHEN ok THEN 'ok' ELSE 'insufficient_seeds' END AS status,
+  CAST(bn AS BIGINT) AS baseline_n, CAST(tn AS BIGINT) AS treatment_n,
+  CASE WHEN ok THEN round(b_mean, 4) END AS baseline_mean,
+  CASE WHEN ok THEN round(b_lo, 4) END AS baseline_ci_lo,
+  CASE WHEN ok THEN round(b_hi, 4) END AS baseline_ci_hi,
+  CASE WHEN ok THEN round(t_mean, 4) END AS treatment_mean,
+  CASE WHEN ok THEN round(t_lo, 4) END AS treatment_ci_lo,
+  CASE WHEN ok THEN round(t_hi, 4) END AS treatment_ci_hi,
+  CASE WHEN ok THEN round(CASE WHEN b_mean > 0 THEN (b_mean - t_mean) / b_mean ELSE 0.0 END, 4) END
+    AS relative_reduction,
+  CASE WHEN ok THEN round(thr, 4) END AS threshold_for_criterion,
+  CASE WHEN ok THEN t_hi < thr END AS criterion_met,
+  CASE WHEN ok THEN (CASE WHEN t_hi < thr
+    THEN printf('H1 SUPPORTED at %s (%s): %s CI upper (%.4f) < threshold (%.4f)',
+                size, tokenizer_type, nm, t_hi, thr)
+    ELSE printf('H1 NOT SUPPORTED at %s (%s): %s CI upper (%.4f) >= threshold (%.4f)',
+                size, tokenizer_type, nm, t_hi, thr) END) END AS interpretation
+  FROM k)"""
+
+
+def _runs(spark: SparkSession, sf_dir: str, max_event_id: int = 24) -> DataFrame:
+    return runs_from_events(spark, sf_dir, max_event_id)
+
+
+@register("runs_cells", _cells_sql(24) + """
+SELECT language, size, tokenizer_type, CAST(n AS BIGINT) AS n, round(list_sum(vals) / n, 6) AS mean
+FROM cells""")
+def runs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores grouped by (language, size, tokenizer_type) in file order."""
+    c = st.cells(_runs(spark, sf_dir))
+    return c.select(*st.CELL, "n", F.round(F.aggregate("vals", F.lit(0.0), lambda a, x: a + x)
+                                           / F.col("n"), 6).alias("mean"))
+
+
+@register("bootstrap_ci", _ci_query_sql(24))
+def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """10,000-resample percentile interval of the mean per cell (3 seeds)."""
+    ci = st.bootstrap(st.cells(_runs(spark, sf_dir)))
+    return ci.select(*st.CELL, *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
+
+
+@register("bootstrap_ci_50_seeds", _ci_query_sql(400))
+def bootstrap_ci_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E1 on cells of 50 seeds, where the interval is narrower than [min, max]."""
+    ci = st.bootstrap(st.cells(_runs(spark, sf_dir, 400)))
+    return ci.select(*st.CELL, *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
+
+
+@register("significance", _eval_sql(24) + " SELECT * FROM ev")
+def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per size x tokenizer type, the pre-registered criterion."""
+    return st.evaluate(_runs(spark, sf_dir))
+
+
+@register("significance_sparse", _eval_sql(12) + " SELECT * FROM ev")
+def significance_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells with fewer than 2 seeds give the insufficient-seeds record."""
+    return st.evaluate(_runs(spark, sf_dir, 12))
+
+
+@register("verdict", _eval_sql(24) + """
+SELECT tokenizer_type, language,
+       CASE WHEN sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) > 0 THEN NULL
+            ELSE bool_and(criterion_met) END AS h1_supported,
+       CAST(count(*) AS BIGINT) AS sizes
+FROM ev GROUP BY tokenizer_type, language""")
+def verdict_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The criterion must hold at every size."""
+    return st.verdict(st.evaluate(_runs(spark, sf_dir)))
+
+
+@register("outcome", _eval_sql(24) + """,
+v AS (SELECT tokenizer_type, language,
+             CASE WHEN sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) > 0 THEN NULL
+                  ELSE bool_and(criterion_met) END AS h
+      FROM ev GROUP BY tokenizer_type, language),
+p AS (SELECT language, max(CASE WHEN tokenizer_type = 'bpe' THEN h END) AS bpe,
+             max(CASE WHEN tokenizer_type = 'byte' THEN h END) AS byte
+      FROM v GROUP BY language)
+SELECT language, bpe AS bpe_supported, byte AS byte_supported,
+       CASE WHEN bpe AND byte THEN 'strong_positive'
+            WHEN bpe AND NOT coalesce(byte, false) THEN 'tokenization_only'
+            WHEN bpe IS NULL THEN 'undetermined' ELSE 'null' END AS outcome
+FROM p""")
+def outcome_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome class from the bpe and byte verdicts."""
+    return st.outcome(st.evaluate(_runs(spark, sf_dir)))
+
+
+@register("bar_table", _ci_sql(24) + """
+SELECT tokenizer_type, size, language, substr(language, 1, 2) || '-' || size AS label,
+       round(mean, 6) AS mean, round(mean - ci_lo, 6) AS lo_err, round(ci_hi - mean, 6) AS hi_err,
+       CASE WHEN language = 'english' THEN 0 ELSE 1 END AS baseline_last
+FROM ci""")
+def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-cell mean and interval distances (the bar chart as a table)."""
+    return st.bar_table(_runs(spark, sf_dir))
+
+
+@register("learning_curve", "WITH " + o.runs_cte(24) + """,
+pts AS (SELECT language, size, tokenizer_type,
+               CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS step, unnest(c) AS v
+        FROM (SELECT *, CAST(val_bpb_curve AS DOUBLE[]) AS c FROM runs))
+SELECT language, size, tokenizer_type, step, round(avg(v), 6) AS mean, min(v) AS min, max(v) AS max,
+       CAST(count(*) AS BIGINT) AS n
+FROM pts GROUP BY language, size, tokenizer_type, step""")
+def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """val_bpb by step per cell."""
+    return st.learning_curve(_runs(spark, sf_dir))
+
+
+@register("cell_costs", "WITH " + o.runs_cte(24) + """
+SELECT language, size, tokenizer_type, round(avg(wallclock_s), 6) AS avg_wallclock_s,
+       CAST(sum(tokens) AS BIGINT) AS total_tokens, CAST(count(*) AS BIGINT) AS runs
+FROM runs GROUP BY language, size, tokenizer_type""")
+def cell_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wall clock and training tokens per cell."""
+    return st.cell_costs(_runs(spark, sf_dir))
+
+
+@register("side_by_side", "WITH " + o.runs_cte(24) + """
+SELECT language, size,
+       round(avg(CASE WHEN tokenizer_type = 'bpe' THEN val_bpb END), 6) AS bpe_val_bpb,
+       round(avg(CASE WHEN tokenizer_type = 'byte' THEN val_bpb END), 6) AS byte_val_bpb
+FROM runs GROUP BY language, size""")
+def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10: byte-level and BPE results side by side."""
+    return st.side_by_side(_runs(spark, sf_dir))
+
+
+@register("run_count", "WITH " + o.runs_cte(24) + " SELECT CAST(count(*) AS BIGINT) AS runs FROM runs")
+def run_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A11."""
+    return st.run_count(_runs(spark, sf_dir))
+
+
+@register("summary_lines", _eval_sql(24) + """,
+body AS (SELECT CAST(row_number() OVER (ORDER BY size, tokenizer_type, language) + 4 AS BIGINT)
+                  AS line_no,
+                CASE WHEN status <> 'ok' THEN '- **' || size || '-' || tokenizer_type
+                       || '**: insufficient seeds'
+                     ELSE '- **' || size || '-' || tokenizer_type || '**: ' || interpretation END
+                  AS line FROM ev),
+info AS (SELECT (SELECT count(*) FROM runs) AS runs, (SELECT count(*) FROM ev) AS k)
+SELECT * FROM body
+UNION ALL SELECT 1, '""" + st.SUMMARY_TITLE + """'
+UNION ALL SELECT 2, ''
+UNION ALL SELECT 3, '""" + st.SUMMARY_HEADING + """'
+UNION ALL SELECT 4, ''
+UNION ALL SELECT CAST(k + 5 AS BIGINT), '' FROM info
+UNION ALL SELECT CAST(k + 6 AS BIGINT), 'Total runs loaded: ' || runs FROM info""")
+def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: the markdown summary report as numbered lines."""
+    return st.summary_lines(_runs(spark, sf_dir))
+
+
+@register("val_bpb_from_losses", """
+SELECT lang AS run_id, sum(length(text) * 0.9) / (ln(2.0) * sum(strlen(text))) AS val_bpb
+FROM documents GROUP BY lang""")
+def val_bpb_from_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A8 on a validation-loss table derived from documents (nll = 0.9 nats per character)."""
+    d = table(spark, sf_dir, "documents")
+    losses = d.select(F.col("lang").alias("run_id"), "doc_id",
+                      (F.char_length("text") * 0.9).alias("nll_nats"), "text")
+    return st.val_bpb(losses)

@@ -80,6 +80,7 @@ def runs_from_events(spark: SparkSession, sf_dir: str, max_event_id: int = 24,
         (F.col("user_id") * 1000).cast("bigint").alias("tokens"),
         F.col("value").alias("wallclock_s"),
         F.col("props").alias("hparams_json"),
+        eid.alias("run_ord"),
         F.concat(F.lit("["), _s(F.col("value") + 3.0), F.lit(","), _s(F.col("value") + 1.0),
                  F.lit(","), _s(F.col("value")), F.lit("]")).alias("val_bpb_curve"),
     )
