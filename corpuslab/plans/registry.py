@@ -549,3 +549,76 @@ def val_bpb_from_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     losses = d.select(F.col("lang").alias("run_id"), "doc_id",
                       (F.char_length("text") * 0.9).alias("nll_nats"), "text")
     return st.val_bpb(losses)
+
+
+# ---------------------------------------------------------------------------
+# Pre-tokens and byte-pair vocabularies (merge learning is iterative: rows-only check)
+# ---------------------------------------------------------------------------
+
+from corpuslab.operators import bpe  # noqa: E402
+
+BPE_QUERY_MERGES = 32  # merges learned per language in the registered queries
+
+
+def _split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(pj.split_docs(_docs(spark, sf_dir)))
+
+
+@register("pretoken_freqs_simple", _SPLIT_CTE + f""",
+w AS (SELECT lang, unnest(regexp_extract_all(substr(text, 1, 10000), {o.q(tk.SIMPLE_PATTERN)})) AS word
+      FROM split WHERE split = 'train')
+SELECT lang, word, CAST(count(*) AS BIGINT) AS freq FROM w GROUP BY lang, word""")
+def pretoken_freqs_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 + T25 with the look-ahead-free pattern: pre-token frequencies of the train split."""
+    train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
+    return bpe.word_freqs(train, pattern=tk.SIMPLE_PATTERN).select("lang", "word", "freq")
+
+
+@register("pretoken_freqs")
+def pretoken_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 + T25 with the training split pattern (possessive, look-ahead: Java only)."""
+    train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
+    return bpe.word_freqs(train).select("lang", "word", "freq")
+
+
+def _bpe_state(spark: SparkSession, sf_dir: str):
+    split = _split_table(spark, sf_dir)
+    words = bpe.word_freqs(split.where(F.col("split") == "train"))
+    m = bpe.learn_merges(words, BPE_QUERY_MERGES)
+    all_words = bpe.word_freqs(split, by=["lang", "split"], prefix_chars=None)
+    enc = bpe.encode_words(all_words, m)
+    return split, m, all_words, enc
+
+
+@register("bpe_merges")
+def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merges learned per language on the train split (ranked)."""
+    split = _split_table(spark, sf_dir)
+    words = bpe.word_freqs(split.where(F.col("split") == "train"))
+    return bpe.learn_merges(words, BPE_QUERY_MERGES).frame(spark)
+
+
+@register("bpe_token_counts")
+def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B4 + B5 + A3: tokens and UTF-8 bytes per language and split."""
+    split, m, all_words, enc = _bpe_state(spark, sf_dir)
+    counts = bpe.token_counts(all_words, enc, ["lang", "split"])
+    b = split.groupBy("lang", "split").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+    return counts.join(b, ["lang", "split"]).select("lang", "split", "tokens", "bytes")
+
+
+@register("bpe_roundtrip")
+def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """decode(encode(word)) = word for every distinct word (mismatches expected 0)."""
+    split, m, all_words, enc = _bpe_state(spark, sf_dir)
+    return bpe.roundtrip_mismatches(enc, bpe.vocab_table(spark, m, "train"))
+
+
+@register("token_bytes")
+def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7 + K6: vocabulary with true and decoded-alone byte lengths per token."""
+    split = _split_table(spark, sf_dir)
+    words = bpe.word_freqs(split.where(F.col("split") == "train"))
+    m = bpe.learn_merges(words, BPE_QUERY_MERGES)
+    return bpe.vocab_table(spark, m, "train").select("lang", "token_id", "is_special", "n_bytes",
+                                                     "n_bytes_decoded")
