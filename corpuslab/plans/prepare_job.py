@@ -51,3 +51,20 @@ def byte_totals(split: DataFrame) -> DataFrame:
         F.sum(F.octet_length("text")).cast("bigint").alias("bytes"),
         F.count("*").cast("bigint").alias("docs"),
     )
+
+
+def match_token_budget(docs: DataFrame, n_col: str = "n_tokens", order: str = "doc_id",
+                       by: str = "lang") -> DataFrame:
+    """L3: cut every corpus to the smallest corpus's token total.
+
+    Running token starts per language come from ``with_running_sum`` (no
+    unpartitioned window); the budget is one row, attached by a broadcast on a
+    constant key. Documents starting below the budget are kept; the boundary
+    document keeps ``budget - start`` tokens (``kept_tokens``; slice ids with it).
+    """
+    starts = od.with_running_sum(docs, [order], n_col, [by], "start")
+    budget = docs.groupBy(by).agg(F.sum(n_col).alias("tot")).agg(F.min("tot").alias("budget"))
+    j = starts.withColumn("__k", F.lit(0)).join(
+        F.broadcast(budget.withColumn("__k", F.lit(0))), "__k").drop("__k")
+    return j.where(F.col("start") < F.col("budget")).withColumn(
+        "kept_tokens", F.least(F.col(n_col), F.col("budget") - F.col("start")).cast("bigint"))

@@ -212,14 +212,14 @@ FROM sh"""
 @register("shards", _shards_sql(50_000, 0))
 def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G1 + G2 with the reference constants (50,000 docs per shard, reserved 6542)."""
-    return pj.assign_shards(pj.split_docs(_docs(spark, sf_dir))).select(
+    return pj.assign_shards(_split_table(spark, sf_dir)).select(
         "lang", "doc_id", "split", "idx", "shard")
 
 
 @register("shards_50_from_6535", _shards_sql(50, 6535))
 def shards_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 with 50 docs per shard starting at 6535, so numbering crosses the reserved 6542."""
-    return pj.assign_shards(pj.split_docs(_docs(spark, sf_dir)), 50, 6535).select(
+    return pj.assign_shards(_split_table(spark, sf_dir), 50, 6535).select(
         "lang", "doc_id", "split", "idx", "shard")
 
 
@@ -622,3 +622,17 @@ def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = bpe.learn_merges(words, BPE_QUERY_MERGES)
     return bpe.vocab_table(spark, m, "train").select("lang", "token_id", "is_special", "n_bytes",
                                                      "n_bytes_decoded")
+
+
+@register("token_budget_bytes", _SPLIT_CTE + """,
+t AS (SELECT lang, doc_id, strlen(text) AS n FROM split WHERE split = 'train'),
+r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY lang ORDER BY doc_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t),
+b AS (SELECT min(tot) AS budget FROM (SELECT lang, sum(n) AS tot FROM t GROUP BY lang))
+SELECT lang, doc_id, CAST(least(n, budget - s) AS BIGINT) AS kept_tokens
+FROM r, b WHERE s < budget""")
+def token_budget_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3: train corpora cut to the smallest one's byte-token total, in document order."""
+    split = _split_table(spark, sf_dir).where(F.col("split") == "train")
+    docs = split.select("lang", "doc_id", tk.byte_token_count(F.col("text")).alias("n_tokens"))
+    return pj.match_token_budget(docs).select("lang", "doc_id", "kept_tokens")
