@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import SPACE_CHARS, words
 
 #: Function words of the four languages of the corpus.
-STOP_WORDS = ("the of and to in is that it for was with as be by on not "
+STOP_WORDS = list(dict.fromkeys(("the of and to in is that it for was with as be by on not "
               "der die und den von zu das mit sich des auf für ist im dem nicht ein eine "
               "le la les de des et en un une du est que qui dans pour "
-              "el los las y del se por con para una no su al").split()
+              "el los las y del se por con para una no su al").split()))
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 WINDOW = 5
 
 #: name, SQL over the statistics, lowest and highest value (either may be None).
@@ -46,7 +46,7 @@ def _repeat_words(sorted_windows: str, positions: str) -> tuple[Column, Column]:
     s = F.col(sorted_windows)
     same = F.filter(s, lambda x, i: (F.when(i > 0, F.get(s, i - 1)["h"] == x["h"]).otherwise(False))
                     | F.coalesce(F.get(s, i + 1)["h"] == x["h"], F.lit(False)))
-    starts = F.array_sort(F.transform(same, lambda x: x["i"]))
+    starts = F.sort_array(F.transform(same, lambda x: x["i"]))
     p = F.col(positions)
     covered = F.aggregate(
         F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW)))),
@@ -62,25 +62,26 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "_q_") ->
     out = docs.withColumn(t, spaced).withColumn(w, words(F.col(t)))
     lines = F.filter(F.split(F.col(t), "\n", -1), lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != "")
     wc = F.col(w)
-    windows = F.when(F.size(wc) >= WINDOW, F.array_sort(F.transform(
-        F.sequence(F.lit(0), F.size(wc) - WINDOW),
-        lambda i: F.struct(F.xxhash64(*[F.get(wc, i + k) for k in range(WINDOW)]).alias("h"), i.alias("i")))))
-    out = out.withColumns({
-        f"{prefix}lines": lines,
-        f"{prefix}s": F.coalesce(windows, F.array().cast("array<struct<h:bigint,i:int>>")),
-    })
+    out = out.withColumns({f"{prefix}lines": lines, f"{prefix}h": F.transform(wc, lambda x: F.xxhash64(x))})
+    # an array that a lambda visits is used more than once here, or the optimizer would move
+    # its expression into the lambda and build it again for every element
+    windows = F.slice(F.transform(c("h"), lambda x, i: F.xxhash64(F.slice(c("h"), i + 1, F.lit(WINDOW)))),
+                      F.lit(1), F.greatest(F.size(c("h")) - WINDOW + 1, F.lit(0)))
+    out = out.withColumn(f"{prefix}h", windows)
+    # most texts repeat no window: a hash set tells, and only the others are sorted
+    repeats = F.size(F.array_distinct(c("h"))) < F.size(c("h"))
+    out = out.withColumn(f"{prefix}s", F.when(repeats, F.sort_array(F.transform(
+        c("h"), lambda x, i: F.struct(x.alias("h"), i.alias("i"))))).otherwise(
+        F.array().cast("array<struct<h:bigint,i:int>>")))
     starts, covered = _repeat_words(f"{prefix}s", f"{prefix}p")
     out = out.withColumn(f"{prefix}p", starts)
-    stop = F.array(*[F.lit(x) for x in dict.fromkeys(STOP_WORDS)])
-    tc = F.col(t)
-    chars = F.length(F.translate(tc, SPACE_CHARS, ""))
-    symbols = F.length(tc) - F.length(F.translate(tc, SYMBOLS, ""))
     values = {
-        "n_words": F.size(wc), "word_chars": chars, "n_symbols": symbols,
+        "n_words": F.size(wc), "word_chars": F.length(F.array_join(wc, "")),
+        "n_symbols": F.regexp_count(F.col(t), F.lit(SYMBOLS)),
         "n_lines": F.size(c("lines")),
         "n_dup_lines": F.size(c("lines")) - F.size(F.array_distinct(c("lines"))),
         "n_repeat_words": covered,
-        "n_stop": F.size(F.filter(wc, lambda x: F.array_contains(stop, F.lower(x)))),
+        "n_stop": F.size(F.filter(wc, lambda x: F.lower(x).isin(STOP_WORDS))),
     }
     # a generator of one row: a filter on the statistics isn't pushed below it, where their
     # arrays would be built again for every element that a lambda visits
@@ -128,7 +129,7 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 _W = r"[^\x20\x09-\x0D]+"
-_STOP_SQL = ", ".join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))
+_STOP_SQL = ", ".join(f"'{x}'" for x in STOP_WORDS)
 
 OP10_SQL = rf"""
 WITH d AS (
