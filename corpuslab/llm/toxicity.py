@@ -4,7 +4,7 @@ Method: a noisy channel turns letters into look-alikes (``1d1ot``), puts separat
 them (``i.d.i.o.t``, ``i d i o t``) or repeats them. Each suspicious token is a lattice: every
 character may stand for some letters, for nothing, or be one of a run; Viterbi finds the
 cheapest letters under a character trigram model. The restored words are scored by a
-logistic model over the words that separate the labels.
+logistic model over the words and word stems that separate the labels.
 
 The trigram model counts all documents (a table of at most ``SYMBOLS**3`` cells over a fixed
 alphabet reaches the driver, whatever the corpus). Labels are learnt from at most
@@ -35,8 +35,10 @@ from .common import broadcast_if_small, cut, read
 
 MAX_TRAIN = 20_000
 MAX_WORDS = 2_000
-LEAST_DOCS = 3
+#: Least log-likelihood ratio of a word: about twice the logarithm of the number of words tried.
+LEAST_EVIDENCE = 16.0
 THRESHOLD = 0.3
+STEMS = (5, 7)
 #: Restored tokens a worker remembers before it starts afresh.
 MAX_CACHED = 300_000
 
@@ -50,11 +52,11 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
               "µ": "u", "¥": "y", "*": "aeiou", "#": "h", "%": ""}
 SEPARATORS = "._-~'`^,;:/\\=\"[]{}()&?"
-COST_LOOKALIKE, COST_GAP, COST_VOWEL, COST_DROP = 0.7, 0.3, 1.5, 2.5
+COST_LOOKALIKE, COST_GAP, COST_VOWEL, COST_DROP = 0.7, 0.3, 1.5, 5.0
 
 SUSPICIOUS = re.compile(r"[^\W\d_][^\w\s]+[^\W_]|[0-9@$!|+€£*#][^\W\d_]|[^\W\d_][0-9@$!|+€£*#]|_|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|](?: [a-z0-9@$!|]){2,}(?!\S)")
-EDGES = re.compile(r"^[^\w@$!|+]+|[^\w@$!]+$|[@$!]{3,}$")
+EDGES = re.compile(r"^[^\w@$!|+]+|[^\w@$]+$|[@$!]{3,}$")
 
 
 class Decoder:
@@ -97,7 +99,9 @@ class Decoder:
                 options = [(c * n, 0.0)] if n <= 2 else [(c, COST_GAP), (c * 2, COST_GAP)]
             elif letters is not None:
                 cost = COST_VOWEL if c == "*" else COST_LOOKALIKE
-                options = [(x * k, cost) for x in letters for k in ((1,) if n == 1 else (1, 2))] + [("", COST_DROP)]
+                options = [(x * k, cost) for x in letters for k in ((1,) if n == 1 else (1, 2))]
+                if not options or i == n or i == len(token):  # at an edge it may be punctuation or a number
+                    options.append(("", COST_DROP))
             elif c in SEPARATORS or not c.isalnum():
                 options = [("", COST_GAP)]
             else:
@@ -139,6 +143,24 @@ class Decoder:
         return out
 
 
+def evidence(words: Counter) -> list[str]:
+    """Features of a text: its words, the stems (first 5 and 7 letters) of its longer words,
+    and stems that occur twice and three times."""
+    stems: Counter = Counter()
+    for w, n in words.items():
+        for k in STEMS:
+            if len(w) > k:
+                stems[w[:k]] += n
+    out = list(words)
+    for stem, n in stems.items():
+        out.append(stem + "*")
+        if n > 1:
+            out.append(stem + "*2")
+            if n > 2:
+                out.append(stem + "*3")
+    return out
+
+
 def trigram_counts(docs: DataFrame) -> np.ndarray:
     """Counts of (symbol, symbol, symbol) over the lower-cased texts of all documents."""
 
@@ -181,18 +203,19 @@ def train(docs: DataFrame, labels: DataFrame, decoder, max_train: int) -> tuple[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            words = [list(decoder.value.restored(x)) for x in pdf["text"]]
+            words = [evidence(decoder.value.restored(x)) for x in pdf["text"]]
             yield pd.DataFrame({"y": pdf["y"], "words": pd.Series(words, dtype=object)})
 
     rows = cut(rows.select("y", "text").mapInPandas(run, "y int, words array<string>")
                .withColumn("row", F.monotonically_increasing_id()))
     n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     share = (pos + 0.5) / (n + 1)
-    # words by how far their share of toxic rows is from the whole, in standard deviations
+    # words by the log-likelihood ratio of their share of toxic rows against the whole
+    part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / (F.col("n") * q))).otherwise(0.0)
     stat = (rows.select("y", F.explode("words").alias("word")).groupBy("word")
-            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).where(F.col("n") >= LEAST_DOCS)
-            .withColumn("z", F.abs(F.col("p") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)))
-            .orderBy(F.desc("z"), "word").limit(MAX_WORDS).select("word").collect())
+            .agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).withColumn("c", F.col("n") - F.col("p"))
+            .withColumn("g", 2 * (part("p", share) + part("c", 1 - share))).where(F.col("g") >= LEAST_EVIDENCE)
+            .orderBy(F.desc("g"), "word").limit(MAX_WORDS).select("word").collect())
     vocabulary = {r["word"]: i for i, r in enumerate(stat)}
     wanted = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
     found = rows.select("y", F.array_intersect("words", wanted).alias("words")).orderBy("row").collect()  # bounded rows
@@ -234,7 +257,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRA
         for batch in texts:
             out = []
             for text in batch:
-                found = [number[x] for x in decoder.value.restored(text) if x in number]
+                found = [number[x] for x in evidence(decoder.value.restored(text)) if x in number]
                 out.append(1 / (1 + np.exp(-np.clip(w[found].sum() + w[-1], -30, 30))))
             yield pd.Series(out, dtype=float)
 
