@@ -52,7 +52,7 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
               "µ": "u", "¥": "y", "*": "aeiou", "#": "h", "%": ""}
 SEPARATORS = "._-~'`^,;:/\\=\"[]{}()&?"
-COST_LOOKALIKE, COST_GAP, COST_VOWEL, COST_DROP = 0.7, 0.3, 1.5, 5.0
+COST_LOOKALIKE, COST_GAP, COST_VOWEL, COST_FEWER, COST_DROP = 0.7, 0.3, 1.5, 4.0, 10.0
 
 SUSPICIOUS = re.compile(r"[^\W\d_][^\w\s]+[^\W_]|[0-9@$!|+€£*#][^\W\d_]|[^\W\d_][0-9@$!|+€£*#]|_|([^\W\d_])\1\1")
 SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|](?: [a-z0-9@$!|]){2,}(?!\S)")
@@ -99,7 +99,7 @@ class Decoder:
                 options = [(c * n, 0.0)] if n <= 2 else [(c, COST_GAP), (c * 2, COST_GAP)]
             elif letters is not None:
                 cost = COST_VOWEL if c == "*" else COST_LOOKALIKE
-                options = [(x * k, cost) for x in letters for k in ((1,) if n == 1 else (1, 2))]
+                options = [(x * k, cost + (k < n == 2) * COST_FEWER) for x in letters for k in ((1,) if n == 1 else (1, 2))]
                 if not options or i == n or i == len(token):  # at an edge it may be punctuation or a number
                     options.append(("", COST_DROP))
             elif c in SEPARATORS or not c.isalnum():
