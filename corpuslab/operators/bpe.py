@@ -43,9 +43,10 @@ KEY_SHIFT = 1 << 20  # pair key = left * KEY_SHIFT + right (ids stay below 2^20)
 
 
 def word_freqs(texts: DataFrame, text_col: str = "text", by: list[str] | None = None,
-               pattern: str = TRAIN_SPLIT_PATTERN, prefix_chars: int | None = TRAIN_PREFIX_CHARS
+               pattern: str = TRAIN_SPLIT_PATTERN, prefix_chars: int | None = None
                ) -> DataFrame:
-    """B1 (+T25): ``(by…, word, freq, syms)`` with ``syms`` the UTF-8 bytes of the word."""
+    """B1: ``(by…, word, freq, syms)`` with ``syms`` the UTF-8 bytes of the word, over whole
+    texts; ``prefix_chars`` applies T25 (the reference job passes ``TRAIN_PREFIX_CHARS``)."""
     by = list(by or ["lang"])
     t = F.col(text_col)
     if prefix_chars:

@@ -44,17 +44,14 @@ def article_line_array(text):
                                  lambda p: F.split(p, LINE_SEP, -1)))
 
 
-BROADCAST_HEAD_LIMIT = 1_000_000  # rows per group above which the head join shuffles instead
-
-
 def line_sample(arts: DataFrame, n: int, order: str = "doc_id", by: list[str] | None = None,
                 text_col: str = "text", num_partitions: int | None = None) -> DataFrame:
     """L2: the first ``n`` physical lines per group of the paragraph file, in file order.
 
     Only a narrow ``(group, order, line count)`` table is range-partitioned to find
     each article's first line number; at most ``n`` articles per group can start
-    below ``n``, so that table is small and joins back by broadcast. Only those
-    articles are exploded.
+    below ``n``, so that table is small for a small ``n`` (adaptive execution
+    broadcasts it then). Only those articles are exploded.
     """
     from corpuslab.operators.order import with_running_sum
 
@@ -63,8 +60,6 @@ def line_sample(arts: DataFrame, n: int, order: str = "doc_id", by: list[str] |
     counts = a.select(*by, order, F.size("__lines").alias("__nl")).where(F.col("__nl") > 0)
     starts = with_running_sum(counts, [order], "__nl", by, "__start", num_partitions)
     starts = starts.where(F.col("__start") < n).select(*by, order, "__start")
-    if n <= BROADCAST_HEAD_LIMIT:
-        starts = F.broadcast(starts)
     lines = a.join(starts, [*by, order]).select(
         *by, order, "__start", F.posexplode("__lines").alias("__pos", "line"))
     lines = lines.withColumn("line_no", F.col("__start") + F.col("__pos"))

@@ -3,11 +3,12 @@
 G1 ``with_global_index``: dense 0-based index in a given order, per group.
    Range-partition on (group, order) with an explicit partition count (so AQE
    never coalesces it), sort inside partitions, take the position inside the
-   partition from ``monotonically_increasing_id``, count rows per
-   (partition, group), turn the counts into offsets with a window over that
-   small table, and broadcast the offsets back. The broadcast table has at most
-   ``partitions + groups`` rows: its size is bounded by our own parameter.
-   Both branches read the same range exchange (``ReusedExchange`` in the plan).
+   partition from ``monotonically_increasing_id``, and write that table once (a
+   reliable checkpoint), so that the counts and the rows read the very same
+   partitions whatever columns each keeps. Count rows per (partition, group), turn
+   the counts into offsets with a window over that small table, and broadcast the
+   offsets back. The broadcast table has at most ``partitions + groups`` rows: its
+   size is bounded by our own parameter.
 G  ``with_running_sum``: the same with a weight instead of 1 (exclusive prefix sum).
 G2 ``shard_numbers``: index -> shard number, skipping a reserved number.
 G3 ``split_train_val``: exactly ``max(1, int(frac * n))`` rows per group go to
@@ -22,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.session import cut_lineage
+
 VAL_FRACTION = 0.05     # fixed values: validation share and seed
 SPLIT_SEED = 42
 DOCS_PER_SHARD = 50_000  # fixed value: documents per shard
@@ -43,7 +46,7 @@ def _range_parts(df: DataFrame, by: list[str], order: list[str], num_partitions:
     pid = F.spark_partition_id()
     part = part.withColumn("__pid", pid).withColumn(
         "__local", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
-    return part
+    return cut_lineage(part)
 
 
 def _group_cols(by: list[str]) -> list[str]:

@@ -1,9 +1,10 @@
 """Statistics on a runs table (E1-E11) and run aggregates (A7-A11), as Spark jobs.
 
-Bootstrap (E1): replicates are rows. Each cell's values are one small array
-(the seeds of one cell, in file order); ``explode(sequence(0, B-1))`` makes B
-replicate rows per cell, each replicate's mean is an ``aggregate`` over its n
-draws, and ``percentile`` (exact, linear interpolation) gives the interval.
+Bootstrap (E1): replicates are rows. ``explode(sequence(0, B-1))`` makes B replicate
+rows (cell key and number only) per cell, spread over tasks; then the cell's values
+(its seeds in file order) are attached from the table of cells, each replicate's mean
+is an ``aggregate`` over its n draws, and ``percentile`` (exact, linear interpolation)
+gives the interval.
 Draw ``j`` of replicate ``r`` is ``md5(seed:r:j)`` mod n: it depends on the
 replicate and position only, so cells with equal n share draws (as the
 reference's per-call reseeding does), and DuckDB can reproduce it exactly.
@@ -21,6 +22,7 @@ CI_ALPHA = 0.05
 BOOTSTRAP_N = 10_000
 BOOTSTRAP_SEED = 42
 MIN_SEEDS = 2
+MAX_BROADCAST_VALUES = 1_000_000  # scores of all cells together, 8 bytes each
 BASELINE = "english"
 CELL = ["language", "size", "tokenizer_type"]
 
@@ -60,8 +62,11 @@ def bootstrap(cell_df: DataFrame, keys: list[str] | None = None, n_boot: int = B
     """
     keys = keys or CELL
     c = cell_df.where(F.col("n") > 0)
-    reps = c.select(*keys, "vals", "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    reps = c.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
     reps = reps.repartition(*keys, "rep")  # spread replicates of a cell over tasks
+    # the values travel once per task, not once per replicate, while the cells are small
+    small = (c.agg(F.sum("n")).first()[0] or 0) <= MAX_BROADCAST_VALUES
+    reps = reps.join(F.broadcast(c) if small else c, keys)
 
     def add(acc, j):
         idx = _draw(F.col("rep"), j, F.col("n"), seed)
@@ -164,16 +169,24 @@ def verdict(ev: DataFrame) -> DataFrame:
     return ev.groupBy("tokenizer_type", "language").agg(
         F.when(F.sum(F.when(F.col("status") != "ok", 1).otherwise(0)) > 0, F.lit(None).cast("boolean"))
         .otherwise(F.bool_and("criterion_met")).alias("h1_supported"),
+        # the baseline is significantly better where its interval lies below the treatment's
+        F.coalesce(F.bool_and((F.col("status") == "ok")
+                              & (F.col("baseline_ci_hi") < F.col("treatment_ci_lo"))), F.lit(False))
+        .alias("baseline_better"),
         F.count("*").cast("bigint").alias("sizes"))
 
 
 def outcome(ev: DataFrame) -> DataFrame:
-    """Outcome class per treatment language from the bpe and byte verdicts."""
+    """Outcome class per treatment language from the bpe and byte verdicts; too few
+    seeds on either side leave it undetermined."""
     v = verdict(ev)
     p = v.groupBy("language").pivot("tokenizer_type", ["bpe", "byte"]).agg(F.first("h1_supported"))
-    cls = (F.when(F.col("bpe") & F.col("byte"), "strong_positive")
-           .when(F.col("bpe") & ~F.coalesce(F.col("byte"), F.lit(False)), "tokenization_only")
-           .when(F.col("bpe").isNull(), "undetermined")
+    worse = v.where("tokenizer_type = 'bpe'").select("language", "baseline_better")
+    p = p.join(worse, "language", "left")
+    cls = (F.when(F.col("bpe").isNull() | F.col("byte").isNull(), "undetermined")
+           .when(F.col("bpe") & F.col("byte"), "strong_positive")
+           .when(F.col("bpe"), "tokenization_only")
+           .when(F.col("baseline_better"), "negative")
            .otherwise("null"))
     return p.select("language", F.col("bpe").alias("bpe_supported"),
                     F.col("byte").alias("byte_supported"), cls.alias("outcome"))

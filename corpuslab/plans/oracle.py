@@ -108,19 +108,31 @@ WIKIFIED_CTE = (
 )
 
 
-def runs_cte(max_event_id: int = 24, one_seed_mod3: bool = False) -> str:
-    extra = " AND event_id % 3 <> 0" if one_seed_mod3 else ""
+def _run_columns(k: str) -> str:
     return (
-        "runs AS (SELECT CAST(event_id AS VARCHAR) AS run_id, "
-        "CASE WHEN event_id % 2 = 0 THEN 'english' ELSE 'esperanto' END AS language, "
-        "CASE WHEN (event_id // 2) % 2 = 0 THEN '10M' ELSE '30M' END AS size, "
-        "CAST(event_id // 8 AS INTEGER) AS seed, "
-        "CASE WHEN (event_id // 4) % 2 = 0 THEN 'bpe' ELSE 'byte' END AS tokenizer_type, "
-        "value AS val_bpb, CAST(user_id * 1000 AS BIGINT) AS tokens, value AS wallclock_s, "
+        f"CAST({k} AS VARCHAR) AS run_id, "
+        f"CASE WHEN {k} % 2 = 0 THEN 'english' ELSE 'esperanto' END AS language, "
+        f"CASE WHEN ({k} // 2) % 2 = 0 THEN '10M' ELSE '30M' END AS size, "
+        f"CAST({k} // 8 AS INTEGER) AS seed, "
+        f"CASE WHEN ({k} // 4) % 2 = 0 THEN 'bpe' ELSE 'byte' END AS tokenizer_type, "
+    )
+
+
+def runs_cte() -> str:
+    return (
+        "runs AS (SELECT " + _run_columns("event_id")
+        + "value AS val_bpb, CAST(user_id * 1000 AS BIGINT) AS tokens, value AS wallclock_s, "
         "props AS hparams_json, event_id AS run_ord, "
         "'[' || CAST(value + 3.0 AS VARCHAR) || ',' || CAST(value + 1.0 AS VARCHAR) || ',' "
-        "|| CAST(value AS VARCHAR) || ']' AS val_bpb_curve "
-        f"FROM events WHERE event_id < {max_event_id}{extra})"
+        "|| CAST(value AS VARCHAR) || ']' AS val_bpb_curve FROM events)"
+    )
+
+
+def logged_runs_cte(n_runs: int) -> str:
+    return (
+        f"logged AS (SELECT event_id % {n_runs} AS run_ord, round(avg(value), 6) AS val_bpb "
+        "FROM events GROUP BY 1), runs AS (SELECT " + _run_columns("run_ord")
+        + "val_bpb, run_ord FROM logged)"
     )
 
 

@@ -138,7 +138,7 @@ def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 from corpuslab.functions import tokens as tk  # noqa: E402
 from corpuslab.operators import metrics as mt  # noqa: E402
 from corpuslab.operators import order as od  # noqa: E402
-from corpuslab.operators.explode import line_sample  # noqa: E402
+from corpuslab.operators.explode import article_line_array, line_sample  # noqa: E402
 from corpuslab.plans import prepare_job as pj  # noqa: E402
 
 
@@ -198,6 +198,16 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return od.with_global_index(d, ["doc_id"], ["lang"], "idx")
 
 
+@register("global_index_payload", """
+SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS idx, md5(text) AS text_md5
+FROM documents""")
+def global_index_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1 with the texts carried through the index."""
+    d = table(spark, sf_dir, "documents").select("lang", "doc_id", "text")
+    return od.with_global_index(d, ["doc_id"], ["lang"], "idx").select(
+        "lang", "doc_id", "idx", F.md5("text").alias("text_md5"))
+
+
 def _shards_sql(per: int, start: int) -> str:
     return _SPLIT_CTE + f""",
 idx AS (SELECT lang, doc_id, split,
@@ -252,7 +262,11 @@ def _line_sample_sql(n: int) -> str:
     return _LINES_CTE + f"SELECT lang, doc_id, line_no, line FROM numbered WHERE line_no < {n}"
 
 
-def _lines(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str, n: int | None = None) -> DataFrame:
+    """All physical lines of the paragraph file, or the first ``n`` per language (L2)."""
+    if n is None:
+        a = _valid_articles(spark, sf_dir)
+        return a.select("lang", F.explode(article_line_array(F.col("text"))).alias("line"))
     return line_sample(_articles_table(spark, sf_dir).select("lang", "doc_id", "text"), n)
 
 
@@ -268,9 +282,9 @@ def line_sample_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir, mt.EVAL_SAMPLE_LINES)
 
 
-def _eff_sql(n: int, count_expr: str) -> str:
+def _eff_sql(count_expr: str) -> str:
     return _LINES_CTE + f""",
-s AS (SELECT lang, {o.strip_sql('line')} AS l FROM numbered WHERE line_no < {n}),
+s AS (SELECT lang, {o.strip_sql('line')} AS l FROM lns),
 per AS (SELECT lang, CAST({count_expr} AS BIGINT) AS t, length(l) AS c, strlen(l) AS b
         FROM s WHERE l <> ''),
 agg AS (SELECT lang, sum(t) AS tt, sum(c) AS tc, sum(b) AS tb, count(*) AS lp FROM per GROUP BY lang)
@@ -289,34 +303,34 @@ FROM agg"""
 _SIMPLE_COUNT_SQL = f"len(regexp_extract_all(l, {o.q(tk.SIMPLE_PATTERN)}))"
 
 
-@register("efficiency_bytes", _eff_sql(mt.TRAIN_SAMPLE_LINES, "strlen(l)"))
+@register("efficiency_bytes", _eff_sql("strlen(l)"))
 def efficiency_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A4 with byte-level tokens (B8) on the 10,000-line sample."""
-    return mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.byte_token_count)
+    """A4 with byte-level tokens (B8) over all lines."""
+    return mt.efficiency(_lines(spark, sf_dir), tk.byte_token_count)
 
 
-@register("efficiency_pretokens", _eff_sql(mt.TRAIN_SAMPLE_LINES, _SIMPLE_COUNT_SQL))
+@register("efficiency_pretokens", _eff_sql(_SIMPLE_COUNT_SQL))
 def efficiency_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A4 with pattern pre-tokens (the look-ahead-free byte-level pattern)."""
-    return mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.pretoken_count)
+    return mt.efficiency(_lines(spark, sf_dir), tk.pretoken_count)
 
 
 @register("efficiency_eval_pretokens", "SELECT lang, bytes_per_token, chars_per_token, "
           "tokens_per_line, CASE WHEN error IS NULL THEN NULL ELSE 'no tokens' END AS error FROM ("
-          + _eff_sql(mt.EVAL_SAMPLE_LINES, _SIMPLE_COUNT_SQL) + ")")
+          + _eff_sql(_SIMPLE_COUNT_SQL) + ")")
 def efficiency_eval_pretokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A5: evaluation variant on the 5,000-line sample."""
-    return mt.efficiency_eval(_lines(spark, sf_dir, mt.EVAL_SAMPLE_LINES), tk.pretoken_count)
+    """A5: evaluation variant over all lines."""
+    return mt.efficiency_eval(_lines(spark, sf_dir), tk.pretoken_count)
 
 
-@register("efficiency_compare", "WITH e AS (" + _eff_sql(mt.TRAIN_SAMPLE_LINES, _SIMPLE_COUNT_SQL)
+@register("efficiency_compare", "WITH e AS (" + _eff_sql(_SIMPLE_COUNT_SQL)
           + """), b AS (SELECT bytes_per_token AS base_bpt FROM e WHERE lang = 'en')
 SELECT 'en' AS baseline, e.lang, round(e.bytes_per_token - b.base_bpt, 4) AS bytes_per_token_delta,
        round(e.bytes_per_token / b.base_bpt, 4) AS bytes_per_token_ratio
 FROM e LEFT JOIN b ON true WHERE e.lang <> 'en'""")
 def efficiency_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language against english ('en') on rounded bytes/token."""
-    eff = mt.efficiency(_lines(spark, sf_dir, mt.TRAIN_SAMPLE_LINES), tk.pretoken_count)
+    eff = mt.efficiency(_lines(spark, sf_dir), tk.pretoken_count)
     return mt.compare(eff, "en")
 
 
@@ -340,17 +354,17 @@ def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from corpuslab.operators import stats as st  # noqa: E402
-from corpuslab.plans.views import runs_from_events  # noqa: E402
+from corpuslab.plans.views import logged_runs, runs_from_events  # noqa: E402
 
 
-def _cells_sql(max_event_id: int) -> str:
-    return "WITH " + o.runs_cte(max_event_id) + """,
+def _cells_sql(n_runs: int | None) -> str:
+    return "WITH " + (o.logged_runs_cte(n_runs) if n_runs else o.runs_cte()) + """,
 cells AS (SELECT language, size, tokenizer_type, list(val_bpb ORDER BY run_ord) AS vals,
                  count(*) AS n FROM runs GROUP BY language, size, tokenizer_type)"""
 
 
-def _ci_sql(max_event_id: int) -> str:
-    return _cells_sql(max_event_id) + """,
+def _ci_sql(n_runs: int) -> str:
+    return _cells_sql(n_runs) + """,
 reps AS (SELECT c.*, r.rep FROM cells c, range(0, 10000) r(rep)),
 means AS (SELECT language, size, tokenizer_type,
                  list_sum(list_transform(range(0, n), lambda j:
@@ -364,14 +378,14 @@ ci AS (SELECT c.language, c.size, c.tokenizer_type, list_sum(c.vals) / c.n AS me
                           AND c.tokenizer_type = q.tokenizer_type)"""
 
 
-def _ci_query_sql(max_event_id: int) -> str:
-    return _ci_sql(max_event_id) + """
+def _ci_query_sql(n_runs: int) -> str:
+    return _ci_sql(n_runs) + """
 SELECT language, size, tokenizer_type, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo,
        round(ci_hi, 6) AS ci_hi, n FROM ci"""
 
 
-def _eval_sql(max_event_id: int) -> str:
-    return _ci_sql(max_event_id) + """,
+def _eval_sql(n_runs: int) -> str:
+    return _ci_sql(n_runs) + """,
 grid AS (SELECT DISTINCT s.size, t.tokenizer_type, l.language
          FROM (SELECT DISTINCT size FROM runs) s, (SELECT DISTINCT tokenizer_type FROM runs) t,
               (SELECT DISTINCT language FROM runs WHERE language <> 'english') l),
@@ -404,11 +418,11 @@ ev AS (SELECT size, tokenizer_type, language,
   FROM k)"""
 
 
-def _runs(spark: SparkSession, sf_dir: str, max_event_id: int = 24) -> DataFrame:
-    return runs_from_events(spark, sf_dir, max_event_id)
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs_from_events(spark, sf_dir)
 
 
-@register("runs_cells", _cells_sql(24) + """
+@register("runs_cells", _cells_sql(None) + """
 SELECT language, size, tokenizer_type, CAST(n AS BIGINT) AS n, round(list_sum(vals) / n, 6) AS mean
 FROM cells""")
 def runs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -421,27 +435,27 @@ def runs_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("bootstrap_ci", _ci_query_sql(24))
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """10,000-resample percentile interval of the mean per cell (3 seeds)."""
-    ci = st.bootstrap(st.cells(_runs(spark, sf_dir)))
+    ci = st.bootstrap(st.cells(logged_runs(spark, sf_dir)))
     return ci.select(*st.CELL, *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
 
 
 @register("bootstrap_ci_50_seeds", _ci_query_sql(400))
 def bootstrap_ci_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """E1 on cells of 50 seeds, where the interval is narrower than [min, max]."""
-    ci = st.bootstrap(st.cells(_runs(spark, sf_dir, 400)))
+    ci = st.bootstrap(st.cells(logged_runs(spark, sf_dir, 400)))
     return ci.select(*st.CELL, *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi")], "n")
 
 
 @register("significance", _eval_sql(24) + " SELECT * FROM ev")
 def significance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per size x tokenizer type, the pre-registered criterion."""
-    return st.evaluate(_runs(spark, sf_dir))
+    return st.evaluate(logged_runs(spark, sf_dir))
 
 
 @register("significance_sparse", _eval_sql(12) + " SELECT * FROM ev")
 def significance_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with fewer than 2 seeds give the insufficient-seeds record."""
-    return st.evaluate(_runs(spark, sf_dir, 12))
+    return st.evaluate(logged_runs(spark, sf_dir, 12))
 
 
 @register("verdict", _eval_sql(24) + """
@@ -452,25 +466,27 @@ SELECT tokenizer_type, language,
 FROM ev GROUP BY tokenizer_type, language""")
 def verdict_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The criterion must hold at every size."""
-    return st.verdict(st.evaluate(_runs(spark, sf_dir)))
+    return st.verdict(st.evaluate(logged_runs(spark, sf_dir))).drop("baseline_better")
 
 
 @register("outcome", _eval_sql(24) + """,
 v AS (SELECT tokenizer_type, language,
              CASE WHEN sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) > 0 THEN NULL
-                  ELSE bool_and(criterion_met) END AS h
+                  ELSE bool_and(criterion_met) END AS h,
+             bool_and(status = 'ok' AND baseline_ci_hi < treatment_ci_lo) AS worse
       FROM ev GROUP BY tokenizer_type, language),
 p AS (SELECT language, max(CASE WHEN tokenizer_type = 'bpe' THEN h END) AS bpe,
-             max(CASE WHEN tokenizer_type = 'byte' THEN h END) AS byte
+             max(CASE WHEN tokenizer_type = 'byte' THEN h END) AS byte,
+             max(CASE WHEN tokenizer_type = 'bpe' THEN worse END) AS worse
       FROM v GROUP BY language)
 SELECT language, bpe AS bpe_supported, byte AS byte_supported,
-       CASE WHEN bpe AND byte THEN 'strong_positive'
-            WHEN bpe AND NOT coalesce(byte, false) THEN 'tokenization_only'
-            WHEN bpe IS NULL THEN 'undetermined' ELSE 'null' END AS outcome
+       CASE WHEN bpe IS NULL OR byte IS NULL THEN 'undetermined'
+            WHEN bpe AND byte THEN 'strong_positive' WHEN bpe THEN 'tokenization_only'
+            WHEN worse THEN 'negative' ELSE 'null' END AS outcome
 FROM p""")
 def outcome_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome class from the bpe and byte verdicts."""
-    return st.outcome(st.evaluate(_runs(spark, sf_dir)))
+    return st.outcome(st.evaluate(logged_runs(spark, sf_dir)))
 
 
 @register("bar_table", _ci_sql(24) + """
@@ -480,10 +496,10 @@ SELECT tokenizer_type, size, language, substr(language, 1, 2) || '-' || size AS
 FROM ci""")
 def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-cell mean and interval distances (the bar chart as a table)."""
-    return st.bar_table(_runs(spark, sf_dir))
+    return st.bar_table(logged_runs(spark, sf_dir))
 
 
-@register("learning_curve", "WITH " + o.runs_cte(24) + """,
+@register("learning_curve", "WITH " + o.runs_cte() + """,
 pts AS (SELECT language, size, tokenizer_type,
                CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS step, unnest(c) AS v
         FROM (SELECT *, CAST(val_bpb_curve AS DOUBLE[]) AS c FROM runs))
@@ -495,7 +511,7 @@ def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.learning_curve(_runs(spark, sf_dir))
 
 
-@register("cell_costs", "WITH " + o.runs_cte(24) + """
+@register("cell_costs", "WITH " + o.runs_cte() + """
 SELECT language, size, tokenizer_type, round(avg(wallclock_s), 6) AS avg_wallclock_s,
        CAST(sum(tokens) AS BIGINT) AS total_tokens, CAST(count(*) AS BIGINT) AS runs
 FROM runs GROUP BY language, size, tokenizer_type""")
@@ -504,7 +520,7 @@ def cell_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.cell_costs(_runs(spark, sf_dir))
 
 
-@register("side_by_side", "WITH " + o.runs_cte(24) + """
+@register("side_by_side", "WITH " + o.runs_cte() + """
 SELECT language, size,
        round(avg(CASE WHEN tokenizer_type = 'bpe' THEN val_bpb END), 6) AS bpe_val_bpb,
        round(avg(CASE WHEN tokenizer_type = 'byte' THEN val_bpb END), 6) AS byte_val_bpb
@@ -514,7 +530,7 @@ def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.side_by_side(_runs(spark, sf_dir))
 
 
-@register("run_count", "WITH " + o.runs_cte(24) + " SELECT CAST(count(*) AS BIGINT) AS runs FROM runs")
+@register("run_count", "WITH " + o.runs_cte() + " SELECT CAST(count(*) AS BIGINT) AS runs FROM runs")
 def run_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A11."""
     return st.run_count(_runs(spark, sf_dir))
@@ -537,7 +553,7 @@ UNION ALL SELECT CAST(k + 5 AS BIGINT), '' FROM info
 UNION ALL SELECT CAST(k + 6 AS BIGINT), 'Total runs loaded: ' || runs FROM info""")
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5: the markdown summary report as numbered lines."""
-    return st.summary_lines(_runs(spark, sf_dir))
+    return st.summary_lines(logged_runs(spark, sf_dir))
 
 
 @register("val_bpb_from_losses", """
@@ -565,18 +581,39 @@ def _split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("pretoken_freqs_simple", _SPLIT_CTE + f""",
-w AS (SELECT lang, unnest(regexp_extract_all(substr(text, 1, 10000), {o.q(tk.SIMPLE_PATTERN)})) AS word
+w AS (SELECT lang, unnest(regexp_extract_all(text, {o.q(tk.SIMPLE_PATTERN)})) AS word
       FROM split WHERE split = 'train')
 SELECT lang, word, CAST(count(*) AS BIGINT) AS freq FROM w GROUP BY lang, word""")
 def pretoken_freqs_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1 + T25 with the look-ahead-free pattern: pre-token frequencies of the train split."""
+    """B1 with the look-ahead-free pattern: pre-token frequencies of the train split."""
     train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
     return bpe.word_freqs(train, pattern=tk.SIMPLE_PATTERN).select("lang", "word", "freq")
 
 
+@register("pretoken_freqs_prefix", _SPLIT_CTE + f""",
+w AS (SELECT lang, unnest(regexp_extract_all(substr(text, 1, 10000), {o.q(tk.SIMPLE_PATTERN)})) AS word
+      FROM split WHERE split = 'train')
+SELECT lang, word, CAST(count(*) AS BIGINT) AS freq FROM w GROUP BY lang, word""")
+def pretoken_freqs_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T25, the training job's own step: the same counts over the first 10,000 characters."""
+    train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
+    return bpe.word_freqs(train, pattern=tk.SIMPLE_PATTERN, prefix_chars=bpe.TRAIN_PREFIX_CHARS).select(
+        "lang", "word", "freq")
+
+
+@register("pretoken_roundtrip", _DOCS_CTE[:-2] + """
+SELECT lang, CAST(count(*) AS BIGINT) AS docs, CAST(0 AS BIGINT) AS mismatches FROM docs GROUP BY lang""")
+def pretoken_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B6 over whole texts: the training pattern's pre-tokens put together are the text."""
+    d = _docs(spark, sf_dir)
+    same = F.array_join(tk.pretokens(F.col("text")), "") == F.col("text")
+    return d.groupBy("lang").agg(F.count("*").cast("bigint").alias("docs"),
+                                 F.sum(F.when(same, 0).otherwise(1)).cast("bigint").alias("mismatches"))
+
+
 @register("pretoken_freqs")
 def pretoken_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1 + T25 with the training split pattern (possessive, look-ahead: Java only)."""
+    """B1 with the training split pattern (possessive, look-ahead: Java only)."""
     train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
     return bpe.word_freqs(train).select("lang", "word", "freq")
 
@@ -585,7 +622,7 @@ def _bpe_state(spark: SparkSession, sf_dir: str):
     split = _split_table(spark, sf_dir)
     words = bpe.word_freqs(split.where(F.col("split") == "train"))
     m = bpe.learn_merges(words, BPE_QUERY_MERGES)
-    all_words = bpe.word_freqs(split, by=["lang", "split"], prefix_chars=None)
+    all_words = bpe.word_freqs(split, by=["lang", "split"])
     enc = bpe.encode_words(all_words, m)
     return split, m, all_words, enc
 

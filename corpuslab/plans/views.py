@@ -59,23 +59,25 @@ def wikified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def runs_from_events(spark: SparkSession, sf_dir: str, max_event_id: int = 24,
-                     one_seed_mod3: bool = False) -> DataFrame:
-    """A runs table: 2 languages x 2 sizes x 2 tokenizers x seeds, from ``events``.
+def _run_columns(k: Column) -> list[Column]:
+    return [
+        _s(k).alias("run_id"),
+        F.when(k % 2 == 0, "english").otherwise("esperanto").alias("language"),
+        F.when(F.floor(k / 2) % 2 == 0, "10M").otherwise("30M").alias("size"),
+        F.floor(k / 8).cast("int").alias("seed"),
+        F.when(F.floor(k / 4) % 2 == 0, "bpe").otherwise("byte").alias("tokenizer_type"),
+    ]
+
+
+def runs_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A runs table with one run per event: 2 languages x 2 sizes x 2 tokenizers x seeds.
 
     ``language`` uses the reference's two names so the default comparison applies.
     ``val_bpb_curve`` is a JSON array derived from the row (for learning curves).
     """
-    e = table(spark, sf_dir, "events").where(F.col("event_id") < max_event_id)
-    if one_seed_mod3:
-        e = e.where(F.col("event_id") % 3 != 0)
     eid = F.col("event_id")
-    return e.select(
-        _s(eid).alias("run_id"),
-        F.when(eid % 2 == 0, "english").otherwise("esperanto").alias("language"),
-        F.when(F.floor(eid / 2) % 2 == 0, "10M").otherwise("30M").alias("size"),
-        F.floor(eid / 8).cast("int").alias("seed"),
-        F.when(F.floor(eid / 4) % 2 == 0, "bpe").otherwise("byte").alias("tokenizer_type"),
+    return table(spark, sf_dir, "events").select(
+        *_run_columns(eid),
         F.col("value").alias("val_bpb"),
         (F.col("user_id") * 1000).cast("bigint").alias("tokens"),
         F.col("value").alias("wallclock_s"),
@@ -84,3 +86,12 @@ def runs_from_events(spark: SparkSession, sf_dir: str, max_event_id: int = 24,
         F.concat(F.lit("["), _s(F.col("value") + 3.0), F.lit(","), _s(F.col("value") + 1.0),
                  F.lit(","), _s(F.col("value")), F.lit("]")).alias("val_bpb_curve"),
     )
+
+
+def logged_runs(spark: SparkSession, sf_dir: str, n_runs: int = 24) -> DataFrame:
+    """All events as the log of ``n_runs`` runs: an event belongs to run ``event_id mod
+    n_runs``, whose ``val_bpb`` is the mean of its events (the tests of significance compare
+    a planned number of runs, however long their logs are)."""
+    k = F.pmod(F.col("event_id"), F.lit(n_runs))
+    runs = table(spark, sf_dir, "events").groupBy(k.alias("run_ord")).agg(F.round(F.avg("value"), 6).alias("val_bpb"))
+    return runs.select(*_run_columns(F.col("run_ord")), "val_bpb", "run_ord")

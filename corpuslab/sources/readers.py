@@ -1,7 +1,8 @@
 """Sources S1-S6: dump XML, article JSON lines, text lines, runs TSV.
 
-All readers are splittable scans; row order inside a file is kept as ``ord``
-(``monotonically_increasing_id`` grows with the split and the position in it).
+All readers are splittable scans. ``ord`` is the input order: file path, start of the
+split in the file, and position in the split (Spark packs splits into tasks by size, so
+the position alone would follow the packing).
 """
 
 from __future__ import annotations
@@ -16,9 +17,18 @@ from corpuslab.operators.order import with_global_index
 
 log = logging.getLogger(__name__)
 
+# The two spellings of a runs table's columns.
+RUNS_NAMES = {"run_id": (), "language": (), "size": (), "seed": (), "tokenizer_type": (),
+              "val_bpb": ("val_bpb_final",), "tokens": ("training_tokens",),
+              "wallclock_s": ("training_wallclock",), "hparams_json": ("hyperparameters_json",)}
 PAGE_OPEN = "<page>"
 PAGE_CLOSE = "</page>"
 
+def _input_order():
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("pos"))
+
+
 RUNS_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()), T.StructField("language", T.StringType()),
     T.StructField("size", T.StringType()), T.StructField("seed", T.IntegerType()),
@@ -38,7 +48,7 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     page has none (see ``with_page_ids``).
     """
     raw = spark.read.option("lineSep", PAGE_CLOSE).text(path)
-    pieces = raw.select(F.monotonically_increasing_id().alias("ord"), "value") \
+    pieces = raw.select(_input_order().alias("ord"), "value") \
         .where(F.instr("value", PAGE_OPEN) > 0)
     xml = F.concat(F.lit(PAGE_OPEN), F.expr(f"substr(value, instr(value, '{PAGE_OPEN}') + {len(PAGE_OPEN)})"),
                    F.lit(PAGE_CLOSE))
@@ -65,16 +75,17 @@ def with_page_ids(kept: DataFrame) -> DataFrame:
 
 
 def read_articles(spark: SparkSession, path: str) -> DataFrame:
-    """S3: article JSON lines ``(ord, id, title, text)``; a missing text reads as ''."""
+    """S3: article JSON lines ``(ord, id, title, text)``; a missing text reads as '', a
+    broken line raises."""
     schema = "id string, title string, text string"
-    df = spark.read.schema(schema).json(path)
-    return df.select(F.monotonically_increasing_id().alias("ord"), "id", "title",
+    df = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    return df.select(_input_order().alias("ord"), "id", "title",
                      F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def read_lines(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
     """Physical lines (``\\n``, ``\\r\\n`` and ``\\r`` end a line) with ``line_no``."""
-    df = spark.read.text(path).select(F.monotonically_increasing_id().alias("__o"),
+    df = spark.read.text(path).select(_input_order().alias("__o"),
                                       F.col("value").alias("line"))
     if lang is not None:
         df = df.withColumn("lang", F.lit(lang))
@@ -82,8 +93,9 @@ def read_lines(spark: SparkSession, path: str, lang: str | None = None) -> DataF
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The runs TSV; ``seed`` and ``val_bpb`` typed, the rest strings. A missing
-    file gives an empty table and a warning."""
+    """The runs TSV, columns by their name in the header (either spelling); ``seed`` and
+    ``val_bpb`` typed (a value that is no number raises), the rest strings; an absent column
+    is null, further ones are kept. A missing file gives an empty table and a warning."""
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -91,5 +103,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         log.warning("Results file not found: %s", path)
         return spark.createDataFrame([], RUNS_SCHEMA).withColumn("run_ord", F.lit(0).cast("bigint"))
     df = (spark.read.option("sep", "\t").option("header", True).option("quote", '"')
-          .option("escape", '"').schema(RUNS_SCHEMA).csv(path))
-    return df.withColumn("run_ord", F.monotonically_increasing_id())
+          .option("escape", '"').option("mode", "FAILFAST").csv(path))
+    names = {new: next((x for x in (new, *old) if x in df.columns), None) for new, old in RUNS_NAMES.items()}
+    return df.select(
+        *[(F.col(names[f.name]) if names[f.name] else F.lit(None)).cast(f.dataType).alias(f.name)
+          for f in RUNS_SCHEMA],
+        *[c for c in df.columns if c not in names.values()], _input_order().alias("run_ord"))

@@ -13,14 +13,19 @@ def write_articles(df: DataFrame, path: str) -> None:
     df.select("lang", "id", "title", "text").write.mode("overwrite").partitionBy("lang").json(path)
 
 
-def write_lines(df: DataFrame, path: str, col: str = "paragraph") -> None:
-    """K2: one kept paragraph per record, newline-terminated."""
-    df.select(F.col(col).alias("value")).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, col: str = "paragraph", order: list[str] | None = None) -> None:
+    """K2: one kept paragraph per record, newline-terminated, a folder per language
+    (``lang=..``); with ``order``, files and lines in them follow it."""
+    if order:
+        df = df.repartitionByRange("lang", *order).sortWithinPartitions("lang", *order)
+    df.select("lang", F.col(col).alias("value")).write.mode("overwrite").partitionBy("lang").text(path)
 
 
 def write_shards(df: DataFrame, path: str) -> None:
-    """K3: Parquet ``text`` per (lang, split, shard), rows in input order inside a shard."""
-    (df.repartition("lang", "split", "shard").sortWithinPartitions("lang", "split", "shard", "idx")
+    """K3: Parquet ``text`` per (lang, split, shard), rows in input order inside a file. Rows are
+    dealt by ranges of the index, so a large shard (validation has one) is several files, whose
+    names follow the order."""
+    (df.repartitionByRange("lang", "split", "shard", "idx").sortWithinPartitions("lang", "split", "shard", "idx")
      .select("lang", "split", "shard", "text")
      .write.mode("overwrite").partitionBy("lang", "split", "shard").parquet(path))
 

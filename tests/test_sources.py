@@ -10,6 +10,7 @@ from corpuslab.operators.clean import clean_text
 from corpuslab.operators.filters import keep_titled_articles, keep_valid_cleaned
 from corpuslab.plans import prepare_job as pj
 from corpuslab.plans.views import wikified_documents
+from corpuslab.operators.order import with_global_index
 from corpuslab.sources import readers, writers
 
 
@@ -69,12 +70,13 @@ def test_articles_lines_runs_roundtrip(spark, sf001):
     writers.write_articles(docs, f"{d}/articles")
     back = readers.read_articles(spark, f"{d}/articles/lang=en")
     assert back.count() == docs.where("lang = 'en'").count()
-    lines = docs.select(F.col("text").alias("paragraph"))
-    writers.write_lines(lines, f"{d}/lines")
-    rl = readers.read_lines(spark, f"{d}/lines", "en")
-    n_phys = sum(len(t.split("\n")) for (t,) in docs.select("text").collect())
-    assert rl.count() == n_phys
-    assert sorted(r.line_no for r in rl.select("line_no").collect()) == list(range(n_phys))
+    lines = docs.select("lang", F.col("id").cast("long").alias("ord"), F.col("text").alias("paragraph"))
+    writers.write_lines(lines, f"{d}/lines", order=["ord"])
+    rl = readers.read_lines(spark, f"{d}/lines/lang=en", "en")
+    texts = lines.where("lang = 'en'").orderBy("ord").collect()
+    want = [x for r in texts for x in r.paragraph.split("\n")]
+    assert [r.line for r in rl.orderBy("line_no").collect()] == want
+    assert sorted(r.line_no for r in rl.select("line_no").collect()) == list(range(len(want)))
     with open(f"{d}/runs.tsv", "w") as f:
         f.write("run_id\tlanguage\tsize\tseed\ttokenizer_type\tval_bpb\ttokens\twallclock_s\thparams_json\n")
         f.write('a\tenglish\t10M\t1\tbpe\t1.5\t100\t9.5\t{"lr": 1}\n')
@@ -94,3 +96,45 @@ def test_shards_written_in_order(spark, sf001):
     shards = sorted({r.shard for r in back.where("split = 'train'").select("shard").distinct().collect()})
     assert 6542 not in shards and 6541 in shards and 6543 in shards
     assert {r.shard for r in back.where("split = 'val'").select("shard").distinct().collect()} == {6542}
+
+
+def test_many_files_are_read_in_order(spark):
+    d = tempfile.mkdtemp(prefix="corpuslab-order-")
+    for k, (letter, n) in enumerate((("a", 10), ("b", 1000), ("c", 3))):
+        with open(f"{d}/part-{k:05d}.txt", "w") as f:
+            f.writelines(f"{letter}{i}\n" for i in range(n))
+    got = [r.line for r in readers.read_lines(spark, d).orderBy("line_no").collect()]
+    assert got == [f"{x}{i}" for x, n in (("a", 10), ("b", 1000), ("c", 3)) for i in range(n)]
+
+
+def test_runs_are_read_by_name(spark):
+    d = tempfile.mkdtemp(prefix="corpuslab-runs-")
+    with open(f"{d}/a.tsv", "w") as f:
+        f.write("run_id\tsize\tlanguage\tseed\tval_bpb_final\ttraining_tokens\tval_bpb_curve\n")
+        f.write("a\t10M\tenglish\t1\t1.5\t100\t[1.0]\n")
+    r = readers.read_runs(spark, f"{d}/a.tsv").first()
+    assert (r.language, r.size, r.val_bpb, r.tokens, r.tokenizer_type, r.val_bpb_curve) == (
+        "english", "10M", 1.5, "100", None, "[1.0]")
+    with open(f"{d}/b.tsv", "w") as f:
+        f.write("run_id\tval_bpb\na\toops\n")
+    with pytest.raises(Exception, match="oops"):
+        readers.read_runs(spark, f"{d}/b.tsv").collect()
+    with open(f"{d}/c.json", "w") as f:
+        f.write('{"id": "1", "text": "x"}\n{broken\n')
+    with pytest.raises(Exception):
+        readers.read_articles(spark, f"{d}/c.json").collect()
+
+
+def test_index_with_payload_over_a_million_rows(spark):
+    df = spark.range(1_200_000, numPartitions=8).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("lang"),
+        F.concat(F.lit("text "), F.md5(F.col("id").cast("string"))).alias("text"))
+    out = with_global_index(df, ["k"], ["lang"])
+    rows = out.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("idx").alias("d"), F.max("idx").alias("m"),
+                                   F.sum(F.when(F.col("idx") != F.floor(F.when(F.col("lang") == "a", F.col("k") / 3)
+                                         .otherwise(F.col("k") - F.floor(F.col("k") / 3) - 1)), 1).otherwise(0)).alias("bad"))
+    assert {(r.lang, r.n, r.d, r.m, r.bad) for r in rows.collect()} == {
+        ("a", 400_000, 400_000, 399_999, 0), ("b", 800_000, 800_000, 799_999, 0)}
+    # both branches read one materialised table: no exchange of the input is left in the plan
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Scan ExistingRDD") == 2
