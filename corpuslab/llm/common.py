@@ -44,9 +44,10 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable, eager checkpoint into the shared folder."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written to and read from the shared folder, to cut its lineage. A checkpoint
+    would keep the constraints of its plan, and loops that join and rename pile these up until
+    planning takes longer than the work."""
+    return shared_table(df, "cut")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -49,9 +49,8 @@ CANDIDATES = (
     (5, re.compile(r"(?<![\w+])0[0-9]{1,4}[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,2}(?![\w])")),
     (6, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     (7, re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    (8, re.compile(r"(?:(?<=Mr )|(?<=Mr\. )|(?<=Mrs )|(?<=Mrs\. )|(?<=Ms )|(?<=Dr )|(?<=Dr\. )|(?<=Herr )|(?<=Frau )"
-                   r"|(?<=Monsieur )|(?<=Madame )|(?<=Mme )|(?<=Señor )|(?<=Señora )|(?<=my name is )|(?<=Name: ))"
-                   r"[A-ZÄÖÜÁÉÍÓÚÑ]\w{1,30}(?: [A-ZÄÖÜÁÉÍÓÚÑ]\w{1,30}){0,2}")),
+    (8, re.compile(r"(?:M(?:rs?|s|me|onsieur|adame)\.? |Dr\.? |Herr |Frau |Señora? |my name is |Name: )"
+                   r"([A-ZÄÖÜÁÉÍÓÚÑ]\w{1,30}(?: [A-ZÄÖÜÁÉÍÓÚÑ]\w{1,30}){0,2})")),
 )
 
 #: A small gazetteer (given names, mail providers, country codes of accounts).
@@ -142,7 +141,8 @@ def pattern_of(text: str, start: int, kind: int, end: int) -> int:
 
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, kind, end, pattern) of loose matches that overlap no base span nor each other."""
-    found = sorted({(m.start(), kind, m.end()) for kind, p in CANDIDATES for m in p.finditer(text)})
+    # the span is the pattern's group, if it has one
+    found = sorted({(m.start(p.groups), kind, m.end(p.groups)) for kind, p in CANDIDATES for m in p.finditer(text)})
     taken, k, last, out = sorted((a, b) for a, _, b in base), 0, 0, []
     for a, kind, b in found:
         while k < len(taken) and taken[k][1] <= a:

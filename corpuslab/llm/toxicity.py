@@ -55,6 +55,8 @@ SEPARATORS = "._-~'`^,;:/\\=\"[]{}()&?"
 COST_LOOKALIKE, COST_GAP, COST_VOWEL, COST_FEWER, COST_DROP = 0.7, 0.3, 1.5, 4.0, 10.0
 
 SUSPICIOUS = re.compile(r"[^\W\d_][^\w\s]+[^\W_]|[0-9@$!|+€£*#][^\W\d_]|[^\W\d_][0-9@$!|+€£*#]|_|([^\W\d_])\1\1")
+REPEATED = re.compile(r"(.)\1\1")
+PUNCTUATION = ".,;:?!\"'()"
 SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|](?: [a-z0-9@$!|]){2,}(?!\S)")
 EDGES = re.compile(r"^[^\w@$!|+]+|[^\w@$]+$|[@$!]{3,}$")
 
@@ -79,8 +81,13 @@ class Decoder:
         """The word of a lower-case token."""
         found = self.known.get(token)
         if found is None:
-            bare = EDGES.sub("", token)
-            found = self.decode(bare) if SUSPICIOUS.search(bare) else bare
+            bare = token.strip(PUNCTUATION)
+            if bare.isalpha():
+                odd = REPEATED.search(bare)
+            else:
+                bare = EDGES.sub("", token)
+                odd = SUSPICIOUS.search(bare)
+            found = self.decode(bare) if odd else bare
             if len(self.known) >= MAX_CACHED:
                 self.known.clear()
             self.known[token] = found
