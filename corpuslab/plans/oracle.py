@@ -50,7 +50,8 @@ def media_sql(x: str, lang_col: str, profiles: dict[str, Profile]) -> str:
 
 
 def clean_sql(x: str, lang_col: str = "lang", profiles: dict[str, Profile] | None = None,
-              template_passes: int = 6, table_passes: int = 3, entities: bool = True) -> str:
+              template_passes: int = tx.TEMPLATE_PASSES, table_passes: int = tx.TABLE_PASSES,
+              entities: bool = True) -> str:
     """The cleaning chain as one nested DuckDB expression."""
     profiles = profiles or {}
     for _ in range(template_passes):
@@ -85,21 +86,23 @@ def clean_sql(x: str, lang_col: str = "lang", profiles: dict[str, Profile] | Non
 
 def wikify_sql(doc_id: str = "doc_id", text: str = "text") -> str:
     return (
-        "concat("
-        f"CASE WHEN {doc_id} % 13 = 0 THEN '#REDIRECT [[Target ' || CAST({doc_id} AS VARCHAR) || ']]' || {NL} "
+        f"CASE WHEN {doc_id} % 23 <> 5 THEN concat("
+        f"CASE WHEN {doc_id} % 26 = 0 THEN '#ALIDIREKTU [[Target ' || CAST({doc_id} AS VARCHAR) || ']]' || {NL} "
+        f"WHEN {doc_id} % 13 = 0 THEN '#REDIRECT [[Target ' || CAST({doc_id} AS VARCHAR) || ']]' || {NL} "
         "ELSE '' END, "
         f"'{{{{Infobox|a={{{{b', CAST({doc_id} % 7 AS VARCHAR), '}}}}|c={{{{d|{{{{e}}}}}}}}}}}}' || {NL}, "
         f"'== H ==' || {NL}, "
         f"CASE WHEN {doc_id} % 5 = 0 THEN {q(views.TABLE_MARKUP)} ELSE '' END, "
+        f"CASE WHEN {doc_id} % 3 = 1 THEN {q(views.ODD_MARKUP)} ELSE '' END, "
         f"{q(views.HEAD_MARKUP)} || {NL}, "
         f"replace({text}, {NL}, {NL} || {NL} || {q(views.LINE_MARKUP)}), "
-        f"{NL} || {NL} || {NL} || {NL} || ':' || {NL} || '[[Category:K]]')"
+        f"{NL} || {NL} || {NL} || {NL} || ':' || {NL} || '[[Category:K]]') END"
     )
 
 
 def wiki_title_sql(doc_id: str = "doc_id") -> str:
-    return (f"(CASE WHEN {doc_id} % 17 = 0 THEN 'Talk:' WHEN {doc_id} % 17 = 1 THEN 'User talk:' "
-            f"WHEN {doc_id} % 17 = 2 THEN 'Kategorio:' ELSE '' END) || 'Doc ' || CAST({doc_id} AS VARCHAR)")
+    return (f"CASE WHEN {doc_id} % 19 <> 3 THEN (CASE WHEN {doc_id} % 17 = 0 THEN 'Talk:' WHEN {doc_id} % 17 = 1 THEN 'User talk:' "
+            f"WHEN {doc_id} % 17 = 2 THEN 'Kategorio:' ELSE '' END) || 'Doc ' || CAST({doc_id} AS VARCHAR) END")
 
 
 WIKIFIED_CTE = (

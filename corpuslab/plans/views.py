@@ -20,6 +20,13 @@ LINE_MARKUP = ("[[x|y]] [https://e.org z] <b>q</b> [[File:f.jpg|thumb|cap]] "
 HEAD_MARKUP = "__TOC__ '''Bold''' text ''it'' &amp; more&nbsp;here &lt;b&gt;x&lt;/b&gt; &quot;q&quot;"
 TABLE_MARKUP = ('{| class="wikitable" style="width:50%"' + NL + "|-" + NL + "! head !! more" + NL
                 + "| a || b" + NL + "|}" + NL)
+# For the steps that tidy pages never need: nesting beyond the unrolled passes (T1, T4),
+# unclosed and broken templates (T2, T3), a broken table (T5), a stray table row (T6), a bare
+# link (T10), a quoted attribute in prose (T13), a short colour (T16), a blank line inside a
+# paragraph (F8).
+ODD_MARKUP = ("{{1{{2{{3{{4{{5}}}}}}}}}} {{open {brace}} {{a } b}} [https://e.org] #abc style=\"a b\" end" + NL
+              + "{|a{|b{|c{|d|}|}|}|} {| broken { table |} end" + NL + "| stray row" + NL + NL
+              + "first half of a paragraph" + NL + " \t " + NL + "second half of a paragraph" + NL + NL)
 
 
 def _s(c: Column) -> Column:
@@ -27,26 +34,29 @@ def _s(c: Column) -> Column:
 
 
 def wikify(doc_id: Column, text: Column) -> Column:
-    """Wrap plain text in wiki markup; nesting depth 3, tables, links, tags, entities."""
-    return F.concat(
-        F.when(doc_id % 13 == 0, F.concat(F.lit("#REDIRECT [[Target "), _s(doc_id), F.lit("]]" + NL)))
+    """Wrap plain text in wiki markup: nested templates, tables, links, tags, entities; null
+    for every 23rd page (F1)."""
+    return F.when(doc_id % 23 != 5, F.concat(
+        F.when(doc_id % 26 == 0, F.concat(F.lit("#ALIDIREKTU [[Target "), _s(doc_id), F.lit("]]" + NL)))
+        .when(doc_id % 13 == 0, F.concat(F.lit("#REDIRECT [[Target "), _s(doc_id), F.lit("]]" + NL)))
         .otherwise(F.lit("")),
         F.lit("{{Infobox|a={{b"), _s(doc_id % 7), F.lit("}}|c={{d|{{e}}}}}}" + NL),
         F.lit("== H ==" + NL),
         F.when(doc_id % 5 == 0, F.lit(TABLE_MARKUP)).otherwise(F.lit("")),
+        F.when(doc_id % 3 == 1, F.lit(ODD_MARKUP)).otherwise(F.lit("")),
         F.lit(HEAD_MARKUP + NL),
         F.replace(text, F.lit(NL), F.lit(NL + NL + LINE_MARKUP)),
         F.lit(NL + NL + NL + NL + ":" + NL + "[[Category:K]]"),
-    )
+    ))
 
 
 def wiki_title(doc_id: Column) -> Column:
-    """Titles with namespace prefixes on some rows, for the title filter."""
+    """Titles with namespace prefixes on some rows, for the title filter; some null (F1)."""
     pre = (F.when(doc_id % 17 == 0, F.lit("Talk:"))
            .when(doc_id % 17 == 1, F.lit("User talk:"))
            .when(doc_id % 17 == 2, F.lit("Kategorio:"))
            .otherwise(F.lit("")))
-    return F.concat(pre, F.lit("Doc "), _s(doc_id))
+    return F.when(doc_id % 19 != 3, F.concat(pre, F.lit("Doc "), _s(doc_id)))
 
 
 def wikified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

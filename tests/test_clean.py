@@ -96,3 +96,33 @@ def test_single_python_step_in_plan(spark, sf001):
 def test_idempotent_on_clean_text(spark, text):
     once = _clean(spark, [text])[0]
     assert _clean(spark, [once])[0] == _clean(spark, [once])[0]
+
+
+def test_every_step_has_work_in_the_wikified_view(spark, sf001):
+    """Each step changes rows of the view that the registered queries clean."""
+    from corpuslab.functions.entities import unescape_html
+    from corpuslab.plans.views import wikified_documents
+
+    steps = {
+        "T1": lambda c: tx.fixpoint_head(c, tx.TEMPLATE_INNER), "T1 beyond the unrolled passes":
+        lambda c: tx.fixpoint_tail(c, tx.TEMPLATE_INNER, tx.TEMPLATE_PASSES - 3),
+        "T2": lambda c: tx._sub(c, tx.TEMPLATE_UNCLOSED), "T3": lambda c: tx._sub(c, tx.TEMPLATE_LAZY),
+        "T4": lambda c: tx.fixpoint_head(c, tx.TABLE_INNER), "T4 beyond":
+        lambda c: tx.fixpoint_tail(c, tx.TABLE_INNER, tx.TABLE_PASSES - 3),
+        "T5": lambda c: tx._sub(c, tx.TABLE_LAZY), "T6": lambda c: tx._sub(c, tx.TABLE_ROW_LINE),
+        "T7": tx.remove_media_links, "T8": lambda c: tx._sub(c, tx.INTERNAL_LINK, "$1"),
+        "T9": lambda c: tx._sub(c, tx.EXTERNAL_LINK_LABEL, "$1"), "T10": lambda c: tx._sub(c, tx.EXTERNAL_LINK_BARE),
+        "T11": tx.remove_tags, "T12": unescape_html, "T13": lambda c: tx._sub(c, tx.ATTRIBUTE_QUOTED),
+        "T14": lambda c: tx._sub(c, tx.ATTRIBUTE_BARE), "T15": lambda c: tx._sub(c, tx.COLOUR_6),
+        "T16": lambda c: tx._sub(c, tx.COLOUR_3), "T17": lambda c: tx._sub(c, tx.HEADING, "$1"),
+        "T18": lambda c: tx._sub(c, tx.BOLD_ITALIC), "T19": lambda c: tx._sub(c, tx.MAGIC_WORD),
+        "T20": lambda c: tx._sub(c, tx.NEWLINE_RUN, "\n\n"), "T21": lambda c: tx._sub(c, tx.BLANK_RUN, " "),
+        "T22": lambda c: tx._sub(c, tx.PUNCT_LINE), "T23": tx.strip,
+    }
+    d = wikified_documents(spark, sf001).select("title", F.col("text").alias("s0")).cache()
+    assert d.where("title is null").count() and d.where("s0 is null").count()
+    for i, step in enumerate(steps.values()):
+        d = d.withColumn(f"s{i + 1}", step(F.col(f"s{i}")))
+    counts = d.select(*[F.sum((F.col(f"s{i}") != F.col(f"s{i + 1}")).cast("int")).alias(n)
+                        for i, n in enumerate(steps)]).first().asDict()
+    assert not [n for n, c in counts.items() if not c]
