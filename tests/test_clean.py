@@ -95,7 +95,7 @@ def test_single_python_step_in_plan(spark, sf001):
 @pytest.mark.parametrize("text", ["plain", "", "{{", "}}{{x}}"])
 def test_idempotent_on_clean_text(spark, text):
     once = _clean(spark, [text])[0]
-    assert _clean(spark, [once])[0] == _clean(spark, [once])[0]
+    assert _clean(spark, [once])[0] == once
 
 
 def test_every_step_has_work_in_the_wikified_view(spark, sf001):
