@@ -136,7 +136,8 @@ def test_lines_against_brute_force(spark, sf001):
         nodes.setdefault(x, bits.simhashes([x.encode().split()])[0].tolist())
     names = list(nodes)
     links = [(a, b) for i, a in enumerate(names) for b in names[:i]
-             if any(x == y for x, y in zip(nodes[a], nodes[b], strict=True)) and lines.similar(a, b, 0.8)]
+             if min(len(a.split()), len(b.split())) >= lines.LEAST_FUZZY
+             and any(x == y for x, y in zip(nodes[a], nodes[b], strict=True)) and lines.similar(a, b, 0.8)]
     root, first, gone = brute.groups(names, links), {}, {}
     for d, i, x in at:
         if first.setdefault(root[x], (d, i)) != (d, i):
