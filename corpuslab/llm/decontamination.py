@@ -43,22 +43,27 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 class WindowIndex:
-    """Windows of some benchmark items: vocabulary, window hashes, items by window."""
+    """Windows of some benchmark items: vocabulary, items by window, hashes by length."""
 
-    def __init__(self, items: list[tuple[str, str | None]], width: int):
-        self.vocabulary: dict[bytes, int] = {}
-        self.items: dict[bytes, set[str]] = {}
+    def __init__(self, vocabulary: dict[bytes, int], items: dict[bytes, set[str]], by_length: dict[int, np.ndarray]):
+        self.vocabulary, self.items, self.by_length = vocabulary, items, by_length
+
+    @classmethod
+    def parts(cls, benchmark: list[tuple[str, str | None]], width: int) -> tuple[dict, dict, dict]:
+        """The arguments of an index (plain values, to be broadcast)."""
+        vocabulary: dict[bytes, int] = {}
+        items: dict[bytes, set[str]] = {}
         lengths: dict[int, set[int]] = {}
-        for item, text in items:
+        for item, text in benchmark:
             w = normal_words(text)
             if not w:
                 continue
-            ids = np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w), np.uint64, len(w))
+            ids = np.fromiter((vocabulary.setdefault(x, len(vocabulary) + 1) for x in w), np.uint64, len(w))
             n = min(width, len(w))
-            for i, h in enumerate(self.hashes(ids, n).tolist()):
+            for i, h in enumerate(cls.hashes(ids, n).tolist()):
                 lengths.setdefault(n, set()).add(h)
-                self.items.setdefault(b" ".join(w[i:i + n]), set()).add(item)
-        self.by_length = {n: np.array(sorted(x), np.uint64) for n, x in lengths.items()}
+                items.setdefault(b" ".join(w[i:i + n]), set()).add(item)
+        return vocabulary, items, {n: np.array(sorted(x), np.uint64) for n, x in lengths.items()}
 
     @staticmethod
     def hashes(ids: np.ndarray, n: int) -> np.ndarray:
@@ -111,15 +116,15 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     def scanner(index):
         @F.pandas_udf(kind)
         def scan(texts: pd.Series) -> pd.DataFrame:
-            rows = []
+            rows, windows = [], WindowIndex(*index.value)
             for text in texts:
-                n, hit, items = index.value.scan(text)
+                n, hit, items = windows.scan(text)
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
                 rows.append((n, edge[::2].tolist(), edge[1::2].tolist(), sorted(items)))
             return pd.DataFrame(rows, columns=["n_words", "starts", "ends", "items"])
         return scan
 
-    indexes = [sc.broadcast(WindowIndex([tuple(r) for r in block.toLocalIterator()], width))
+    indexes = [sc.broadcast(WindowIndex.parts([tuple(r) for r in block.toLocalIterator()], width))
                for block in _blocks(bench, max_words)]
     columns = [scanner(index)(F.col("text")) for index in indexes]
     out = docs.withColumn("_scans", F.array(*columns))

@@ -64,18 +64,17 @@ EDGES = re.compile(r"^[^\w@$!|+]+|[^\w@$]+$|[@$!]{3,}$")
 class Decoder:
     """Restores tokens under a trigram table of counts."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, cost: np.ndarray):
+        self.cost = cost
+        self.known: dict[str, str] = {}
+
+    @staticmethod
+    def costs(counts: np.ndarray) -> np.ndarray:
+        """Negative logarithms of p(third | first, second), smoothed by shorter contexts."""
         c = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS).astype(float)
         pair, one = c.sum(2), c.sum((0, 2)) + 1
         back = (c.sum(0) + 5 * one / one.sum()) / (c.sum((0, 2))[:, None] + 5)
-        self.cost = -np.log((c + 5 * back[None]) / (pair[:, :, None] + 5))
-        self.known: dict[str, str] = {}
-
-    def __getstate__(self):
-        return {"cost": self.cost.astype(np.float32)}
-
-    def __setstate__(self, state):
-        self.cost, self.known = state["cost"], {}
+        return -np.log((c + 5 * back[None]) / (pair[:, :, None] + 5)).astype(np.float32)
 
     def word(self, token: str) -> str:
         """The word of a lower-case token."""
@@ -201,7 +200,7 @@ def is_held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, decoder, max_train: int) -> tuple[dict[str, int], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, cost, max_train: int) -> tuple[dict[str, int], np.ndarray]:
     """Word -> weight number, and the weights (the bias last), from labelled rows not held out."""
     y = (labels.where("toxic is not null and doc_id is not null").where(~is_held_out(F.col("doc_id")))
          .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
@@ -209,8 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, decoder, max_train: int) -> tuple[
     rows = docs.select("doc_id", "text").join(broadcast_if_small(cut(y), max_train), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        decoder = Decoder(cost.value)
         for pdf in batches:
-            words = [evidence(decoder.value.restored(x)) for x in pdf["text"]]
+            words = [evidence(decoder.restored(x)) for x in pdf["text"]]
             yield pd.DataFrame({"y": pdf["y"], "words": pd.Series(words, dtype=object)})
 
     rows = cut(rows.select("y", "text").mapInPandas(run, "y int, words array<string>")
@@ -254,17 +254,18 @@ def fit(rows: list[list[int]], y: np.ndarray, n_words: int, share: float, ridge:
 def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    decoder = sc.broadcast(Decoder(trigram_counts(docs)))
-    vocabulary, weights = train(docs, labels, decoder, max_train)
+    # broadcasts hold plain values, so that workers need no module of ours
+    cost = sc.broadcast(Decoder.costs(trigram_counts(docs)))
+    vocabulary, weights = train(docs, labels, cost, max_train)
     model = sc.broadcast((vocabulary, weights))
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        number, w = model.value
+        decoder, (number, w) = Decoder(cost.value), model.value
         for batch in texts:
             out = []
             for text in batch:
-                found = [number[x] for x in evidence(decoder.value.restored(text)) if x in number]
+                found = [number[x] for x in evidence(decoder.restored(text)) if x in number]
                 out.append(1 / (1 + np.exp(-np.clip(w[found].sum() + w[-1], -30, 30))))
             yield pd.Series(out, dtype=float)
 
