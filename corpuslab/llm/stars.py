@@ -1,10 +1,12 @@
 """Links among the members of many buckets, without all pairs of a bucket.
 
-A bucket (one key) may hold thousands of near copies. Each round, every bucket elects one
-leader, and each member outside the leader's component is paired with it: a star, so a round
-makes at most as many candidate pairs as there are members. Pairs are verified exactly, the
-verified links are merged into components, and buckets that still hold several components
-elect another component's leader in the next round. Rounds end when one adds no link.
+A bucket (one key) may hold thousands of near copies. First every bucket elects one leader,
+and each member is paired with it: a star, so there are at most as many candidate pairs as
+members. Pairs are verified exactly and the verified links merged into components. In each
+later round a bucket that still holds several components elects up to ``LEADERS`` members of
+random components, and members of other components are paired with them. A bucket leaves when
+a round has changed none of its components (the first two rounds are always made), so buckets
+of unlike members cost a few stars and chains of links are followed to their end.
 
 The first leader is the most central member: the one whose buckets hold the most members.
 In a group of edited copies that is the text the copies have in common with most others
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components
 
-#: Rounds after the first that are tried even if they add nothing.
+#: Rounds after the first that every bucket with several components takes part in.
 LEAST_EXTRA_ROUNDS = 2
+#: Leaders of a bucket in these and later rounds.
+LEADERS = 8
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -39,22 +43,26 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     the rows that are links. Returns the links and ``(node, root)`` of the linked nodes."""
     rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
     m = cut(members.select("key", "node").join(rank, "node"))
-    links = tested = roots = None
+    links = tested = roots = state = None
     turn = 0
     while True:
-        if roots is None:
-            labelled = m.withColumn("label", F.col("node"))
-            first = F.lit(0)
-        else:
+        labelled, orders = m.withColumn("label", F.col("node")), [F.lit(0)]
+        if roots is not None:
             labelled = m.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            several = cut(labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"))
-                          .where("x <> y").select("key"))
-            labelled = labelled.join(several, "key")
-            first = F.xxhash64(F.lit(turn), "label")
+            now = cut(labelled.groupBy("key").agg(
+                F.min("label").alias("x"), F.max("label").alias("y"),
+                F.sum(F.xxhash64("label").cast("decimal(38,0)")).alias("state")).where("x <> y").select("key", "state"))
+            active = now
+            if turn > LEAST_EXTRA_ROUNDS:
+                active = now.join(state.withColumnRenamed("state", "was"), "key").where("state <> was")
+            state = now
+            labelled = labelled.join(active.select("key"), "key")
+            orders = [F.xxhash64(F.lit(turn * LEADERS + i), "label") for i in range(LEADERS)]
         labelled = cut(labelled)
-        leaders = cut(labelled.groupBy("key").agg(F.min(F.struct(
-            first.alias("o"), (-F.col("rank")).alias("r"), "node", "label")).alias("l"))
-            .select("key", F.col("l.node").alias("leader"), F.col("l.label").alias("leader_label")))
+        chosen = labelled.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(
+            o.alias("o"), (-F.col("rank")).alias("r"), "node", "label")) for o in orders])).alias("l"))
+        leaders = cut(chosen.select("key", F.explode("l").alias("l"))
+                      .select("key", F.col("l.node").alias("leader"), F.col("l.label").alias("leader_label")).distinct())
         pairs = (labelled.join(leaders, "key").where("label <> leader_label")
                  .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
         if tested is not None:
