@@ -17,7 +17,8 @@ from corpuslab.plans import dump_job
 from corpuslab.plans import oracle as o
 from corpuslab.plans.views import wikified_documents
 from corpuslab.profiles import ENGLISH, ESPERANTO
-from corpuslab.session import cut_lineage, table
+from corpuslab.session import cut_lineage, scratch_path, table
+from corpuslab.sources import readers, writers
 
 PROFILES = o.QUERY_PROFILES
 
@@ -567,6 +568,59 @@ def val_bpb_from_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.val_bpb(losses)
 
 
+# ---------------------------------------------------------------------------
+# Sinks, written to the shared folder and read back
+# ---------------------------------------------------------------------------
+
+@register("articles_readback", _CLEANED_CTE + """
+SELECT CAST(doc_id AS VARCHAR) AS id, title, CAST(length(text) AS INTEGER) AS n_chars, md5(text) AS text_md5
+FROM valid""")
+def articles_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1 + S3: the article files."""
+    path = scratch_path(spark, "articles")
+    arts = _valid_articles(spark, sf_dir)
+    writers.write_articles(arts.select("lang", F.col("doc_id").cast("string").alias("id"), "title", "text"), path)
+    return readers.read_articles(spark, path).select(
+        "id", "title", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@register("lines_readback", _LINES_CTE + "SELECT lang, line_no, line FROM numbered")
+def lines_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2 + S5 + P2: the paragraph files, in dump order, read line by line."""
+    path = scratch_path(spark, "lines")
+    pars = paragraphs(_articles_table(spark, sf_dir).select("lang", "doc_id", "text"), "text")
+    writers.write_lines(pars, path, order=["doc_id", "para_pos"])
+    return readers.read_lines(spark, path).select("lang", "line_no", "line")
+
+
+@register("shards_readback", _shards_sql(50, 6535).rsplit("SELECT lang, doc_id, split, idx,", 1)[0] + """
+SELECT sh.lang, sh.split,
+       CAST(CASE WHEN sh.split = 'val' THEN 6542 ELSE s + CASE WHEN s >= 6542 THEN 1 ELSE 0 END END
+            AS INTEGER) AS shard,
+       CAST(count(*) AS BIGINT) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes
+FROM sh JOIN split USING (lang, doc_id) GROUP BY ALL""")
+def shards_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3 (+K7): the shard files."""
+    path = scratch_path(spark, "shards")
+    writers.write_shards(pj.assign_shards(_split_table(spark, sf_dir), 50, 6535), path)
+    return spark.read.parquet(path).groupBy("lang", "split", "shard").agg(
+        F.count("*").cast("bigint").alias("docs"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+
+
+@register("significance_report", _eval_sql(24) + """
+SELECT size || '-' || tokenizer_type AS cell, language, status, baseline_mean, baseline_ci_lo, baseline_n,
+       treatment_mean, treatment_ci_hi, treatment_n, relative_reduction, criterion_met, interpretation FROM ev""")
+def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4 + E6: the nested JSON report."""
+    path = scratch_path(spark, "report")
+    writers.write_report(st.as_records(st.evaluate(logged_runs(spark, sf_dir))), path)
+    return spark.read.json(path).select(
+        "cell", "language", "status", F.col("baseline.mean").alias("baseline_mean"),
+        F.col("baseline.ci_lo").alias("baseline_ci_lo"), F.col("baseline.n").alias("baseline_n"),
+        F.col("treatment.mean").alias("treatment_mean"), F.col("treatment.ci_hi").alias("treatment_ci_hi"),
+        F.col("treatment.n").alias("treatment_n"), "relative_reduction", "criterion_met", "interpretation")
+
+
 # ---------------------------------------------------------------------------
 # Pre-tokens and byte-pair vocabularies (merge learning is iterative: rows-only check)
 # ---------------------------------------------------------------------------

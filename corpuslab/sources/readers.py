@@ -84,12 +84,14 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
-    """Physical lines (``\\n``, ``\\r\\n`` and ``\\r`` end a line) with ``line_no``."""
-    df = spark.read.text(path).select(_input_order().alias("__o"),
-                                      F.col("value").alias("line"))
+    """Physical lines (``\\n``, ``\\r\\n`` and ``\\r`` end a line) with ``line_no``; a folder
+    written per language (K2) is numbered per language."""
+    raw = spark.read.text(path)
+    folders = ["lang"] if lang is None and "lang" in raw.columns else []
+    df = raw.select(*folders, _input_order().alias("__o"), F.col("value").alias("line"))
     if lang is not None:
         df = df.withColumn("lang", F.lit(lang))
-    return with_global_index(df, ["__o"], ["lang"] if lang else None, "line_no").drop("__o")
+    return with_global_index(df, ["__o"], ["lang"] if lang or folders else None, "line_no").drop("__o")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
