@@ -145,3 +145,13 @@ def test_lines_against_brute_force(spark, sf001):
     got = {r["doc_id"]: set(r["gone"]) for r in
            lines.duplicate_lines(spark.read.parquet(f"{sf001}/documents.parquet")).collect()}
     assert got == gone
+
+
+def test_lines_of_repeated_rows(spark):
+    """Equal rows keep their lines; texts of one doc_id lose only their own."""
+    one, two = "A first line of words here", "Another line that stays as it is"
+    rows = [(1, f"{one}\n{two}"), (1, f"{one}\n{two}"), (2, one),
+            (3, "Some five words stand here\ntail"), (3, f"{two}\ntail"),
+            (4, f"{one}\n{one}"), (5, "Only copies hold these words"), (5, "Only copies hold these words")]
+    got = sorted((r["doc_id"], r["text"]) for r in lines.remove_lines(frame(spark, rows)).collect())
+    assert got == sorted([*rows[:2], (2, ""), rows[3], (3, "tail"), (4, ""), *rows[6:]])
