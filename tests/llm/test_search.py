@@ -6,6 +6,7 @@ import random
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,3 +156,46 @@ def test_lines_of_repeated_rows(spark):
             (4, f"{one}\n{one}"), (5, "Only copies hold these words"), (5, "Only copies hold these words")]
     got = sorted((r["doc_id"], r["text"]) for r in lines.remove_lines(frame(spark, rows)).collect())
     assert got == sorted([*rows[:2], (2, ""), rows[3], (3, "tail"), (4, ""), *rows[6:]])
+
+
+def line_links(texts, similarity):
+    """All pairs of lines by edit similarity alone."""
+    return {(a, b) for i, a in enumerate(texts) for b in texts[:i] if lines.similar(a, b, similarity)}
+
+
+@pytest.mark.parametrize("similarity,least", [(0.8, 5), (0.7, 5), (0.9, 5), (0.55, 3)])
+def test_line_keys_meet_for_all_similar_lines(similarity, least):
+    """Whatever the order of the runs, similar lines share a key; few words, so runs repeat."""
+    rng = random.Random(11)
+    texts = set()
+    for n in [*range(least, 26), 40, 60]:
+        for size in (3, 400):
+            w = words(rng, n, size)
+            texts.add(" ".join(w))
+            for _ in range(6):
+                e = list(w)
+                for _ in range(rng.randint(1, lines.most_edits(n + 2, similarity) + 1)):
+                    i = rng.randrange(len(e))
+                    e[i:i + rng.randint(0, 1)] = [f"x{rng.randrange(9)}"] * rng.randint(0, 1)
+                if len(e) >= least:
+                    texts.add(" ".join(e))
+    texts = sorted(texts)
+    links = line_links(texts, similarity)
+    assert len(links) > 100
+    width = lines.run_width(similarity, least)
+    for seed in range(3):
+        ranks = np.random.default_rng(seed).integers(0, 9, lines.CELLS).astype(np.uint8)
+        keys = lines.line_keys([x.encode().split() for x in texts], lines.WordIds(), ranks, similarity, width)
+        of = {x: set(np.frombuffer(k, np.uint64).tolist()) for x, k in zip(texts, keys, strict=True)}
+        assert all(of[a] & of[b] for a, b in links)
+
+
+def test_short_lines_are_searched_fuzzily(spark):
+    """Lines of 5 to 11 words: as many edits as the similarity allows link, one more doesn't."""
+    rng, rows = random.Random(12), []
+    for n in range(5, 12):
+        w = ["".join(rng.choices("abcdefgh", k=8)) for _ in range(n)]
+        rows += [(10 * n, " ".join(w)), (10 * n + 1, " ".join([*w[:-(n // 5)], *"xy"[:n // 5]])),
+                 (10 * n + 2, " ".join([*"pqr"[:n // 5 + 1], *w[n // 5 + 1:]]))]
+    got = {r["doc_id"]: r["text"] for r in lines.remove_lines(frame(spark, rows)).collect()}
+    assert got == {i: "" if i % 10 == 1 else t for i, t in rows}
