@@ -199,3 +199,17 @@ def test_short_lines_are_searched_fuzzily(spark):
                  (10 * n + 2, " ".join([*"pqr"[:n // 5 + 1], *w[n // 5 + 1:]]))]
     got = {r["doc_id"]: r["text"] for r in lines.remove_lines(frame(spark, rows)).collect()}
     assert got == {i: "" if i % 10 == 1 else t for i, t in rows}
+
+
+def test_lines_by_edit_similarity_alone(spark, sf001):
+    """Groups by the definition: equal lines, or edit similarity, whatever keys they have."""
+    df = spark.read.parquet(f"{sf001}/documents.parquet")
+    docs = {r["doc_id"]: r["text"] for r in df.collect()}
+    at = [(d, i, lines.normalised(x)) for d, t in sorted(docs.items()) for i, x in enumerate(t.split("\n"))]
+    at = [x for x in at if len(x[2].split()) >= lines.LEAST_WORDS]
+    names = sorted({x for _, _, x in at})
+    root, first, gone = brute.groups(names, line_links(names, 0.8)), {}, {}
+    for d, i, x in at:
+        if first.setdefault(root[x], (d, i)) != (d, i):
+            gone.setdefault(d, set()).add(i)
+    assert {r["doc_id"]: set(r["gone"]) for r in lines.duplicate_lines(df).collect()} == gone
