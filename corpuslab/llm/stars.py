@@ -4,9 +4,10 @@ A bucket (one key) may hold thousands of near copies. First every bucket elects
 and each member is paired with it: a star, so there are at most as many candidate pairs as
 members. Pairs are verified exactly and the verified links merged into components. In each
 later round a bucket that still holds several components elects up to ``LEADERS`` members of
-random components, and members of other components are paired with them. A bucket leaves when
-a round has changed none of its components (the first two rounds are always made), so buckets
-of unlike members cost a few stars and chains of links are followed to their end.
+random components, and members of other components are paired with them. The pairs of a bucket
+whose members are in different components are counted before each round. As soon as they are
+not more than a round of stars would test, or a round finds no link, all of them are tested, in
+blocks of ``BLOCK`` members, and the search ends: no link between components is left out.
 
 The first leader is the most central member: the one whose buckets hold the most members.
 In a group of edited copies that is the text the copies have in common with most others
@@ -24,10 +25,10 @@ from pyspark.sql import functions as F
 from .common import cut
 from .components import connected_components
 
-#: Rounds after the first that every bucket with several components takes part in.
-LEAST_EXTRA_ROUNDS = 2
-#: Leaders of a bucket in these and later rounds.
+#: Leaders of a bucket in the rounds after the first.
 LEADERS = 8
+#: Members of a bucket that one task pairs with so many others.
+BLOCK = 256
 
 
 def shared_buckets(keys: DataFrame) -> DataFrame:
@@ -43,28 +44,25 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
     the rows that are links. Returns the links and ``(node, root)`` of the linked nodes."""
     rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
     m = cut(members.select("key", "node").join(rank, "node"))
-    links = tested = roots = state = None
+    links = tested = roots = None
     turn = 0
     while True:
-        labelled, orders = m.withColumn("label", F.col("node")), [F.lit(0)]
-        if roots is not None:
-            labelled = m.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            now = cut(labelled.groupBy("key").agg(
-                F.min("label").alias("x"), F.max("label").alias("y"),
-                F.sum(F.xxhash64("label").cast("decimal(38,0)")).alias("state")).where("x <> y").select("key", "state"))
-            active = now
-            if turn > LEAST_EXTRA_ROUNDS:
-                active = now.join(state.withColumnRenamed("state", "was"), "key").where("state <> was")
-            state = now
-            labelled = labelled.join(active.select("key"), "key")
+        labelled, orders, last = m.withColumn("label", F.col("node")), [F.lit(0)], False
+        if turn:
+            if roots is not None:
+                labelled = m.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            # pairs in different components: (members ** 2 - sum of (members of a component) ** 2) / 2
+            n = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+            active = cut(n.groupBy("key").agg(F.sum("n").alias("size"), F.sum(F.col("n") * F.col("n")).alias("within"))
+                         .where("size * size > within"))
+            size, left = active.agg(F.sum("size"), F.sum((F.col("size").cast("double") ** 2 - F.col("within")) / 2)).first()
+            if size is None:
+                break
+            last = left <= LEADERS * size or not found
+            labelled = labelled.join(active.select("key", "size"), "key")
             orders = [F.xxhash64(F.lit(turn * LEADERS + i), "label") for i in range(LEADERS)]
         labelled = cut(labelled)
-        chosen = labelled.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(
-            o.alias("o"), (-F.col("rank")).alias("r"), "node", "label")) for o in orders])).alias("l"))
-        leaders = cut(chosen.select("key", F.explode("l").alias("l"))
-                      .select("key", F.col("l.node").alias("leader"), F.col("l.label").alias("leader_label")).distinct())
-        pairs = (labelled.join(leaders, "key").where("label <> leader_label")
-                 .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+        pairs = all_pairs(labelled) if last else star_pairs(labelled, orders)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
@@ -74,8 +72,33 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
         links = new if links is None else links.unionByName(new)
         if found:
             roots = cut(connected_components(links))
-        elif roots is None:
-            return links, new.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        if turn >= LEAST_EXTRA_ROUNDS and not found:
-            return links, roots
+        if last:
+            break
         turn += 1
+    if roots is None:
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return links, roots
+
+
+def star_pairs(labelled: DataFrame, orders: list) -> DataFrame:
+    """Pairs of a leader (the first of its bucket in an order) and a member of another component."""
+    chosen = labelled.groupBy("key").agg(F.array_distinct(F.array(*[F.min(F.struct(
+        o.alias("o"), (-F.col("rank")).alias("r"), "node", "label")) for o in orders])).alias("l"))
+    leaders = cut(chosen.select("key", F.explode("l").alias("l"))
+                  .select("key", F.col("l.node").alias("leader"), F.col("l.label").alias("leader_label")).distinct())
+    return (labelled.join(leaders, "key").where("label <> leader_label")
+            .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct())
+
+
+def all_pairs(labelled: DataFrame) -> DataFrame:
+    """All pairs of members of a bucket in different components. A bucket is dealt into blocks,
+    and each two blocks (or one with itself) are joined by a key of their own."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    d = labelled.select("key", "node", "label", blocks.alias("blocks"),
+                        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    one = d.select("key", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"),
+                   F.col("node").alias("x"), F.col("label").alias("lx"))
+    two = d.select("key", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"),
+                   F.col("node").alias("y"), F.col("label").alias("ly"))
+    return (one.join(two, ["key", "i", "j"]).where("lx <> ly and (i < j or x < y)")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())

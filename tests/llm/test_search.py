@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from corpuslab.llm import components, lines, minhash  # noqa: E402
+from corpuslab.llm import components, lines, minhash, stars  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -213,3 +213,15 @@ def test_lines_by_edit_similarity_alone(spark, sf001):
         if first.setdefault(root[x], (d, i)) != (d, i):
             gone.setdefault(d, set()).add(i)
     assert {r["doc_id"]: set(r["gone"]) for r in lines.duplicate_lines(df).collect()} == gone
+
+
+@pytest.mark.parametrize("linked", [[], [(700, 900)], [(i, i + 1) for i in range(200, 260)] + [(40, 990), (41, 991)]])
+def test_stars_test_all_pairs_of_a_bucket(spark, linked):
+    """One bucket of 1,000 unlike members but for a few links that no leader need witness."""
+    members = spark.range(1000).selectExpr("1L as key", "id as node", "1000L as members").unionByName(
+        spark.sql("select 2L as key, id as node, 3L as members from range(3)"))
+    truth = spark.createDataFrame([*linked, (-1, -1)], "a long, b long")
+    _, roots = stars.star_links(members, lambda pairs: pairs.join(truth, ["a", "b"]))
+    want = brute.groups(range(1000), linked)
+    in_links = {x for e in linked for x in e}
+    assert {r["node"]: r["root"] for r in roots.collect()} == {k: want[k] for k in in_links}
