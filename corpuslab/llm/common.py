@@ -56,6 +56,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def quoted(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with as many underscores behind it as make it a name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only (``lower`` would also change other alphabets)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

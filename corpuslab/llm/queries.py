@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontamination, lines, minhash, mixing, personal, quality, scoring, secrets, toxicity, urls
+from . import (
+    decontamination,
+    divergence,
+    lines,
+    minhash,
+    mixing,
+    overlap,
+    periods,
+    personal,
+    quality,
+    scoring,
+    secrets,
+    toxicity,
+    urls,
+)
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -17,6 +31,9 @@ QUERIES = {
     "op8_secret_scan": secrets.op8_secret_scan,
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_ngram_join": overlap.op11_ngram_join,
+    "op12_periodic_runs": periods.op12_periodic_runs,
+    "op13_source_divergence": divergence.op13_source_divergence,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -25,4 +42,5 @@ ORACLE = {
     "op5_decontamination": decontamination.OP5_SQL,
     "op6_mixing": mixing.OP6_SQL,
     "op10_quality_rules": quality.OP10_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
