@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_CACHED_WORDS, free_name, mix, quoted, read, words
+from .common import MAX_CACHED_WORDS, free_name, mix, n_words, quoted, read, words
 
 #: Positions of a block of an ordered set.
 BLOCK = 1024
@@ -236,14 +236,16 @@ def planted(doc_id: Column, text: Column) -> Column:
     """``text``, for a tenth of the documents (by crc32 of the id) with a periodic end: word i >= a
     becomes word a + (i - a) % p. A null id or a text without words changes nothing."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    w = words(text)
-    n = F.nullif(F.size(w), F.lit(0))
     g = F.floor(h / 10)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    changed = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(
-        w, F.when(i < a, i).otherwise(a + (i - a) % p))), " ")
-    return F.when((h % 10 == 0) & n.isNotNull(), changed).otherwise(text)
+
+    def turned(w: Column) -> Column:
+        a = (g % F.size(w)).cast("int")
+        p = (1 + F.floor((F.size(w) - a) / (3 + g % 8))).cast("int")
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p)))
+
+    # bound by an array of one, so that the words are split once and not for each of them
+    changed = F.array_join(F.get(F.transform(F.array(words(text)), turned), 0), " ")
+    return F.when((h % 10 == 0) & (n_words(text) > 0), changed).otherwise(text)
 
 
 def op12_periodic_runs(spark, sf_dir: str) -> DataFrame:
