@@ -13,10 +13,10 @@ different shingle sets, columns the n-grams.
    smallest row); all links lie inside families.
 3. A family is dealt into row blocks of ``ROW_BLOCK``. A task owns a (row block, row block) cell: it
    accumulates overlap counts over slices of columns as products of incidence blocks, drops the
-   pairs whose sizes or overlaps are below the bound, and passes on a spanning forest of the links
-   that remain, not all pairs.
-4. Larger families: first each row block with itself, then one row of each component found, then
-   the cells of the families that still have more than one component.
+   pairs whose sizes or overlaps are below the bound, unites the rest and passes on the smallest
+   row that each row reaches in the cell, not all pairs.
+4. A family of one row block is done. In a larger one, first each block is a cell with itself, then
+   one row of each component found, then all cells of the families that still have several.
 
 All steps are exact on 64-bit hashes of n-grams; there is no cap. Equal sets are one row from the
 start, so copies cost nothing. A family of K different sets that stay apart costs the cells of
@@ -151,8 +151,8 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, width: int, repeated: bool)
     return rows.join(broadcast_if_small(wanted), "node").select(*wanted.columns, run("text").alias("hashes"))
 
 
-def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
-    """Those of ``pairs`` of 0 .. n - 1 that a union-find joins: a spanning forest."""
+def smallest_reached(pairs: np.ndarray, n: int) -> np.ndarray:
+    """For each of 0 .. n - 1 the smallest that the links ``pairs`` reach, by a union-find."""
     parent = list(range(n))
 
     def root(i: int) -> int:
@@ -160,26 +160,25 @@ def forest(pairs: np.ndarray, n: int) -> list[tuple[int, int]]:
             parent[i] = i = parent[parent[i]]
         return i
 
-    out = []
     for a, b in pairs.tolist():
-        x, y = root(a), root(b)
-        if x != y:
-            parent[y] = x
-            out.append((a, b))
-    return out
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return np.array([root(i) for i in range(n)], np.int64)
 
 
-def linked_rows(sets: list[np.ndarray], other: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs of ``sets``: pairs of a row not ``other`` with one that
-    is, or all pairs if none is. Overlap counts are sums of products of incidence blocks."""
+def linked_rows(sets: list[np.ndarray], other: np.ndarray, percent: int) -> np.ndarray:
+    """The linked pairs of ``sets``: of a row not ``other`` with one that is, or of any two if none
+    is. Overlap counts are sums of products of incidence blocks."""
+    nothing = np.zeros((0, 2), np.int64)
     sizes = np.array([len(s) for s in sets], np.int64)
     order = np.argsort(sizes, kind="stable")
     rows, cols = (order[~other[order]], order[other[order]]) if other.any() else (order, order)
-    if not len(rows) or not len(cols):
-        return []
+    if len(sets) < 2 or not len(rows) or not len(cols):
+        return nothing
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if both >= overlap_bound(sizes[0], sizes[1], percent) else []
+        return np.array([[0, 1]]) if both >= overlap_bound(sizes[0], sizes[1], percent) else nothing
     # columns that a single row has add nothing
     flat = np.concatenate(sets)
     at = np.repeat(np.arange(len(sets)), sizes)
@@ -207,23 +206,26 @@ def linked_rows(sets: list[np.ndarray], other: np.ndarray, percent: int) -> list
     bound = overlap_bound(sizes[rows][:, None], sizes[cols][None, :], percent)
     i, j = np.nonzero(count >= bound)
     a, b = rows[i], cols[j]
-    pairs = np.stack((a, b), axis=1)[a != b]
-    return forest(pairs, len(sets))
+    return np.stack((a, b), axis=1)[a != b]
 
 
-def cell_links(cells: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: a spanning forest of the links of each cell of ``(family, i, j, other, node, hashes)``."""
+def cell_roots(cells: DataFrame, percent: int) -> DataFrame:
+    """``(node, root, whole)``: for the rows of each cell of ``(family, i, j, other, whole, node,
+    hashes)`` that are linked with another one, the smallest node that links in the cell reach."""
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell[cell["hashes"].str.len() > 0]  # a node may have an empty text besides others
+        cell = cell[cell["hashes"].str.len() > 0].sort_values("node")  # a node may have an empty text too
         sets = [np.frombuffer(x, np.uint64) for x in cell["hashes"]]
         node = cell["node"].to_numpy()
-        found = linked_rows(sets, cell["other"].to_numpy(bool), percent) if len(sets) > 1 else []
-        return pd.DataFrame({"a": [node[a] for a, _ in found], "b": [node[b] for _, b in found]})
+        same = np.flatnonzero(node[1:] == node[:-1])  # several texts of one node
+        pairs = np.concatenate((linked_rows(sets, cell["other"].to_numpy(bool), percent),
+                                np.stack((same, same + 1), axis=1)))
+        root = smallest_reached(pairs, len(sets))
+        linked = np.bincount(root, minlength=len(sets))[root] > 1
+        return pd.DataFrame({"node": node[linked], "root": node[root[linked]], "whole": cell["whole"].to_numpy()[linked]})
 
     kind = cells.schema["node"].dataType.simpleString()
-    found = cells.groupBy("family", "i", "j").applyInPandas(run, f"a {kind}, b {kind}")
-    return cut(found.where("a <> b").distinct())
+    return cut(cells.groupBy("family", "i", "j").applyInPandas(run, f"node {kind}, root {kind}, whole boolean"))
 
 
 def blocked(rows: DataFrame, family: DataFrame) -> DataFrame:
@@ -236,37 +238,44 @@ def blocked(rows: DataFrame, family: DataFrame) -> DataFrame:
 
 
 def square(rows: DataFrame, diagonal: bool) -> DataFrame:
-    """The cells of all two row blocks of a family, or of each row block with itself."""
+    """The cells of all two row blocks of a family, or of each row block with itself; ``whole`` if
+    that is all of the family."""
     if diagonal:
-        return rows.select("family", F.col("block").alias("i"), F.col("block").alias("j"),
-                           F.lit(False).alias("other"), "node", "hashes")
+        return rows.select("family", F.col("block").alias("i"), F.col("block").alias("j"), F.lit(False).alias("other"),
+                           (F.col("blocks") == 1).alias("whole"), "node", "hashes")
     spread = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("with <> block")
     return spread.select("family", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"),
-                         (F.col("block") > F.col("with")).alias("other"), "node", "hashes")
+                         (F.col("block") > F.col("with")).alias("other"), F.lit(False).alias("whole"), "node", "hashes")
 
 
-def family_links(rows: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)`` links of ``rows(node, family, blocks, block, hashes)`` that connect what all links
-    connect."""
-    links = cell_links(square(rows, True), percent)
+def family_roots(rows: DataFrame, percent: int) -> DataFrame:
+    """``(node, root)`` of the linked nodes of ``rows(node, family, blocks, block, hashes)``: the
+    smallest node that the links of the family reach."""
+    first = cell_roots(square(rows, True), percent)
     rows = rows.where("blocks > 1")
+    done = first.where("whole and node <> root").select("node", "root")
     if rows.limit(1).count() == 0:
-        return links
-    # one row of each component, then whatever is still apart
-    reps = labelled(rows, links).where("node = label").select("node", "family", "hashes")
-    few = shared_table(blocked(reps, reps), "overlap-representatives")
-    links = links.unionByName(cell_links(square(few, True).unionByName(square(few, False)), percent))
-    apart = labelled(rows.select("node", "family"), links).groupBy("family") \
-        .agg(F.min("label").alias("first"), F.max("label").alias("last")).where("first <> last").select("family")
-    rest = rows.join(broadcast_if_small(cut(apart)), "family", "left_semi")
-    return links.unionByName(cell_links(square(rest, False), percent))
-
-
-def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with the smallest node that ``links`` connect theirs with as ``label``."""
-    roots = connected_components(links)
-    return rows.join(roots.withColumnRenamed("root", "label"), "node", "left") \
-        .withColumn("label", F.coalesce("label", "node"))
+        return done
+    # one row of each component of a block, then whatever is still apart
+    label = F.coalesce("root", "node").alias("label")
+    inside = first.where("not whole").select("node", "root")
+    members = cut(rows.select("node", "family").distinct().join(inside, "node", "left").select("node", "family", label))
+    heads = members.where("node = label").select("node", "family")
+    reps = rows.select("node", "hashes").join(cut(blocked(heads, heads)), "node")
+    reps = shared_table(reps, "overlap-representatives")
+    across = connected_components(cell_roots(square(reps, True).unionByName(square(reps, False)), percent)
+                                  .select(F.col("node").alias("a"), F.col("root").alias("b")))
+    members = members.join(across.select(F.col("node").alias("label"), "root"), "label", "left") \
+        .select("node", "family", F.coalesce("root", "label").alias("label"))
+    members = cut(members)
+    apart = cut(members.groupBy("family").agg(F.min("label").alias("first"), F.max("label").alias("last"))
+                .where("first <> last").select("family"))
+    if apart.limit(1).count():
+        rest = cell_roots(square(rows.join(broadcast_if_small(apart), "family", "left_semi"), False), percent)
+        links = rest.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(
+            members.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return done.unionByName(connected_components(links))
+    return done.unionByName(members.where("node <> label").select("node", F.col("label").alias("root")))
 
 
 def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -281,16 +290,23 @@ def jaccard_join(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     stars = cut(keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").drop("z"))
     near = keys.join(stars, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     family = cut(connected_components(near).withColumnRenamed("root", "family"))
-    repeated = named.groupBy("doc_id", "h1", "h2").count().where("count > 1").limit(1).count() > 0
+    texts = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("h1").alias("one"), F.max("h1").alias("two"))
+                .where("rows > 1"))
+    repeated = texts.limit(1).count() > 0
     sets = shared_table(wanted_sets(docs, cut(blocked(family, family)), width, repeated), "overlap-sets")
-    links = family_links(sets, percent)
-    # texts of one doc_id belong together, and so do documents of one set
-    own = named.select("doc_id", "h1", "h2").join(classes.where("node <> last").select("h1", "h2", "node"), ["h1", "h2"])
-    links = links.unionByName(own.where("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
-    roots = connected_components(links).withColumnRenamed("node", "doc_id")
-    out = d.select("doc_id", "n").join(roots, "doc_id", "left")
+    roots = family_roots(sets, percent)
+    if repeated:  # the sets of one doc_id belong together
+        own = named.join(texts.where("one <> two").select("doc_id"), "doc_id").select("doc_id", "h1", "h2") \
+            .join(classes.select("h1", "h2", "node"), ["h1", "h2"])
+        links = own.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).unionByName(
+            roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = connected_components(links)
+    shown = classes.join(roots, "node", "left").where("node <> last or root is not null") \
+        .select("h1", "h2", F.coalesce("root", "node").alias("component"))
+    out = d.select("doc_id", "n", "h1", "h2").join(cut(shown), ["h1", "h2"], "left")
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
     return out.select("doc_id", F.col("n").alias("n_shingles"),
-                      F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+                      F.when(alone, F.col("doc_id")).otherwise(F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def op11_ngram_join(spark, sf_dir: str) -> DataFrame:
