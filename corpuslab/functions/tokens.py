@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 # Fixed value: the training split pattern (contractions, letters with one optional
 # leading symbol, 1-2 digits, symbol runs, newlines, spaces). Java regex supports
 # its possessive quantifiers and look-ahead; RE2 does not.
-TRAIN_SPLIT_PATTERN = (r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++"
-                       r"[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+")
+TRAIN_SPLIT_PATTERN = r"'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,2}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
 # Fixed value: the byte-level pre-tokenizer pattern (GPT-2 style, no prefix space).
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same without look-ahead: both Java and RE2 accept it (oracle-checkable variant).

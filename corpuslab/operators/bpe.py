@@ -1,45 +1,43 @@
-"""Byte-pair vocabularies as Spark jobs.
-
-B1 ``word_freqs``: pre-tokens of the (prefix-cut) training texts, counted with a
-   distributed ``groupBy(lang, word)`` -- the heavy pass over the corpus.
-B2/B3 ``learn_merges``: rounds over the distinct-word table. Each round counts
-   adjacent symbol pairs weighted by word frequency (a distributed aggregate),
-   fetches the top candidates per language (bounded: ``top_k`` rows each),
-   chooses a batch of merges that sequential greedy learning would also make in
-   that order, and rewrites the symbol arrays with one ``aggregate`` fold. The
-   word table is cut from its lineage with a reliable checkpoint every round:
-   stacked folds would otherwise be inlined into each other by Catalyst.
-   Order of merges: count desc, then left id, then right id.
-B4 ``encode_words``: each *distinct* word is encoded once in ``mapInPandas``
-   with the broadcast merge table; documents are never encoded one by one.
+"""Byte-pair vocabularies as Spark jobs (B1, B4-B7, B9; learning, B2/B3, is in ``merges``).
+
+B1 ``word_freqs``: pre-tokens of the training texts, counted with a distributed
+   ``groupBy(lang, word)`` -- the heavy pass over the corpus.
+B2 ``learn_eval_merges``: the evaluation variant: specials, the bytes seen, then merges of a
+   count of two or more, up to the vocabulary size. B3 ``learn_train_merges``: 256 bytes, merges,
+   specials last.
+B4 ``encode_words``: each *distinct* word once; ``encode_docs``: the ids of whole documents, in the
+   tasks that hold them, with a bounded cache of encoded words. No shuffle of tokens.
 B5 ``token_counts``: ``sum(freq * n_ids)`` over words joined with their encodings.
-B6 ``roundtrip_mismatches``: decode = concatenated token bytes, compared per word.
-B7 ``vocab_table``: token bytes per id, true and decoded-alone lengths.
+B6 ``decode``: ids back to text, a built-in expression over a table of a row per language.
+B7 ``vocab_table``: token bytes per id, true and decoded-alone lengths; the bytes of merges come
+   from repeated substitution over the merge table (its depth halves each time).
 B9 unknown symbols (evaluation variant): bytes not seen in training map to [UNK].
 
-Symbols are internal ids: 0-255 are bytes, merges get 256, 257, ... Final token
-ids are assigned by ``vocab_table`` per variant.
+Symbols 0-255 are bytes, merges get 256, 257, ...; final token ids differ per variant.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import prefix
 from corpuslab.functions.tokens import BYTE_LEVEL_PATTERN, TRAIN_SPLIT_PATTERN, byte_ids, pretokens
-from corpuslab.session import cut_lineage
+from corpuslab.operators.merges import Merges, learn_merges, merge_word
+from corpuslab.session import drop_table, written_table
 
-# Vocabulary sizes and specials of the two variants.
+# Vocabulary size and specials of the two variants.
 VOCAB_SIZE = 8192
 TRAIN_SPECIALS = [f"<|reserved_{i}|>" for i in range(4)]   # appended after the merges
 EVAL_SPECIALS = ["[PAD]", "[UNK]", "[BOS]", "[EOS]"]       # ids 0-3, before the alphabet
+UNK = EVAL_SPECIALS.index("[UNK]")
 EVAL_MIN_FREQ = 2
 TRAIN_PREFIX_CHARS = 10_000
-KEY_SHIFT = 1 << 20  # pair key = left * KEY_SHIFT + right (ids stay below 2^20)
+#: Encoded words that a task remembers.
+MAX_CACHED_WORDS = 200_000
 
 
 def word_freqs(texts: DataFrame, text_col: str = "text", by: list[str] | None = None,
@@ -56,284 +54,156 @@ def word_freqs(texts: DataFrame, text_col: str = "text", by: list[str] | None =
         .withColumn("syms", byte_ids(F.col("word")))
 
 
-@dataclass
-class Merges:
-    """Learned merges per language: ``lang -> [(left, right, new_id, count)]`` in rank order."""
-    merges: dict[str, list[tuple[int, int, int, int]]] = field(default_factory=dict)
-    alphabet: dict[str, list[int]] = field(default_factory=dict)
-    rounds: int = 0
+def learn_train_merges(words: DataFrame, vocab_size: int = VOCAB_SIZE, **kw) -> Merges:
+    """Merges up to ``vocab_size`` entries with the 256 bytes and the specials."""
+    return learn_merges(words, vocab_size - len(TRAIN_SPECIALS) - 256, **kw)
 
-    def frame(self, spark) -> DataFrame:
-        rows = [(lang, rank, l, r, n, c) for lang, ms in self.merges.items()
-                for rank, (l, r, n, c) in enumerate(ms)]
-        return spark.createDataFrame(
-            rows, "lang string, rank int, left_id int, right_id int, new_id int, freq bigint")
 
+def learn_eval_merges(words: DataFrame, vocab_size: int = VOCAB_SIZE, **kw) -> Merges:
+    """B2: merges up to ``vocab_size`` entries with the specials and the bytes seen, of pairs that
+    occur ``EVAL_MIN_FREQ`` times."""
+    seen = words.select("lang", F.explode(F.array_distinct("syms")).alias("b")).groupBy("lang") \
+        .agg(F.count_distinct("b").alias("n")).collect()  # a row a language
+    room = {r.lang: max(0, vocab_size - len(EVAL_SPECIALS) - r.n) for r in seen}
+    return learn_merges(words, room, min_freq=EVAL_MIN_FREQ, **kw)
 
-def _pair_counts(words: DataFrame) -> DataFrame:
-    n = F.size("syms")
-    pairs = words.where(n > 1).select(
-        "lang", "freq",
-        F.explode(F.arrays_zip(F.slice("syms", 1, n - 1).alias("l"),
-                               F.slice("syms", 2, n - 1).alias("r"))).alias("p"))
-    return pairs.groupBy("lang", F.col("p.l").alias("l"), F.col("p.r").alias("r")) \
-        .agg(F.sum("freq").alias("cnt"))
 
+# ---------------------------------------------------------------------------
+# Vocabulary
+# ---------------------------------------------------------------------------
 
-def choose_batch(cands: list[tuple[int, int, int]], min_freq: int, limit: int,
-                 complete: bool) -> list[tuple[int, int, int]]:
-    """Pairs sequential greedy learning would take next, in order.
+def _binary(symbols: Column) -> Column:
+    """Byte symbols put together."""
+    return F.unhex(F.array_join(F.transform(symbols, lambda x: F.lpad(F.hex(x.cast("bigint")), 2, "0")), ""))
+
+
+def merged_bytes(merges: DataFrame) -> DataFrame:
+    """``(lang, id, token)``: the bytes of every merge. All parts that are merges themselves are
+    replaced by their parts, until only bytes are left: log2(depth) rounds over the merge table."""
+    parts = written_table(merges.select("lang", F.col("new_id").alias("id"), F.array("left_id", "right_id").alias("parts")),
+                          "token-parts")
+    while parts.where(F.exists("parts", lambda x: x > 255)).limit(1).count():
+        each = parts.select("lang", "id", F.posexplode("parts").alias("pos", "part"))
+        inner = parts.select("lang", F.col("id").alias("part"), F.col("parts").alias("inner"))
+        spread = each.join(inner, ["lang", "part"], "left").select(
+            "lang", "id", F.struct("pos", F.coalesce("inner", F.array("part")).alias("p")).alias("s"))
+        longer = spread.groupBy("lang", "id").agg(F.array_sort(F.collect_list("s")).alias("s")) \
+            .select("lang", "id", F.flatten(F.transform("s", lambda x: x["p"])).alias("parts"))
+        old, parts = parts, written_table(longer, "token-parts")
+        drop_table(old)
+    return parts.select("lang", "id", _binary(F.col("parts")).alias("token"))
+
+
+def vocab_table(spark: SparkSession, m: Merges, variant: str = "train") -> DataFrame:
+    """``(lang, token_id, token BINARY, is_special, n_bytes, n_bytes_decoded)``.
 
-    ``cands``: (left, right, count) sorted by count desc, left, right; ``complete``
-    says whether the list holds every pair (else only the top). A pair is taken
-    only if it shares no symbol with a taken pair, no pair met so far shares a
-    symbol with a taken pair, every pair tied with it is visible and none of
-    those touches a taken pair; the batch stops after a pair of equal symbols.
+    ``train``: bytes, merges, specials; ``eval``: specials, the bytes seen, merges. ``n_bytes`` is
+    the true length (specials 0); ``n_bytes_decoded`` that of the token decoded alone, where
+    broken UTF-8 reads as replacement characters.
     """
-    taken: list[tuple[int, int, int]] = []
-    used: set[int] = set()
-    for i, (l, r, c) in enumerate(cands):
-        if c < min_freq or len(taken) >= limit:
-            break
-        if l in used or r in used:
-            break
-        if taken:
-            ties = [x for x in cands[i:] if x[2] == c]
-            if not complete and cands[-1][2] == c:
-                break
-            if any(x[0] in used or x[1] in used for x in ties):
-                break
-        taken.append((l, r, c))
-        used.update((l, r))
-        if l == r:
-            break
-    return taken
-
-
-def _rewrite(words: DataFrame, batch: dict[str, dict[int, int]]) -> DataFrame:
-    """Apply a batch of merges (per language) to every word, left to right."""
-    keys, vals, langs = [], [], []
-    for lang, m in batch.items():
-        for k, v in m.items():
-            langs.append(lang)
-            keys.append(k)
-            vals.append(v)
-    if not keys:
-        return words
-    table = F.map_from_arrays(
-        F.array(*[F.lit(f"{lg}|{k}") for lg, k in zip(langs, keys)]),
-        F.array(*[F.lit(v) for v in vals]))
-    n = F.size("syms")
-
-    def step(acc, i):
-        key = F.concat_ws("|", F.col("lang"),
-                          (F.element_at("syms", i + 1).cast("bigint") * KEY_SHIFT
-                           + F.element_at("syms", F.least(i + 2, n)).cast("bigint")).cast("string"))
-        hit = (i < n - 1) & F.map_contains_key(table, key)
-        merged = F.struct(F.concat(acc["out"], F.array(F.try_element_at(table, key))).alias("out"),
-                          F.lit(True).alias("skip"))
-        plain = F.struct(F.concat(acc["out"], F.array(F.element_at("syms", i + 1))).alias("out"),
-                         F.lit(False).alias("skip"))
-        keep = F.struct(acc["out"].alias("out"), F.lit(False).alias("skip"))
-        return F.when(acc["skip"], keep).otherwise(F.when(hit, merged).otherwise(plain))
-
-    init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(False).alias("skip"))
-    folded = F.aggregate(F.sequence(F.lit(0), n - 1), init, step, lambda acc: acc["out"])
-    touched = F.col("lang").isin(list(batch))
-    return words.withColumn("syms", F.when(touched & (n > 1), folded).otherwise(F.col("syms")))
-
-
-def learn_merges(words: DataFrame, num_merges: int | dict[str, int], min_freq: int = 1,
-                 top_k: int = 64, batch_limit: int = 64, checkpoint_every: int = 1) -> Merges:
-    """Learn up to ``num_merges`` merges per language from ``(lang, freq, syms)``."""
-    spark = words.sparkSession
-    w = cut_lineage(words.select("lang", "freq", "syms").repartition("lang", "syms"))
-    langs = [r.lang for r in w.select("lang").distinct().collect()]
-    # at most 256 distinct byte symbols per language reach the driver
-    alphabet = {r.lang: sorted(r.a) for r in
-                w.select("lang", F.explode("syms").alias("b")).distinct()
-                .groupBy("lang").agg(F.collect_list("b").alias("a")).collect()}
-    target = num_merges if isinstance(num_merges, dict) else {lg: num_merges for lg in langs}
-    result = Merges({lg: [] for lg in langs}, alphabet)
-    next_id = {lg: 256 for lg in langs}
-    active = [lg for lg in langs if target.get(lg, 0) > 0]
-    rounds = 0
-    while active:
-        counts = _pair_counts(w.where(F.col("lang").isin(active)))
-        rank = Window.partitionBy("lang").orderBy(F.desc("cnt"), "l", "r")
-        top = counts.withColumn("rk", F.row_number().over(rank)).where(F.col("rk") <= top_k + 1)
-        by_lang: dict[str, list[tuple[int, int, int]]] = {lg: [] for lg in active}
-        for row in top.orderBy("lang", "rk").collect():
-            by_lang[row.lang].append((row.l, row.r, row.cnt))
-        batch: dict[str, dict[int, int]] = {}
-        still = []
-        for lg in active:
-            cands = by_lang[lg]
-            complete = len(cands) <= top_k
-            left = target[lg] - len(result.merges[lg])
-            chosen = choose_batch(cands[:top_k] if not complete else cands, min_freq,
-                                  min(batch_limit, left), complete)
-            if not chosen:
-                continue
-            m = {}
-            for l, r, c in chosen:
-                nid = next_id[lg]
-                next_id[lg] += 1
-                result.merges[lg].append((l, r, nid, c))
-                m[l * KEY_SHIFT + r] = nid
-            batch[lg] = m
-            if len(result.merges[lg]) < target[lg]:
-                still.append(lg)
-        if not batch:
-            break
-        w = _rewrite(w, batch)
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            w = cut_lineage(w)
-        active = still
-    result.rounds = rounds
-    return result
-
-
-def naive_merges(words: list[tuple[bytes, int]], num_merges: int, min_freq: int = 1
-                 ) -> list[tuple[int, int, int, int]]:
-    """Reference loop for tests: one merge at a time, same order rule."""
-    seqs = [(list(wd), f) for wd, f in words]
-    out = []
-    nid = 256
-    for _ in range(num_merges):
-        cnt: dict[tuple[int, int], int] = {}
-        for s, f in seqs:
-            for a, b in zip(s, s[1:]):
-                cnt[(a, b)] = cnt.get((a, b), 0) + f
-        if not cnt:
-            break
-        (l, r), c = min(cnt.items(), key=lambda kv: (-kv[1], kv[0][0], kv[0][1]))
-        if c < min_freq:
-            break
-        out.append((l, r, nid, c))
-        new = []
-        for s, f in seqs:
-            o, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and s[i] == l and s[i + 1] == r:
-                    o.append(nid)
-                    i += 2
-                else:
-                    o.append(s[i])
-                    i += 1
-            new.append((o, f))
-        seqs = new
-        nid += 1
-    return out
+    merges = m.frame(spark)
+    langs = spark.createDataFrame([(lang, symbols) for lang, symbols in m.alphabet.items()], "lang string, seen array<int>")
+    sizes = langs.join(merges.groupBy("lang").agg(F.count(F.lit(1)).cast("int").alias("n")), "lang", "left").na.fill(0, ["n"])
+    names = TRAIN_SPECIALS if variant == "train" else EVAL_SPECIALS
+    first_byte = 0 if variant == "train" else len(names)
+    alphabet = F.sequence(F.lit(0), F.lit(255)) if variant == "train" else F.array_sort("seen")
+    plain = sizes.select("lang", F.size(alphabet).alias("width"), F.posexplode(alphabet).alias("pos", "b")) \
+        .select("lang", (F.col("pos") + first_byte).alias("token_id"), _binary(F.array("b")).alias("token"))
+    first_merge = sizes.select("lang", (F.size(alphabet) + first_byte - 256).alias("shift"))
+    merged = merged_bytes(merges).join(F.broadcast(first_merge), "lang") \
+        .select("lang", (F.col("id") + F.col("shift")).alias("token_id"), "token")
+    base = F.size(alphabet) + F.col("n") if variant == "train" else F.lit(0)
+    special = sizes.select("lang", base.alias("base"), F.posexplode(F.array(*map(F.lit, names))).alias("pos", "name")) \
+        .select("lang", (F.col("base") + F.col("pos")).alias("token_id"), F.encode("name", "UTF-8").alias("token"))
+    every = plain.unionByName(merged).withColumn("is_special", F.lit(False)) \
+        .unionByName(special.withColumn("is_special", F.lit(True)))
+
+    def unless_special(n: Column) -> Column:
+        return F.when(F.col("is_special"), 0).otherwise(n).cast("int")
+
+    return every.select(
+        "lang", F.col("token_id").cast("int"), "token", "is_special", unless_special(F.octet_length("token")).alias("n_bytes"),
+        unless_special(F.octet_length(F.make_valid_utf8(F.col("token").cast("string")))).alias("n_bytes_decoded"))
 
 
 # ---------------------------------------------------------------------------
-# Vocabulary, encoding, counting
+# Encoding, counting, decoding
 # ---------------------------------------------------------------------------
 
-def token_bytes_map(merges: list[tuple[int, int, int, int]]) -> dict[int, bytes]:
-    tb = {i: bytes([i]) for i in range(256)}
-    for l, r, n, _ in merges:
-        tb[n] = tb[l] + tb[r]
-    return tb
-
-
-def final_ids(m: Merges, lang: str, variant: str) -> dict[int, int]:
-    """Internal symbol id -> token id. ``train``: bytes 0-255 then merges (specials
-    last). ``eval``: specials 0-3, the seen alphabet, then merges."""
-    ms = m.merges[lang]
-    if variant == "train":
-        ids = {i: i for i in range(256)}
-        ids.update({n: n for _, _, n, _ in ms})
-        return ids
-    ids = {}
-    nxt = len(EVAL_SPECIALS)
-    for b in m.alphabet[lang]:
-        if b < 256:
-            ids[b] = nxt
-            nxt += 1
-    for _, _, n, _ in ms:
-        ids[n] = nxt
-        nxt += 1
-    return ids
-
-
-def vocab_table(spark, m: Merges, variant: str = "train") -> DataFrame:
-    """``(lang, token_id, token BINARY, is_special, n_bytes, n_bytes_decoded)``.
+class Encoder:
+    """What a task needs to encode: merge ranks and final ids of every language (bounded by the
+    vocabulary size)."""
+
+    def __init__(self, m: Merges, variant: str):
+        self.ranks, self.ids = {}, {}
+        for lang, merges in m.merges.items():
+            self.ranks[lang] = {a << 20 | b: (rank, new) for rank, (a, b, new, _) in enumerate(merges)}
+            if variant == "train":
+                self.ids[lang] = None
+            else:
+                ids = {b: len(EVAL_SPECIALS) + k for k, b in enumerate(m.alphabet[lang])}
+                first = len(EVAL_SPECIALS) + len(ids) - 256
+                self.ids[lang] = ids | {new: new + first for _, _, new, _ in merges}
+
+    def __call__(self, lang: str, word: str) -> list[int]:
+        found = merge_word(list(word.encode("utf-8", "surrogatepass")), self.ranks[lang])
+        ids = self.ids[lang]
+        return found if ids is None else [ids.get(x, UNK) for x in found]
+
+
+def encode_words(words: DataFrame, m: Merges, variant: str = "train", vocab_lang: str | None = None) -> DataFrame:
+    """B4 (+B9): ``(lang, word, ids ARRAY<INT>)`` for each distinct word, with the vocabulary of its
+    language or of ``vocab_lang``; words of a language without a vocabulary are left out. In the
+    ``eval`` variant bytes never seen in training encode as [UNK]."""
+    spark = words.sparkSession
+    encoder = spark.sparkContext.broadcast(Encoder(m, variant))
 
-    ``n_bytes`` is the true byte length (specials 0); ``n_bytes_decoded`` decodes
-    the token alone with replacement, as a one-token decode does.
-    """
-    rows = []
-    for lang, ms in m.merges.items():
-        tb = token_bytes_map(ms)
-        ids = final_ids(m, lang, variant)
-        for internal, tid in ids.items():
-            b = tb[internal]
-            rows.append((lang, tid, bytearray(b), False, len(b),
-                         len(b.decode("utf-8", errors="replace").encode("utf-8"))))
-        specials = TRAIN_SPECIALS if variant == "train" else EVAL_SPECIALS
-        base = (max(ids.values()) + 1) if variant == "train" else 0
-        for i, s in enumerate(specials):
-            rows.append((lang, base + i, bytearray(s.encode()), True, 0, 0))
-    schema = ("lang string, token_id int, token binary, is_special boolean, n_bytes int, "
-              "n_bytes_decoded int")
-    return spark.createDataFrame(rows, schema)
-
-
-def _encode_fn(tables: dict[str, tuple[dict, dict, int | None]]):
-    """Build the mapInPandas body: greedy lowest-rank merging inside each word."""
-
-    def encode(words: list[int], ranks: dict, ids: dict, unk: int | None) -> list[int]:
-        s = list(words)
-        while len(s) > 1:
-            best, pos = None, -1
-            for i in range(len(s) - 1):
-                rk = ranks.get((s[i], s[i + 1]))
-                if rk is not None and (best is None or rk[0] < best[0]):
-                    best, pos = rk, i
-            if best is None:
-                break
-            new = best[1]
-            o, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and ranks.get((s[i], s[i + 1])) == best:
-                    o.append(new)
-                    i += 2
-                else:
-                    o.append(s[i])
-                    i += 1
-            s = o
-        return [ids.get(x, unk) if unk is not None else ids[x] for x in s]
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for lang, syms in zip(pdf["lang"], pdf["syms"]):
-                ranks, ids, unk = tables[lang]
-                out.append(encode(list(syms), ranks, ids, unk))
-            yield pd.DataFrame({"lang": pdf["lang"], "word": pdf["word"], "ids": out})
+    @F.pandas_udf("array<int>")
+    def run(lang: pd.Series, word: pd.Series) -> pd.Series:
+        encode = encoder.value
+        return pd.Series([encode(x, w) for x, w in zip(lang, word, strict=True)], dtype=object)
 
-    return run
+    by = F.col("lang") if vocab_lang is None else F.lit(vocab_lang)
+    distinct = words.select("lang", "word").distinct().where(by.isin(list(m.merges)))
+    return distinct.select("lang", "word", run(by, "word").alias("ids"))
 
 
-def encode_words(words: DataFrame, m: Merges, variant: str = "train") -> DataFrame:
-    """B4 (+B9): ``(lang, word, ids ARRAY<INT>)`` for each distinct word.
+def encode_docs(docs: DataFrame, m: Merges, variant: str = "train", pattern: str = TRAIN_SPLIT_PATTERN,
+                text_col: str = "text") -> DataFrame:
+    """B4 for whole documents of ``docs(lang, ...)``: ``ids`` in place of the text. Tasks encode their
+    own documents, and a word that they meet again comes from a cache."""
+    encoder = docs.sparkSession.sparkContext.broadcast(Encoder(m, variant))
 
-    The merge tables (bounded by the vocabulary size) travel with the task
-    closure; words are processed in Arrow batches. In the ``eval`` variant bytes
-    never seen in training encode as [UNK] (id 1).
-    """
-    tables = {}
-    for lang, ms in m.merges.items():
-        ranks = {(l, r): (rank, n) for rank, (l, r, n, _) in enumerate(ms)}
-        ids = final_ids(m, lang, variant)
-        unk = EVAL_SPECIALS.index("[UNK]") if variant == "eval" else None
-        tables[lang] = (ranks, ids, unk)
-    distinct = words.select("lang", "word", "syms").dropDuplicates(["lang", "word"])
-    known = distinct.where(F.col("lang").isin(list(tables)))
-    return known.mapInPandas(_encode_fn(tables), "lang string, word string, ids array<int>")
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        encode, known = encoder.value, {}
+        for langs, texts in batches:
+            out = []
+            for lang, tokens in zip(langs, texts, strict=True):
+                if len(known) > MAX_CACHED_WORDS:
+                    known.clear()
+                ids = []
+                for word in tokens:
+                    found = known.get((lang, word))
+                    if found is None:
+                        found = known[lang, word] = encode(lang, word)
+                    ids += found
+                out.append(ids)
+            yield pd.Series(out, dtype=object)
+
+    others = [c for c in docs.columns if c != text_col]
+    return docs.where(F.col("lang").isin(list(m.merges))) \
+        .select(*others, run("lang", pretokens(F.coalesce(F.col(text_col), F.lit("")), pattern)).alias("ids"))
+
+
+def decode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``docs(lang, ids, ...)`` with ``decoded``, the text of the ids. ``vocab`` becomes one row
+    per language (as many tokens as the vocabulary size) and is broadcast."""
+    tokens = vocab.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_id", "token"))),
+                                                   lambda t: F.hex(t["token"])).alias("__hex"))
+    joined = docs.join(F.broadcast(tokens), "lang", "left")
+    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get("__hex", i)), "")), "UTF-8")
+    return joined.withColumn("decoded", text).drop("__hex")
 
 
 def token_counts(words: DataFrame, encoded: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -344,32 +214,15 @@ def token_counts(words: DataFrame, encoded: DataFrame, by: list[str] | None = No
                               F.sum("freq").cast("bigint").alias("words"))
 
 
-def roundtrip_mismatches(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Per language, words whose decoded ids differ from the word (expect 0)."""
-    ex = encoded.select("lang", "word", F.posexplode("ids").alias("pos", "token_id"))
-    tok = ex.join(F.broadcast(vocab.select("lang", "token_id", "token")), ["lang", "token_id"], "left")
-    dec = tok.groupBy("lang", "word").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("parts"))
-    dec = dec.select("lang", "word",
-                     F.aggregate("parts", F.lit(b"").cast("binary"),
-                                 lambda a, p: F.concat(a, p["token"])).alias("decoded"))
-    return dec.groupBy("lang").agg(
-        F.count("*").cast("bigint").alias("words"),
-        F.sum(F.when(F.col("decoded") == F.encode("word", "UTF-8"), 0).otherwise(1))
-        .cast("bigint").alias("mismatches"))
-
-
-def unk_rate(words: DataFrame, encoded: DataFrame, unk_id: int = 1) -> DataFrame:
-    """B9 metric: share of tokens that are [UNK], weighted by word frequency."""
+def unknown_counts(words: DataFrame, encoded: DataFrame) -> DataFrame:
+    """Per language all tokens and those that are [UNK], weighted by word frequency."""
     j = words.join(encoded, ["lang", "word"]).select(
-        "lang", "freq", F.size("ids").alias("n"),
-        F.size(F.filter("ids", lambda x: x == unk_id)).alias("u"))
-    return j.groupBy("lang").agg(
-        F.round(F.sum(F.col("freq") * F.col("u")) / F.sum(F.col("freq") * F.col("n")), 6)
-        .alias("unk_rate"))
+        "lang", "freq", F.size("ids").alias("n"), F.size(F.filter("ids", lambda x: x == UNK)).alias("u"))
+    return j.groupBy("lang").agg(F.sum(F.col("freq") * F.col("n")).cast("bigint").alias("tokens"),
+                                 F.sum(F.col("freq") * F.col("u")).cast("bigint").alias("unk_tokens"))
 
 
 __all__ = [
-    "word_freqs", "learn_merges", "naive_merges", "choose_batch", "vocab_table", "encode_words",
-    "token_counts", "roundtrip_mismatches", "unk_rate", "Merges", "BYTE_LEVEL_PATTERN",
+    "word_freqs", "learn_merges", "learn_train_merges", "learn_eval_merges", "vocab_table", "merged_bytes", "encode_words",
+    "encode_docs", "decode", "token_counts", "unknown_counts", "Merges", "BYTE_LEVEL_PATTERN",
 ]

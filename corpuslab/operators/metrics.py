@@ -20,13 +20,33 @@ def efficiency(lines: DataFrame, count_tokens, by: list[str] | None = None,
     ``count_tokens`` maps the stripped line Column to its token count Column.
     """
     by = list(by or ["lang"])
-    s = lines.select(*by, strip(F.col("line")).alias("l")).where(line_not_blank(F.col("l")))
-    per = s.select(*by, count_tokens(F.col("l")).cast("bigint").alias("t"),
-                   F.char_length("l").cast("bigint").alias("c"),
-                   F.octet_length("l").cast("bigint").alias("b"))
-    agg = per.groupBy(*by).agg(
-        F.sum("t").alias("total_tokens"), F.sum("c").alias("total_chars"),
-        F.sum("b").alias("total_bytes"), F.count("*").cast("bigint").alias("lines_processed"))
+    s = stripped_lines(lines, by)
+    per = s.select(*by, count_tokens(F.col("line")).cast("bigint").alias("t"), "line")
+    return _ratios(_totals(per, by, F.sum("t").alias("total_tokens")), by, error)
+
+
+def stripped_lines(lines: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """F8: the stripped lines that aren't blank, as measured."""
+    return lines.select(*(by or ["lang"]), strip(F.col("line")).alias("line")).where(line_not_blank(F.col("line")))
+
+
+def efficiency_learned(lines: DataFrame, tokens: DataFrame, by: list[str] | None = None,
+                       error: str = "no tokens produced") -> DataFrame:
+    """A4 on a learned vocabulary: ``lines`` are ``stripped_lines``, ``tokens`` the ``tokens`` of all of
+    them per group (B5: frequencies of distinct words times their ids, so only words are shuffled)."""
+    by = list(by or ["lang"])
+    totals = _totals(lines, by).join(tokens.select(*by, F.col("tokens").alias("total_tokens")), by, "left") \
+        .na.fill(0, ["total_tokens"])
+    return _ratios(totals, by, error)
+
+
+def _totals(lines: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    return lines.groupBy(*by).agg(
+        *more, F.sum(F.char_length("line").cast("bigint")).alias("total_chars"),
+        F.sum(F.octet_length("line").cast("bigint")).alias("total_bytes"), F.count("*").cast("bigint").alias("lines_processed"))
+
+
+def _ratios(agg: DataFrame, by: list[str], error: str) -> DataFrame:
     ok = F.col("total_tokens") > 0
 
     def ratio(num: str, den: str, dp: int) -> Column:
@@ -45,9 +65,20 @@ def efficiency(lines: DataFrame, count_tokens, by: list[str] | None = None,
     )
 
 
+def efficiency_report(eff: DataFrame, baseline: str, vocab_size: int) -> DataFrame:
+    """K4: one record per language: its metrics with the vocabulary size, and the comparison with
+    ``baseline`` (null for the baseline itself)."""
+    c = compare(eff, baseline).select("lang", F.struct("baseline", "bytes_per_token_delta", "bytes_per_token_ratio").alias("comparison"))
+    metrics = F.struct(*[x for x in eff.columns if x != "lang"], F.lit(vocab_size).alias("vocab_size"))
+    return eff.select("lang", metrics.alias("metrics")).join(c, "lang", "left")
+
+
 def efficiency_eval(lines: DataFrame, count_tokens, by: list[str] | None = None) -> DataFrame:
     """A5: the evaluation variant: three ratios and its own error text."""
-    e = efficiency(lines, count_tokens, by, error="no tokens")
+    return eval_columns(efficiency(lines, count_tokens, by, error="no tokens"), by)
+
+
+def eval_columns(e: DataFrame, by: list[str] | None = None) -> DataFrame:
     return e.select(*(by or ["lang"]), "bytes_per_token", "chars_per_token", "tokens_per_line", "error")
 
 

@@ -17,7 +17,7 @@ from corpuslab.plans import dump_job
 from corpuslab.plans import oracle as o
 from corpuslab.plans.views import wikified_documents
 from corpuslab.profiles import ENGLISH, ESPERANTO
-from corpuslab.session import cut_lineage, scratch_path, table
+from corpuslab.session import cut_lineage, scratch_path, table, written_table
 from corpuslab.sources import readers, writers
 
 PROFILES = o.QUERY_PROFILES
@@ -622,13 +622,12 @@ def significance_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Pre-tokens and byte-pair vocabularies (merge learning is iterative: rows-only check)
+# Pre-tokens and byte-pair vocabularies (SQL can't learn merges; what it can tell without them is
+# compared: round trips, byte lengths, unknown symbols)
 # ---------------------------------------------------------------------------
 
 from corpuslab.operators import bpe  # noqa: E402
 
-BPE_QUERY_MERGES = 32  # merges learned per language in the registered queries
-
 
 def _split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_lineage(pj.split_docs(_docs(spark, sf_dir)))
@@ -684,47 +683,201 @@ def pretoken_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.word_freqs(train).select("lang", "word", "freq")
 
 
-def _bpe_state(spark: SparkSession, sf_dir: str):
-    split = _split_table(spark, sf_dir)
-    words = bpe.word_freqs(split.where(F.col("split") == "train"))
-    m = bpe.learn_merges(words, BPE_QUERY_MERGES)
-    all_words = bpe.word_freqs(split, by=["lang", "split"])
-    enc = bpe.encode_words(all_words, m)
-    return split, m, all_words, enc
+#: Vocabularies learned in this session (merge lists, bounded by the vocabulary size): several
+#: queries read the same one, as the jobs after training do.
+_LEARNED: dict[tuple, bpe.Merges] = {}
+
+
+def _learned(spark: SparkSession, sf_dir: str, variant: str, learn: Callable[[], bpe.Merges]) -> bpe.Merges:
+    key = (spark.sparkContext.applicationId, sf_dir, variant)
+    if key not in _LEARNED:
+        _LEARNED[key] = learn()
+    return _LEARNED[key]
+
+
+def _train_merges(spark: SparkSession, sf_dir: str, split: DataFrame) -> bpe.Merges:
+    """B3 on the train split, at the full vocabulary size."""
+    return _learned(spark, sf_dir, "train", lambda: bpe.learn_train_merges(
+        bpe.word_freqs(split.where(F.col("split") == "train"))))
+
+
+def _eval_merges(spark: SparkSession, sf_dir: str, lines: DataFrame) -> bpe.Merges:
+    """B2 on the lines of the paragraph file, at the full vocabulary size."""
+    return _learned(spark, sf_dir, "eval", lambda: bpe.learn_eval_merges(_line_words(lines)))
+
+
+def _line_words(lines: DataFrame) -> DataFrame:
+    return bpe.word_freqs(lines, "line", pattern=tk.BYTE_LEVEL_PATTERN)
+
+
+def _line_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written_table(mt.stripped_lines(_lines(spark, sf_dir)), "lines")
 
 
 @register("bpe_merges")
 def bpe_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Merges learned per language on the train split (ranked)."""
-    split = _split_table(spark, sf_dir)
-    words = bpe.word_freqs(split.where(F.col("split") == "train"))
-    return bpe.learn_merges(words, BPE_QUERY_MERGES).frame(spark)
+    """The merges of the 8,192-entry vocabulary of each language's train split (ranked)."""
+    return _train_merges(spark, sf_dir, _split_table(spark, sf_dir)).frame(spark)
 
 
 @register("bpe_token_counts")
 def bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B4 + B5 + A3: tokens and UTF-8 bytes per language and split."""
-    split, m, all_words, enc = _bpe_state(spark, sf_dir)
-    counts = bpe.token_counts(all_words, enc, ["lang", "split"])
+    split = _split_table(spark, sf_dir)
+    words = written_table(bpe.word_freqs(split, by=["lang", "split"]), "words")
+    counts = bpe.token_counts(words, bpe.encode_words(words, _train_merges(spark, sf_dir, split)), ["lang", "split"])
     b = split.groupBy("lang", "split").agg(F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
     return counts.join(b, ["lang", "split"]).select("lang", "split", "tokens", "bytes")
 
 
-@register("bpe_roundtrip")
+@register("token_totals")
+def token_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3: tokens, UTF-8 bytes and documents per language and split, with totals (rollup)."""
+    split = _split_table(spark, sf_dir)
+    coded = bpe.encode_docs(split, _train_merges(spark, sf_dir, split)).select("lang", "doc_id", F.size("ids").alias("n"))
+    sizes = split.select("lang", "doc_id", "split", F.octet_length("text").alias("b"))
+    return sizes.join(coded, ["lang", "doc_id"]).rollup("lang", "split").agg(
+        F.sum("n").cast("bigint").alias("tokens"), F.sum("b").cast("bigint").alias("bytes"),
+        F.count("*").cast("bigint").alias("docs"))
+
+
+@register("bpe_roundtrip", _DOCS_CTE[:-2] + """
+SELECT lang, doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM docs""")
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """decode(encode(word)) = word for every distinct word (mismatches expected 0)."""
-    split, m, all_words, enc = _bpe_state(spark, sf_dir)
-    return bpe.roundtrip_mismatches(enc, bpe.vocab_table(spark, m, "train"))
+    """B4 + B6 + B7: every whole document encoded and decoded; ``n_bytes`` is the sum of its tokens'
+    byte lengths."""
+    split = _split_table(spark, sf_dir)
+    m = _train_merges(spark, sf_dir, split)
+    return _decoded(bpe.encode_docs(split, m), bpe.vocab_table(spark, m)).select("lang", "doc_id", "n_bytes", "text_md5")
+
+
+def _decoded(coded: DataFrame, vocab: DataFrame) -> DataFrame:
+    lengths = vocab.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_id", "n_bytes"))),
+                                                    lambda t: t["n_bytes"]).alias("lengths"))
+    # a row of vocabulary size per language
+    n = F.aggregate(F.transform("ids", lambda i: F.get("lengths", i)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    return bpe.decode(coded, vocab).join(F.broadcast(lengths), "lang").withColumns(
+        {"n_bytes": n, "text_md5": F.md5("decoded")})
 
 
 @register("token_bytes")
 def token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B7 + K6: vocabulary with true and decoded-alone byte lengths per token."""
+    """The vocabulary with true and decoded-alone byte lengths per token."""
+    m = _train_merges(spark, sf_dir, _split_table(spark, sf_dir))
+    return bpe.vocab_table(spark, m).select("lang", "token_id", "is_special", "n_bytes", "n_bytes_decoded")
+
+
+@register("vocab_readback", """
+SELECT lang, CAST(8192 AS BIGINT) AS tokens, CAST(4 AS BIGINT) AS specials, CAST(7932 AS BIGINT) AS merges,
+       CAST(8191 AS INTEGER) AS last_id, CAST(7931 AS INTEGER) AS last_rank FROM documents GROUP BY lang""")
+def vocab_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: vocabulary and merge files, read back and counted (the fixed size and its parts)."""
+    m = _train_merges(spark, sf_dir, _split_table(spark, sf_dir))
+    path = scratch_path(spark, "vocab")
+    writers.write_vocab(bpe.vocab_table(spark, m), m.frame(spark), path)
+    vocab, merges = readers.read_vocab(spark, path)
+    tokens = vocab.groupBy("lang").agg(
+        F.count_distinct("token_id").alias("tokens"), F.sum(F.col("is_special").cast("bigint")).alias("specials"),
+        F.max("token_id").alias("last_id"))
+    ranks = merges.groupBy("lang").agg(F.count("*").alias("merges"), F.max("rank").alias("last_rank"))
+    return tokens.join(ranks, "lang").select("lang", "tokens", "specials", "merges", "last_id", "last_rank")
+
+
+@register("token_sets_bpe", _SPLIT_CTE + """
+SELECT lang, split, doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, md5(text) AS text_md5 FROM split""")
+def token_sets_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8: the tokenised train and validation sets, written, read back and decoded."""
+    split = _split_table(spark, sf_dir)
+    m = _train_merges(spark, sf_dir, split)
+    path = scratch_path(spark, "tokens")
+    writers.write_tokens(bpe.encode_docs(split, m).withColumn("variant", F.lit("bpe")), path)
+    return _decoded(readers.read_tokens(spark, path), bpe.vocab_table(spark, m)).select(
+        "lang", "split", "doc_id", "n_bytes", "text_md5")
+
+
+@register("token_sets_byte", _SPLIT_CTE + """
+SELECT lang, split, doc_id, CAST(strlen(text) AS INTEGER) AS n_tokens, md5(text) AS text_md5 FROM split""")
+def token_sets_byte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8, byte variant: written, read back and put together again."""
+    path = scratch_path(spark, "tokens")
+    writers.write_tokens(_split_table(spark, sf_dir).select(
+        "lang", "split", "doc_id", F.lit("byte").alias("variant"), tk.byte_ids(F.col("text")).alias("ids")), path)
+    text = F.unhex(F.array_join(F.transform("ids", lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0")), ""))
+    return readers.read_tokens(spark, path).select(
+        "lang", "split", "doc_id", F.size("ids").alias("n_tokens"), F.md5(text).alias("text_md5"))
+
+
+@register("token_budget_bpe")
+def token_budget_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L3 on learned ids: train corpora cut to the smallest one's token total, in document order; the
+    ids of the boundary document are cut short."""
     split = _split_table(spark, sf_dir)
-    words = bpe.word_freqs(split.where(F.col("split") == "train"))
-    m = bpe.learn_merges(words, BPE_QUERY_MERGES)
-    return bpe.vocab_table(spark, m, "train").select("lang", "token_id", "is_special", "n_bytes",
-                                                     "n_bytes_decoded")
+    coded = written_table(bpe.encode_docs(split.where(F.col("split") == "train"), _train_merges(spark, sf_dir, split))
+                          .select("lang", "doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens")), "coded")
+    kept = pj.match_token_budget(coded.select("lang", "doc_id", "n_tokens")).select("lang", "doc_id", "kept_tokens")
+    return coded.join(kept, ["lang", "doc_id"]).select(
+        "lang", "doc_id", "kept_tokens", F.slice("ids", F.lit(1), F.col("kept_tokens").cast("int")).alias("ids"))
+
+
+@register("eval_vocab")
+def eval_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: the evaluation vocabulary of each language: specials, the bytes seen, merges."""
+    m = _eval_merges(spark, sf_dir, _line_table(spark, sf_dir))
+    return bpe.vocab_table(spark, m, "eval").select("lang", "token_id", F.hex("token").alias("token_hex"), "is_special")
+
+
+def _efficiency_bpe(spark: SparkSession, sf_dir: str, error: str = "no tokens produced") -> DataFrame:
+    lines = _line_table(spark, sf_dir)
+    words = written_table(_line_words(lines), "words")
+    coded = bpe.encode_words(words, _eval_merges(spark, sf_dir, lines), "eval")
+    return mt.efficiency_learned(lines, bpe.token_counts(words, coded), error=error)
+
+
+@register("efficiency_bpe")
+def efficiency_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 on the evaluation vocabulary, over all lines."""
+    return _efficiency_bpe(spark, sf_dir)
+
+
+@register("efficiency_bpe_eval")
+def efficiency_bpe_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 on the evaluation vocabulary, over all lines."""
+    return mt.eval_columns(_efficiency_bpe(spark, sf_dir, "no tokens"))
+
+
+@register("efficiency_bpe_compare")
+def efficiency_bpe_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A6 on the evaluation vocabularies."""
+    return mt.compare(_efficiency_bpe(spark, sf_dir), "en")
+
+
+@register("efficiency_bpe_report", _eff_sql("0").rsplit("SELECT lang,", 1)[0] + """
+SELECT lang, CAST(tc AS BIGINT) AS total_chars, CAST(tb AS BIGINT) AS total_bytes, CAST(lp AS BIGINT) AS lines_processed,
+       CAST(8192 AS BIGINT) AS vocab_size, CASE WHEN lang <> 'en' THEN 'en' END AS baseline FROM agg""")
+def efficiency_bpe_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: the nested efficiency report, read back (the columns that SQL can tell)."""
+    path = scratch_path(spark, "efficiency")
+    writers.write_report(mt.efficiency_report(_efficiency_bpe(spark, sf_dir), "en", bpe.VOCAB_SIZE), path)
+    return spark.read.json(path).select(
+        "lang", "metrics.total_chars", "metrics.total_bytes", "metrics.lines_processed", "metrics.vocab_size", "comparison.baseline")
+
+
+@register("unk_rate", _LINES_CTE + f""",
+s AS (SELECT lang, {o.strip_sql('line')} AS l FROM lns),
+b AS (SELECT lang, unnest(regexp_extract_all(hex(encode(l)), '..')) AS b FROM s WHERE l <> ''),
+seen AS (SELECT DISTINCT b FROM b WHERE lang = 'en')
+SELECT b.lang, CAST(count(*) AS BIGINT) AS bytes, CAST(sum(CASE WHEN seen.b IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unk_tokens,
+       round(avg(CASE WHEN seen.b IS NULL THEN 1.0 ELSE 0.0 END), 6) AS unk_rate
+FROM b LEFT JOIN seen USING (b) GROUP BY b.lang""")
+def unk_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of every language under the English evaluation vocabulary: [UNK] tokens (each
+    stands for one unseen byte) and their share of all bytes."""
+    lines = _line_table(spark, sf_dir)
+    words = written_table(_line_words(lines), "words")
+    coded = bpe.encode_words(words, _eval_merges(spark, sf_dir, lines), "eval", "en")
+    sizes = lines.groupBy("lang").agg(F.sum(F.octet_length("line")).cast("bigint").alias("bytes"))
+    return bpe.unknown_counts(words, coded).join(sizes, "lang").select(
+        "lang", "bytes", "unk_tokens", F.round(F.col("unk_tokens") / F.col("bytes"), 6).alias("unk_rate"))
 
 
 @register("token_budget_bytes", _SPLIT_CTE + """,

@@ -57,6 +57,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/corpuslab-{name}-{uuid.uuid4().hex}"
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back; ``drop_table`` deletes it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete the files of a ``written_table`` that nothing reads any more."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        if "/corpuslab-" not in folder:
+            raise ValueError(f"not a written table: {folder}")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (never a local one)."""
     checkpoint_dir(df.sparkSession)

@@ -111,3 +111,15 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         *[(F.col(names[f.name]) if names[f.name] else F.lit(None)).cast(f.dataType).alias(f.name)
           for f in RUNS_SCHEMA],
         *[c for c in df.columns if c not in names.values()], _input_order().alias("run_ord"))
+
+
+def read_vocab(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """K6 read back: the vocabulary and the merges of ``write_vocab``."""
+    schema = "token_id int, token binary, is_special boolean, n_bytes int, n_bytes_decoded int, lang string"
+    return (spark.read.schema(schema).parquet(f"{path}/vocab"),
+            spark.read.schema("rank int, left_id int, right_id int, new_id int, freq bigint, lang string").parquet(f"{path}/merges"))
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """K8 read back: ``(lang, variant, split, doc_id, ids)`` of ``write_tokens``."""
+    return spark.read.schema("doc_id bigint, ids array<int>, lang string, variant string, split string").parquet(path)

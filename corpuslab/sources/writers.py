@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.tokens import byte_ids
-
 
 def write_articles(df: DataFrame, path: str) -> None:
     """K1: ``{"id","title","text"}`` JSON lines per language, non-ASCII kept."""
@@ -41,7 +39,7 @@ def write_vocab(vocab: DataFrame, merges: DataFrame, path: str) -> None:
     merges.write.mode("overwrite").partitionBy("lang").parquet(f"{path}/merges")
 
 
-def write_byte_tokens(docs: DataFrame, path: str) -> None:
-    """K8 (byte variant): ``ids ARRAY<INT>`` per document, by language and split."""
-    (docs.select("lang", "split", "doc_id", byte_ids(F.col("text")).alias("ids"))
-     .write.mode("overwrite").partitionBy("lang", "split").parquet(path))
+def write_tokens(coded: DataFrame, path: str) -> None:
+    """K8: ``ids ARRAY<INT>`` per document, by language, variant (`bpe` or `byte`) and split."""
+    (coded.select("lang", "variant", "split", "doc_id", "ids")
+     .write.mode("overwrite").partitionBy("lang", "variant", "split").parquet(path))
