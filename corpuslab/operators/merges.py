@@ -38,9 +38,10 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import drop_table, written_table
 
-#: Words of a language that the proposal sees, and the steps it makes at first if it doesn't see all.
-SAMPLE_WORDS = 100_000
-FIRST_BATCH = 256
+#: Words of a language that the proposal sees (about 1 kB each in its task), and the steps it makes
+#: at least, if it doesn't see all. Both change the number of rounds only.
+SAMPLE_WORDS = 400_000
+FIRST_BATCH = 128
 #: Bits of a symbol id in packed pairs and steps (ids stay below 2 ** 20).
 BITS = 20
 MASK = (1 << BITS) - 1
@@ -353,7 +354,7 @@ def learn_merges(words: DataFrame, num_merges: int | dict[str, int], min_freq: i
         taken = {lang: s[:accepted[lang]] for lang, s in steps.items()}
         for lang, s in taken.items():
             result.merges[lang] += [(a, b, first_id[lang] + k, int(counts[lang][k])) for k, (a, b) in enumerate(s)]
-            batch[lang] = max(1, 2 * len(s) if len(s) == len(steps[lang]) else len(s))
+            batch[lang] = max(batch[lang], 2 * len(s)) if len(s) == len(steps[lang]) else max(first_batch, 2 * len(s))
         # a language ends at its size, without a frequent pair, or (below) without any proposal
         active = [lang for lang in steps if len(result.merges[lang]) < wanted[lang] and taken[lang]]
         if active:
