@@ -15,7 +15,7 @@ from corpuslab.operators.clean import clean_text
 from corpuslab.operators.explode import paragraphs
 from corpuslab.plans import dump_job
 from corpuslab.plans import oracle as o
-from corpuslab.plans.views import wikified_documents
+from corpuslab.plans.views import wikified_documents, write_dump
 from corpuslab.profiles import ENGLISH, ESPERANTO
 from corpuslab.session import cut_lineage, scratch_path, table, written_table
 from corpuslab.sources import readers, writers
@@ -584,6 +584,29 @@ def articles_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
         "id", "title", F.char_length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+@register("dump_pages", "WITH " + o.WIKIFIED_CTE + """
+SELECT lang, CASE WHEN doc_id % 50 <> 4 THEN CAST(doc_id AS VARCHAR) END AS id, title,
+       CASE WHEN doc_id % 50 <> 3 THEN md5(text) END AS text_md5 FROM wiki""")
+def dump_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 + T24: all pages of bz2 dump files, several per language."""
+    path = scratch_path(spark, "dump")
+    write_dump(spark, sf_dir, path)
+    return readers.read_dump(spark, path).select("lang", "id", "title", F.md5("text").alias("text_md5"))
+
+
+@register("dump_articles", _CLEANED_CTE + """
+SELECT lang, CASE WHEN doc_id % 50 = 4 THEN CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS VARCHAR)
+                  ELSE CAST(doc_id AS VARCHAR) END AS id, title, md5(text) AS text_md5
+FROM valid WHERE doc_id % 50 <> 3""")
+def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles of the dump files, those without an id numbered by the articles kept
+    before them in their language."""
+    path = scratch_path(spark, "dump")
+    write_dump(spark, sf_dir, path)
+    arts = dump_job.articles(readers.read_dump(spark, path), ENGLISH, "lang", PROFILES)
+    return readers.with_page_ids(arts, ["lang"]).select("lang", "id", "title", F.md5("text").alias("text_md5"))
+
+
 @register("lines_readback", _LINES_CTE + "SELECT lang, line_no, line FROM numbered")
 def lines_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 + S5 + P2: the paragraph files, in dump order, read line by line."""

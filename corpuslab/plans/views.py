@@ -69,6 +69,35 @@ def wikified_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _escaped(c: Column) -> Column:
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        c = F.replace(c, F.lit(char), F.lit(entity))
+    return c
+
+
+def write_dump(spark: SparkSession, sf_dir: str, path: str, files: int = 3, compression: str = "bzip2") -> None:
+    """The wikified documents as XML dumps, a folder of several files per language in dump order.
+    Absent titles and texts have no element; every 50th page has an empty text, every 50th no id,
+    every 50th a second revision; titles have white space around them."""
+    w, k = wikified_documents(spark, sf_dir), F.col("doc_id") % 50
+    text = F.concat(F.lit('<text bytes="1" xml:space="preserve">'), _escaped(F.col("text")), F.lit("</text>"))
+    text = F.when(k == 3, F.lit("<text/>")).otherwise(F.coalesce(text, F.lit("")))
+    title = F.concat(F.lit("    <title> "), _escaped(F.col("title")), F.lit(" " + NL + "</title>" + NL))
+    page = F.concat(
+        F.lit("  <page>" + NL), F.coalesce(title, F.lit("")), F.lit("    <ns>0</ns>" + NL),
+        F.when(k == 4, "").otherwise(F.concat(F.lit("    <id>"), _s(F.col("doc_id")), F.lit("</id>" + NL))),
+        F.lit("    <revision><id>7</id><contributor><id>9</id></contributor>"), text, F.lit("</revision>" + NL),
+        F.when(k == 6, "    <revision><id>8</id><text>later</text></revision>" + NL).otherwise(""), F.lit("  </page>"))
+    last = w.agg(F.max("doc_id") + 1).first()[0] or 1  # one number
+    pages = w.select("lang", F.floor(F.col("doc_id") * files / last).alias("file"), F.col("doc_id").alias("place"), page.alias("value"))
+    each = pages.select("lang", "file").distinct()
+    head = each.select("lang", "file", F.lit(-1).cast("bigint").alias("place"), F.lit(
+        '<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">' + NL + "  <siteinfo><sitename>x</sitename></siteinfo>").alias("value"))
+    tail = each.select("lang", "file", F.lit(last).cast("bigint").alias("place"), F.lit("</mediawiki>").alias("value"))
+    (pages.unionByName(head).unionByName(tail).repartition("lang", "file").sortWithinPartitions("lang", "file", "place")
+     .select("lang", "file", "value").write.partitionBy("lang", "file").option("compression", compression).text(path))
+
+
 def _run_columns(k: Column) -> list[Column]:
     return [
         _s(k).alias("run_id"),

@@ -23,6 +23,7 @@ RUNS_NAMES = {"run_id": (), "language": (), "size": (), "seed": (), "tokenizer_t
               "wallclock_s": ("training_wallclock",), "hparams_json": ("hyperparameters_json",)}
 PAGE_OPEN = "<page>"
 PAGE_CLOSE = "</page>"
+PAGE_SCHEMA = "title string, id string, revision array<struct<text: array<string>>>"
 
 def _input_order():
     return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
@@ -39,37 +40,31 @@ RUNS_SCHEMA = T.StructType([
 
 
 def read_dump(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a (plain or bz2) XML dump as ``(ord, id, title, text)``.
-
-    The file is read as records ending in ``</page>`` (splittable, unlike the XML
-    source); each piece is cut at ``<page>`` (dropping the header and the
-    namespace root) and parsed with XPath. ``title`` is stripped; ``text`` is the
-    first descendant ``text`` element, null when absent; ``id`` is null when the
-    page has none (see ``with_page_ids``).
+    """Pages of (plain or bz2) XML dumps as ``(ord, id, title, text)`` and the folders' columns
+    (``lang=..``).
+
+    Files are read as records ending in ``</page>`` (splittable, unlike the XML source), also
+    where a page goes on past the end of a split; each piece is cut at ``<page>`` (dropping the
+    header and the namespace root) and parsed once. ``title`` is stripped; ``text`` is that of the
+    first revision with a ``text`` element, null if there is none or it is empty; ``id`` is null
+    when the page has none (see ``with_page_ids``).
     """
-    raw = spark.read.option("lineSep", PAGE_CLOSE).text(path)
-    pieces = raw.select(_input_order().alias("ord"), "value") \
-        .where(F.instr("value", PAGE_OPEN) > 0)
-    xml = F.concat(F.lit(PAGE_OPEN), F.expr(f"substr(value, instr(value, '{PAGE_OPEN}') + {len(PAGE_OPEN)})"),
-                   F.lit(PAGE_CLOSE))
-    p = pieces.select("ord", xml.alias("x"))
-    has_title = F.expr("xpath_boolean(x, 'count(page/title) > 0')")
-    has_text = F.expr("xpath_boolean(x, 'count(page//text) > 0')")
-    has_id = F.expr("xpath_boolean(x, 'count(page/id) > 0')")
     from corpuslab.functions.text import strip
 
-    return p.select(
-        "ord",
-        F.when(has_id, F.expr("xpath_string(x, 'page/id')")).alias("id"),
-        F.when(has_title, strip(F.expr("xpath_string(x, 'page/title')"))).alias("title"),
-        F.when(has_text & F.expr("xpath_string(x, '(page//text)[1]') <> ''"),
-               F.expr("xpath_string(x, '(page//text)[1]')")).alias("text"),
-    )
-
-
-def with_page_ids(kept: DataFrame) -> DataFrame:
-    """A page without ``id`` takes the number of articles kept before it."""
-    idx = with_global_index(kept, ["ord"], None, "__kept_before")
+    raw = spark.read.option("lineSep", PAGE_CLOSE).text(path)
+    folders = [c for c in raw.columns if c != "value"]
+    pieces = raw.select(*folders, _input_order().alias("ord"), "value").where(F.instr("value", PAGE_OPEN) > 0)
+    xml = F.concat(F.expr(f"substr(value, instr(value, '{PAGE_OPEN}'))"), F.lit(PAGE_CLOSE))
+    page = F.from_xml(xml, PAGE_SCHEMA, {"ignoreSurroundingSpaces": "false", "excludeAttribute": "true"})
+    p = pieces.select(*folders, "ord", page.alias("p"))
+    texts = F.flatten(F.transform("p.revision", lambda r: F.coalesce(r["text"], F.array().cast("array<string>"))))
+    text = F.get(texts, 0)
+    return p.select(*folders, "ord", "p.id", strip(F.col("p.title")).alias("title"), F.when(text != "", text).alias("text"))
+
+
+def with_page_ids(kept: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A page without ``id`` takes the number of articles kept before it (of its ``by`` group)."""
+    idx = with_global_index(kept, ["ord"], by, "__kept_before")
     return idx.withColumn("id", F.coalesce(F.col("id"), F.col("__kept_before").cast("string"))) \
         .drop("__kept_before")
 

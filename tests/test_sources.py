@@ -1,66 +1,53 @@
 """Dump scan (plain and bz2), page-id fallback, JSON lines, text lines, runs TSV, shards."""
 
-import os
 import tempfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from corpuslab.operators.clean import clean_text
-from corpuslab.operators.filters import keep_titled_articles, keep_valid_cleaned
+from corpuslab.plans import dump_job
 from corpuslab.plans import prepare_job as pj
-from corpuslab.plans.views import wikified_documents
+from corpuslab.plans.views import wikified_documents, write_dump
 from corpuslab.operators.order import with_global_index
 from corpuslab.sources import readers, writers
 
 
-def _xml_escape(c):
-    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                     F.lit(">"), F.lit("&gt;"))
-
-
-def _write_dump(spark, sf, path, compression=None):
-    w = wikified_documents(spark, sf)
-    did = F.col("doc_id")
-    text_el = F.when(did % 50 == 3, F.lit("<text/>")).otherwise(
-        F.concat(F.lit('<text bytes="1" xml:space="preserve">'), _xml_escape(F.col("text")), F.lit("</text>")))
-    id_el = F.when(did % 50 == 4, F.lit("")).otherwise(F.concat(F.lit("<id>"), did.cast("string"), F.lit("</id>")))
-    page = F.concat(F.lit("  <page>\n    <title>"), _xml_escape(F.col("title")), F.lit("</title>\n    <ns>0</ns>\n    "),
-                    id_el, F.lit("\n    <revision><id>7</id>"), text_el, F.lit("</revision>\n  </page>"))
-    head = spark.createDataFrame([(-1, '<mediawiki xmlns="http://www.mediawiki.org/xml/export-0.11/">\n'
-                                        '  <siteinfo><sitename>x</sitename></siteinfo>')], "doc_id long, value string")
-    tail = spark.createDataFrame([(10**9, "</mediawiki>")], "doc_id long, value string")
-    body = w.select("doc_id", page.alias("value"))
-    out = head.unionByName(body).unionByName(tail).orderBy("doc_id").coalesce(1).select("value")
-    wr = out.write.mode("overwrite")
-    if compression:
-        wr = wr.option("compression", compression)
-    wr.text(path)
-
-
-@pytest.mark.parametrize("compression", [None, "bzip2"])
+@pytest.mark.parametrize("compression", ["none", "bzip2"])
 def test_dump_roundtrip(spark, sf001, compression):
-    d = tempfile.mkdtemp(prefix="corpuslab-dump-")
-    path = os.path.join(d, "dump")
-    _write_dump(spark, sf001, path, compression)
-    pages = readers.read_dump(spark, path)
-    assert pages.count() == 200
-    assert pages.where("text IS NULL").count() == 4      # doc_id % 50 == 3
-    assert pages.where("id IS NULL").count() == 4        # doc_id % 50 == 4
-    kept = keep_titled_articles(pages)
-    arts = keep_valid_cleaned(clean_text(kept, "text"))
-    arts = readers.with_page_ids(arts)
-    # same articles as cleaning the view directly (english profile), minus empty-text pages
-    w = wikified_documents(spark, sf001).where(F.col("doc_id") % 50 != 3)
-    want = keep_valid_cleaned(clean_text(keep_titled_articles(w), "text"))
-    got = {(r.title, r.text) for r in arts.collect()}
-    exp = {(r.title, r.text) for r in want.collect()}
-    assert got == exp
-    # a page without id takes the count of kept articles before it
-    rows = sorted(arts.select("ord", "id", "title").collect(), key=lambda r: r.ord)
-    for i, r in enumerate(rows):
+    """Several files per language, read in splits shorter than a page."""
+    path = tempfile.mkdtemp(prefix="corpuslab-dump-") + "/dump"
+    write_dump(spark, sf001, path, files=2, compression=compression)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        pages = readers.read_dump(spark, path)
+        assert pages.rdd.getNumPartitions() > 20
+        got = {(r.lang, r.id, r.title, r.text) for r in pages.collect()}
+        w = wikified_documents(spark, sf001).collect()
+        assert got == {(r.lang, None if r.doc_id % 50 == 4 else str(r.doc_id), r.title, None if r.doc_id % 50 == 3 else r.text)
+                       for r in w}
+        assert len(got) == len(w) == 200 and sum(x[2] is None for x in got) > 5 and sum(x[3] is None for x in got) > 10
+        arts = readers.with_page_ids(dump_job.articles(pages), ["lang"])
+        rows = sorted(arts.select("lang", "ord", "id", "title").collect(), key=lambda r: (r.lang, r.ord))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    before, unnamed = {}, 0
+    for r in rows:
         doc = int(r.title.split("Doc ")[1])
-        assert r.id == (str(i) if doc % 50 == 4 else str(doc))
+        assert r.id == (str(before.get(r.lang, 0)) if doc % 50 == 4 else str(doc))
+        before[r.lang] = before.get(r.lang, 0) + 1
+        unnamed += doc % 50 == 4
+    assert unnamed
+
+
+def test_dump_pages_of_odd_forms(spark, tmp_path):
+    (tmp_path / "d.xml").write_text(
+        "<mediawiki><siteinfo/><page><title> A </title><id>1</id><revision><text>x &amp; &lt;b&gt; </text></revision></page>\n"
+        "<page><title>B</title><revision><id>5</id></revision><revision><text a='1'>second</text></revision></page>"
+        "<page><id>3</id><revision><text></text></revision><revision><text>z</text></revision></page>"
+        "<page><title/><revision><text><![CDATA[<raw>]]></text></revision></page><page></page></mediawiki>")
+    rows = [(r.id, r.title, r.text) for r in readers.read_dump(spark, str(tmp_path)).orderBy("ord").collect()]
+    assert rows == [("1", "A", "x & <b> "), (None, "B", "second"), ("3", None, None), (None, "", "<raw>"), (None, None, None)]
 
 
 def test_articles_lines_runs_roundtrip(spark, sf001):
