@@ -75,6 +75,12 @@ def with_global_index(df: DataFrame, order: list[str], by: list[str] | None = No
     return out.drop(*drop)
 
 
+def with_row_order(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """``name`` = place of each row as ``df`` delivers them, partition after partition: a
+    witness of the order of a sorted result."""
+    return with_global_index(df.withColumn("__at", F.monotonically_increasing_id()), ["__at"], None, name).drop("__at")
+
+
 def with_running_sum(df: DataFrame, order: list[str], weight: str, by: list[str] | None = None,
                      name: str = "start", num_partitions: int | None = None) -> DataFrame:
     """Exclusive prefix sum of ``weight`` in ``order`` per ``by`` group.

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.operators.order import with_global_index
+
 # The pre-registered criterion.
 RELATIVE_REDUCTION = 0.05
 CI_ALPHA = 0.05
@@ -87,6 +89,36 @@ def bootstrap(cell_df: DataFrame, keys: list[str] | None = None, n_boot: int = B
     return out
 
 
+#: Draws of a replicate that one row is spread into at a time.
+DRAW_BLOCK = 65_536
+
+
+def score_rows(runs: DataFrame) -> DataFrame:
+    """A7 as rows: ``(language, size, tokenizer_type, pos, val_bpb, n)``, ``pos`` in file order; no
+    cell is put into one array."""
+    r = runs_with_defaults(runs).select(*CELL, "run_ord", "val_bpb")
+    n = r.groupBy(*CELL).agg(F.count("*").cast("bigint").alias("n"))
+    return with_global_index(r, ["run_ord"], CELL, "pos").join(n, CELL).select(*CELL, "pos", "val_bpb", "n")
+
+
+def bootstrap_rows(scores: DataFrame, keys: list[str] | None = None, n_boot: int = BOOTSTRAP_N,
+                   alpha: float = CI_ALPHA, seed: int = BOOTSTRAP_SEED) -> DataFrame:
+    """E1 for cells of any size, with the draws of ``bootstrap``: every draw is a row (n, replicate,
+    position), made in blocks, joined to the scores at that position of all cells of n scores, and
+    summed (partly before the shuffle) per cell and replicate. Only the ``n_boot`` means of a
+    cell come together."""
+    keys = keys or CELL
+    reps = scores.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
+    blocks = reps.select("n", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(DRAW_BLOCK).cast("bigint")))
+                         .alias("first")).repartition("n", "rep", "first")
+    draws = blocks.select("n", "rep", F.explode(F.sequence("first", F.least(F.col("first") + DRAW_BLOCK, F.col("n")) - 1)).alias("j"))
+    draws = draws.select("n", "rep", _draw(F.col("rep"), F.col("j"), F.col("n"), seed).alias("pos"))
+    means = draws.join(scores, ["n", "pos"]).groupBy(*keys, "rep").agg(F.avg("val_bpb").alias("m"))
+    q = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("p"))
+    point = scores.groupBy(*keys).agg(F.avg("val_bpb").alias("mean"), F.count("*").cast("bigint").alias("n"))
+    return point.join(q, keys).select(*keys, "mean", F.col("p")[0].alias("ci_lo"), F.col("p")[1].alias("ci_hi"), "n")
+
+
 def _grid(runs: DataFrame) -> DataFrame:
     """Every size x tokenizer type seen anywhere (two explodes of tiny arrays)."""
     r = runs_with_defaults(runs)

@@ -11,10 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.clean import clean_text
-from corpuslab.functions.text import strip
-from corpuslab.operators.explode import PARAGRAPH_SEP, paragraphs
-from corpuslab.operators.filters import (MIN_PARAGRAPH_CHARS, keep_titled_articles,
-                                         keep_valid_cleaned)
+from corpuslab.operators.explode import kept_paragraph_array, paragraphs
+from corpuslab.operators.filters import keep_titled_articles, keep_valid_cleaned
 from corpuslab.profiles import ENGLISH, Profile
 
 MB = 1_048_576  # fixed value: bytes per MB in the stats line
@@ -33,12 +31,6 @@ def article_paragraphs(arts: DataFrame) -> DataFrame:
     return paragraphs(arts, "text")
 
 
-def _kept_paragraph_array(text):
-    """P1 + F6 as an array expression per article (no explode, no join)."""
-    parts = F.transform(F.split(text, PARAGRAPH_SEP, -1), lambda p: strip(p))
-    return F.filter(parts, lambda p: F.char_length(p) > MIN_PARAGRAPH_CHARS)
-
-
 def _sum_over(arr, fn):
     return F.aggregate(arr, F.lit(0).cast("bigint"), lambda acc, p: acc + fn(p).cast("bigint"))
 
@@ -50,7 +42,7 @@ def corpus_slice(arts: DataFrame) -> DataFrame:
     grouped aggregate (partial on the map side) per language.
     """
     kept = F.col("kept")
-    per_article = arts.select("lang", _kept_paragraph_array(F.col("text")).alias("kept")).select(
+    per_article = arts.select("lang", kept_paragraph_array(F.col("text")).alias("kept")).select(
         "lang",
         F.size(kept).alias("n_par"),
         _sum_over(kept, F.char_length).alias("n_chars"),
@@ -69,7 +61,7 @@ def corpus_stats(arts: DataFrame) -> DataFrame:
 
     Each written paragraph is followed by a newline, hence ``+ 1`` per paragraph.
     """
-    kept = _kept_paragraph_array(F.col("text"))
+    kept = kept_paragraph_array(F.col("text"))
     per_article = arts.select("lang", _sum_over(kept, lambda p: F.octet_length(p) + 1)
                               .alias("file_bytes"))
     return per_article.groupBy("lang").agg(
