@@ -128,18 +128,12 @@ def test_lines(spark):
 
 
 def test_lines_against_brute_force(spark, sf001):
-    """Groups by the definition: equal lines, or a shared SimHash block and edit similarity."""
+    """Groups by the definition: all pairs of lines by edit similarity alone."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
-    bits, nodes = lines.WordBits(), {}
     at = [(d, i, lines.normalised(x)) for d, t in sorted(docs.items()) for i, x in enumerate(t.split("\n"))]
-    at = [x for x in at if len(x[2].split()) >= 5]
-    for _, _, x in at:
-        nodes.setdefault(x, bits.simhashes([x.encode().split()])[0].tolist())
-    names = list(nodes)
-    links = [(a, b) for i, a in enumerate(names) for b in names[:i]
-             if min(len(a.split()), len(b.split())) >= lines.LEAST_FUZZY
-             and any(x == y for x, y in zip(nodes[a], nodes[b], strict=True)) and lines.similar(a, b, 0.8)]
-    root, first, gone = brute.groups(names, links), {}, {}
+    at = [x for x in at if len(x[2].split()) >= lines.LEAST_WORDS]
+    names = sorted({x for _, _, x in at})
+    root, first, gone = brute.groups(names, line_links(names, lines.SIMILARITY)), {}, {}
     for d, i, x in at:
         if first.setdefault(root[x], (d, i)) != (d, i):
             gone.setdefault(d, set()).add(i)
