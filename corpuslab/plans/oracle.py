@@ -139,6 +139,21 @@ def logged_runs_cte(n_runs: int) -> str:
     )
 
 
+def scenario_runs_cte(n_runs: int = 240) -> str:
+    names = ["english", *views.SCENARIOS]
+    factors = [(1.0, 1.0), *views.SCENARIOS.values()]
+    n = len(names)
+    cell = f"(run_ord // {n})"
+    return (
+        f"logged AS (SELECT event_id % {n_runs} AS run_ord, avg(value) AS v FROM events GROUP BY 1), "
+        f"scen AS (SELECT run_ord, [{', '.join(map(q, names))}][run_ord % {n} + 1] AS language, "
+        f"CASE WHEN {cell} % 2 = 0 THEN '10M' ELSE '30M' END AS size, {cell} // 4 AS seed, "
+        f"CASE WHEN ({cell} // 2) % 2 = 0 THEN 'bpe' ELSE 'byte' END AS tokenizer_type, "
+        f"round(v * [{', '.join(f'[{a}::DOUBLE, {b}::DOUBLE]' for a, b in factors)}][run_ord % {n} + 1][({cell} // 2) % 2 + 1], 6) AS val_bpb "
+        "FROM logged), runs AS (SELECT * FROM scen WHERE language <> 'sparse' OR seed = 0)"
+    )
+
+
 # Profiles used by the registered queries: ``de`` rows take the esperanto profile
 # so both profiles are exercised on the driver tables.
 QUERY_PROFILES = {"de": ESPERANTO}

@@ -16,7 +16,7 @@ from corpuslab.operators.explode import paragraphs
 from corpuslab.plans import dump_job
 from corpuslab.plans import oracle as o
 from corpuslab.plans.views import wikified_documents, write_dump
-from corpuslab.profiles import ENGLISH, ESPERANTO
+from corpuslab.profiles import CORPUS_FILES, ENGLISH, ESPERANTO
 from corpuslab.session import cut_lineage, scratch_path, table, written_table
 from corpuslab.sources import readers, writers
 
@@ -355,16 +355,18 @@ def byte_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 from corpuslab.operators import stats as st  # noqa: E402
-from corpuslab.plans.views import logged_runs, runs_from_events  # noqa: E402
+from corpuslab.plans.views import logged_runs, runs_from_events, scenario_runs  # noqa: E402
 
 
-def _cells_sql(n_runs: int | None) -> str:
-    return "WITH " + (o.logged_runs_cte(n_runs) if n_runs else o.runs_cte()) + """,
+def _cells_sql(n_runs: int | str | None) -> str:
+    """Cells of the log of so many runs, of the scenarios, or of one run per event."""
+    runs = o.runs_cte() if n_runs is None else o.scenario_runs_cte() if n_runs == "scenarios" else o.logged_runs_cte(n_runs)
+    return "WITH " + runs + """,
 cells AS (SELECT language, size, tokenizer_type, list(val_bpb ORDER BY run_ord) AS vals,
                  count(*) AS n FROM runs GROUP BY language, size, tokenizer_type)"""
 
 
-def _ci_sql(n_runs: int | None, n_boot: int = 10_000) -> str:
+def _ci_sql(n_runs: int | str | None, n_boot: int = 10_000) -> str:
     return _cells_sql(n_runs) + f""",
 reps AS (SELECT c.*, r.rep FROM cells c, range(0, {n_boot}) r(rep)),
 means AS (SELECT language, size, tokenizer_type,
@@ -385,7 +387,7 @@ SELECT language, size, tokenizer_type, round(mean, 6) AS mean, round(ci_lo, 6) A
        round(ci_hi, 6) AS ci_hi, n FROM ci"""
 
 
-def _eval_sql(n_runs: int) -> str:
+def _eval_sql(n_runs: int | str) -> str:
     return _ci_sql(n_runs) + """,
 grid AS (SELECT DISTINCT s.size, t.tokenizer_type, l.language
          FROM (SELECT DISTINCT size FROM runs) s, (SELECT DISTINCT tokenizer_type FROM runs) t,
@@ -480,7 +482,7 @@ def verdict_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.verdict(st.evaluate(logged_runs(spark, sf_dir))).drop("baseline_better")
 
 
-@register("outcome", _eval_sql(24) + """,
+_OUTCOME_SQL = """,
 v AS (SELECT tokenizer_type, language,
              CASE WHEN sum(CASE WHEN status <> 'ok' THEN 1 ELSE 0 END) > 0 THEN NULL
                   ELSE bool_and(criterion_met) END AS h,
@@ -494,12 +496,21 @@ SELECT language, bpe AS bpe_supported, byte AS byte_supported,
        CASE WHEN bpe IS NULL OR byte IS NULL THEN 'undetermined'
             WHEN bpe AND byte THEN 'strong_positive' WHEN bpe THEN 'tokenization_only'
             WHEN worse THEN 'negative' ELSE 'null' END AS outcome
-FROM p""")
+FROM p"""
+
+
+@register("outcome", _eval_sql(24) + _OUTCOME_SQL)
 def outcome_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcome class from the bpe and byte verdicts."""
     return st.outcome(st.evaluate(logged_runs(spark, sf_dir)))
 
 
+@register("outcome_classes", _eval_sql("scenarios") + _OUTCOME_SQL)
+def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 on languages that do better, worse or as well as the baseline: every class."""
+    return st.outcome(st.evaluate(scenario_runs(spark, sf_dir)))
+
+
 @register("bar_table", _ci_sql(24) + """
 SELECT tokenizer_type, size, language, substr(language, 1, 2) || '-' || size AS label,
        round(mean, 6) AS mean, round(mean - ci_lo, 6) AS lo_err, round(ci_hi - mean, 6) AS hi_err,
@@ -626,6 +637,50 @@ def dump_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.with_page_ids(arts, ["lang"]).select("lang", "id", "title", F.md5("text").alias("text_md5"))
 
 
+@register("articles_overwritten", _CLEANED_CTE + "SELECT CAST(doc_id AS VARCHAR) AS id, title FROM valid WHERE lang = 'fr'")
+def articles_overwritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K7: a second write to the same path leaves nothing of the first."""
+    path = scratch_path(spark, "articles")
+    arts = _articles_table(spark, sf_dir).select("lang", F.col("doc_id").cast("string").alias("id"), "title", "text")
+    writers.write_articles(arts, path)
+    writers.write_articles(arts.where("lang = 'fr'"), path)
+    return readers.read_articles(spark, path).select("id", "title")
+
+
+@register("corpora_by_name", _CLEANED_CTE + """
+SELECT CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'esperanto' ELSE 'loga' END AS corpus,
+       CAST(count(*) AS BIGINT) AS docs, CAST(sum(strlen(text)) AS BIGINT) AS bytes
+FROM valid WHERE length(""" + o.strip_sql("text") + """) > 50 GROUP BY 1""")
+def corpora_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S4 + S3 + F7: three corpora in one folder, each found by its name."""
+    folder = scratch_path(spark, "corpora")
+    lang = F.col("lang")
+    corpus = F.when(lang == "en", "english").when(lang == "de", "esperanto").otherwise("loga")
+    arts = written_table(_valid_articles(spark, sf_dir).select(
+        corpus.alias("corpus"), F.col("doc_id").cast("string").alias("id"), "title", "text"), "corpora")
+    out = None
+    for name, file in CORPUS_FILES.items():
+        arts.where(F.col("corpus") == name).select("id", "title", "text").write.json(f"{folder}/{file}")
+        docs = pj.load_docs(readers.read_corpus(spark, folder, name).withColumn("lang", F.lit(name)), ord_col="ord")
+        out = docs if out is None else out.unionByName(docs)
+    return out.groupBy(F.col("lang").alias("corpus")).agg(
+        F.count("*").cast("bigint").alias("docs"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+
+
+@register("runs_readback", "WITH " + o.runs_cte() + """
+SELECT run_id, language, size, seed, tokenizer_type, val_bpb, hparams_json, run_ord AS row_no FROM runs""")
+def runs_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs table as a TSV file (quoted JSON, the other spelling of the score), read by name and
+    in file order."""
+    path = scratch_path(spark, "runs")
+    runs = _runs(spark, sf_dir).select(
+        "size", "run_id", "language", "seed", "tokenizer_type", F.col("val_bpb").alias("val_bpb_final"), "hparams_json", "run_ord")
+    (runs.repartitionByRange(3, "run_ord").sortWithinPartitions("run_ord").drop("run_ord").write
+     .option("sep", "\t").option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    back = od.with_global_index(readers.read_runs(spark, path), ["run_ord"], None, "row_no")
+    return back.select("run_id", "language", "size", "seed", "tokenizer_type", "val_bpb", "hparams_json", "row_no")
+
+
 @register("lines_readback", _LINES_CTE + "SELECT lang, line_no, line FROM numbered")
 def lines_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2 + S5 + P2: the paragraph files, in dump order, read line by line."""
@@ -740,6 +795,20 @@ def pretoken_freqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.word_freqs(train).select("lang", "word", "freq")
 
 
+_MARKED_BYTE_LEVEL = (rf"'s|'t|'re|'ve|'m|'ll|'d|{_MARK}? ?\p{{L}}+|{_MARK}? ?\p{{N}}+|{_MARK}? ?[^\s\p{{L}}\p{{N}}{_MARK}]+"
+                      rf"|{_MARK}?\s+")
+
+
+@register("pretoken_freqs_byte_level", _SPLIT_CTE + f""",
+w AS (SELECT lang, replace(unnest(regexp_extract_all({_MARKED_SQL}, {o.q(_MARKED_BYTE_LEVEL)})), '{_MARK}', '') AS word
+      FROM split WHERE split = 'train')
+SELECT lang, word, CAST(count(*) AS BIGINT) AS freq FROM w GROUP BY lang, word""")
+def pretoken_freqs_byte_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P4 + B1: the byte-level pattern with its look-ahead."""
+    train = pj.split_docs(_docs(spark, sf_dir)).where(F.col("split") == "train")
+    return bpe.word_freqs(train, pattern=tk.BYTE_LEVEL_PATTERN).select("lang", "word", "freq")
+
+
 #: Vocabularies learned in this session (merge lists, bounded by the vocabulary size): several
 #: queries read the same one, as the jobs after training do.
 _LEARNED: dict[tuple, bpe.Merges] = {}

@@ -134,3 +134,23 @@ def logged_runs(spark: SparkSession, sf_dir: str, n_runs: int = 24) -> DataFrame
     k = F.pmod(F.col("event_id"), F.lit(n_runs))
     runs = table(spark, sf_dir, "events").groupBy(k.alias("run_ord")).agg(F.round(F.avg("value"), 6).alias("val_bpb"))
     return runs.select(*_run_columns(F.col("run_ord")), "val_bpb", "run_ord")
+
+
+#: Treatment languages of ``scenario_runs`` and what their scores are multiplied by, for bpe and for
+#: byte tokens: each gives another outcome. ``sparse`` has one run a cell.
+SCENARIOS = {"both_better": (0.5, 0.5), "bpe_better": (0.5, 1.0), "same": (1.0, 1.0), "worse": (2.0, 1.0), "sparse": (1.0, 1.0)}
+
+
+def scenario_runs(spark: SparkSession, sf_dir: str, n_runs: int = 240) -> DataFrame:
+    """All events as the log of ``n_runs`` runs of a baseline and of languages that do better or worse."""
+    k = F.pmod(F.col("event_id"), F.lit(n_runs))
+    runs = table(spark, sf_dir, "events").groupBy(k.cast("int").alias("run_ord")).agg(F.avg("value").alias("v"))
+    names = ["english", *SCENARIOS]
+    k = F.col("run_ord")
+    language = F.get(F.array(*map(F.lit, names)), k % len(names))
+    cell = F.floor(k / len(names)).cast("int")
+    factor = F.get(F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in [(1.0, 1.0), *SCENARIOS.values()]]), k % len(names))
+    d = runs.select("run_ord", language.alias("language"), F.when(cell % 2 == 0, "10M").otherwise("30M").alias("size"),
+                    F.floor(cell / 4).cast("int").alias("seed"), F.when(F.floor(cell / 2) % 2 == 0, "bpe").otherwise("byte").alias("tokenizer_type"),
+                    F.round(F.col("v") * F.get(factor, F.floor(cell / 2).cast("int") % 2), 6).alias("val_bpb"))
+    return d.where((F.col("language") != "sparse") | (F.col("seed") == 0))

@@ -10,9 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
 
 @dataclass(frozen=True)
 class Profile:
@@ -57,17 +54,3 @@ def corpus_file(name: str) -> str:
     if name not in CORPUS_FILES:
         raise FileNotFoundError(f"unknown corpus {name!r}; known: {sorted(CORPUS_FILES)}")
     return CORPUS_FILES[name]
-
-
-def profiles_frame(spark: SparkSession, langs: dict[str, Profile] | None = None) -> DataFrame:
-    """The profile table ``(lang, link_prefixes, redirect_markers, title_prefixes)``."""
-    langs = langs or {"english": ENGLISH, "esperanto": ESPERANTO}
-    schema = T.StructType([
-        T.StructField("lang", T.StringType(), False),
-        T.StructField("link_prefixes", T.ArrayType(T.StringType()), False),
-        T.StructField("redirect_markers", T.ArrayType(T.StringType()), False),
-        T.StructField("title_prefixes", T.ArrayType(T.StringType()), False),
-    ])
-    rows = [(k, list(p.link_prefixes), list(p.redirect_markers), list(p.title_prefixes))
-            for k, p in langs.items()]
-    return spark.createDataFrame(rows, schema)

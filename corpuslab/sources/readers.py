@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslab.operators.order import with_global_index
+from corpuslab.profiles import corpus_file
 
 log = logging.getLogger(__name__)
 
@@ -78,6 +79,19 @@ def read_articles(spark: SparkSession, path: str) -> DataFrame:
                      F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
+def read_corpus(spark: SparkSession, data_dir: str, name: str) -> DataFrame:
+    """S4 + S3: the articles of a corpus by its name; a name without a file raises before any job."""
+    path = f"{data_dir.rstrip('/')}/{corpus_file(name)}"
+    if not _exists(spark, path):
+        raise FileNotFoundError(f"corpus {name!r}: no file {path}")
+    return read_articles(spark, path)
+
+
 def read_lines(spark: SparkSession, path: str, lang: str | None = None) -> DataFrame:
     """Physical lines (``\\n``, ``\\r\\n`` and ``\\r`` end a line) with ``line_no``; a folder
     written per language (K2) is numbered per language."""
@@ -93,10 +107,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """The runs TSV, columns by their name in the header (either spelling); ``seed`` and
     ``val_bpb`` typed (a value that is no number raises), the rest strings; an absent column
     is null, further ones are kept. A missing file gives an empty table and a warning."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
+    if not _exists(spark, path):
         log.warning("Results file not found: %s", path)
         return spark.createDataFrame([], RUNS_SCHEMA).withColumn("run_ord", F.lit(0).cast("bigint"))
     df = (spark.read.option("sep", "\t").option("header", True).option("quote", '"')
