@@ -3,7 +3,11 @@
 Method: one-permutation hashing of a document's shingle set into ``BINS`` bins, optimal
 densification (every empty bin takes the value of the first filled bin in its own fixed
 random order), bands of ``ROWS`` bins as bucket keys, star-shaped candidate pairs (see
-``stars``), exact confirmation on the full sets, connected components.
+``stars``): every member of a bucket with its most central one. Exact confirmation on the full sets,
+connected components. What the stars leave in buckets of several components is settled in families
+of buckets that share members: a task takes two blocks of a family's sets, counts their overlaps
+and passes on the smallest member that each reaches (see ``overlap.family_roots``), so that no
+bucket gives a row for every pair of its members.
 
 Recall: a pair of similarity ``s`` shares a bucket with probability 1 - (1 - s**6)**32, so it is
 missed with 2.6e-7 at 0.85 and 6e-5 at 0.8. Small sets fill few bins, which makes bands depend
@@ -17,7 +21,7 @@ that share a bucket, and only their sets are joined. Nothing but counts reaches
 
 Cases: null, empty and blank texts have an empty set, are linked with nothing and are their own
 component; rows with a null doc_id can't be named and are treated the same; rows sharing a
-doc_id are one document; equal texts are linked whatever their length; an empty table gives an
+doc_id are one document, which links what any of its texts links; equal texts are linked whatever their length; an empty table gives an
 empty table; extra columns are not read.
 """
 
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordIds, broadcast_if_small, cut, mix, read, shared_table, shingle_hashes
+from .components import connected_components
+from .overlap import blocked, family_roots
 from .stars import shared_buckets, star_links
 
 BANDS, ROWS = 32, 6
@@ -147,10 +153,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     keys = classes.where("keys is not null").select(F.explode("keys").alias("key"), F.col("rep").alias("node"))
     members = cut(shared_buckets(keys))
     nodes = cut(members.select(F.col("node").alias("doc_id")).distinct())
+    texts = cut(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("h1").alias("one"), F.max("h1").alias("two"))
+                .where("rows > 1"))
+    repeated = texts.limit(1).count() > 0
     wanted = docs.where("doc_id is not null").select("doc_id", "text").join(
         broadcast_if_small(nodes), "doc_id", "left_semi")
+    wanted = wanted.distinct() if repeated else wanted  # copies of a row give one set
     sets = shared_table(shingle_sets(wanted, width), "minhash-sets")
-    _, roots = star_links(members, lambda pairs: set_links(pairs, sets, percent))
+
+    def finish(left: DataFrame) -> DataFrame:
+        first = cut(left.groupBy("key").agg(F.min("node").alias("a")))
+        near = left.join(first, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+        family = cut(connected_components(near).withColumnRenamed("root", "family"))
+        rows = sets.withColumnRenamed("shingles", "hashes").join(cut(blocked(family, family)), "node")
+        found = family_roots(shared_table(rows, "minhash-families"), percent)
+        return cut(found.select(F.col("root").alias("a"), F.col("node").alias("b")))
+
+    links, roots = star_links(members, lambda pairs: set_links(pairs, sets, percent), finish)
+    if repeated:  # the sets of one doc_id belong together
+        own = named.join(texts.where("one <> two").select("doc_id"), "doc_id").select("doc_id", "h1", "h2") \
+            .join(classes.select("h1", "h2", "rep"), ["h1", "h2"])
+        own = own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        roots = cut(connected_components(links.unionByName(own)))
     merged = (classes.select("h1", "h2", "rep", "rows").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
               .where("rows > 1 or root is not null").select("h1", "h2", F.coalesce("root", "rep").alias("component")))
     out = d.select("doc_id", "n", "h1", "h2").join(cut(merged), ["h1", "h2"], "left")

@@ -7,7 +7,8 @@ later round a bucket that still holds several components elects up to ``LEADERS`
 random components, and members of other components are paired with them. The pairs of a bucket
 whose members are in different components are counted before each round. As soon as they are
 not more than a round of stars would test, or a round finds no link, all of them are tested, in
-blocks of ``BLOCK`` members, and the search ends: no link between components is left out.
+blocks of ``BLOCK`` members, and the search ends: no link between components is left out. A
+caller with a cheaper exact way for what the first round leaves gives it as ``finish``.
 
 The first leader is the most central member: the one whose buckets hold the most members.
 In a group of edited copies that is the text the copies have in common with most others
@@ -39,9 +40,14 @@ def shared_buckets(keys: DataFrame) -> DataFrame:
     return keys.join(n, "key")
 
 
-def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+               finish: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``members``: materialised ``(key, node, members)``; ``verify``: ``(a, b)`` with a < b ->
-    the rows that are links. Returns the links and ``(node, root)`` of the linked nodes."""
+    the rows that are links. Returns the links and ``(node, root)`` of the linked nodes.
+
+    With ``finish`` the search ends after the first round: it gets ``(key, node)`` of the buckets that
+    still hold several components and returns ``(a, b)`` that connect what their links connect,
+    without a row for every pair."""
     rank = members.groupBy("node").agg(F.sum("members").alias("rank"))
     m = cut(members.select("key", "node").join(rank, "node"))
     links = tested = roots = None
@@ -58,9 +64,14 @@ def star_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) ->
             size, left = active.agg(F.sum("size"), F.sum((F.col("size").cast("double") ** 2 - F.col("within")) / 2)).first()
             if size is None:
                 break
-            last = left <= LEADERS * size or not found
+            last = finish is not None or left <= LEADERS * size or not found
             labelled = labelled.join(active.select("key", "size"), "key")
             labelled = cut(labelled)
+            if finish is not None:
+                new = finish(labelled.select("key", "node"))
+                links = links.unionByName(new)
+                roots = cut(connected_components(links))
+                break
             orders = [F.xxhash64(F.lit(turn * LEADERS + i), "label") for i in range(LEADERS)]
         pairs = all_pairs(labelled) if last else star_pairs(labelled, orders)
         if tested is not None:

@@ -127,6 +127,24 @@ def test_lines(spark):
     assert lines.remove_lines(df).columns == df.columns
 
 
+def test_minhash_texts_of_one_doc_id(spark):
+    """All texts of a doc_id are one document, whose smallest reachable id all its links share."""
+    x, y, z = "one two three four", "five six seven eight", "nine ten eleven twelve"
+    rows = [(5, x), (7, x), (7, y), (9, y), (9, y), (3, z), (None, x), (4, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(frame(spark, rows), 3, 85).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (3, 3), (None, None), (4, 4)}
+
+
+def test_minhash_unlike_members_of_a_bucket(spark):
+    """Texts with most of their words in common: some linked by a third one only, most not at all."""
+    rng, base = random.Random(17), words(random.Random(18), 200)
+    texts = {i: " ".join(edited(rng, base, 3 + i % 12)) for i in range(120)}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"])
+           for r in minhash.near_duplicates(frame(spark, texts.items()), 3, 85).collect()}
+    want = brute.near_duplicates(texts, 3, 85)
+    assert got == want and 3 < len({c for _, c in want.values()}) < 120
+
+
 def test_lines_against_brute_force(spark, sf001):
     """Groups by the definition: all pairs of lines by edit similarity alone."""
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
