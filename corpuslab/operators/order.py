@@ -133,7 +133,9 @@ def split_train_val(df: DataFrame, id_col: str, by: list[str] | None = None,
     g = _group_cols(by)
     keyed = src.withColumn("__key", split_key(F.col(id_col), seed)).withColumn(
         "__bucket", F.conv(F.substring("__key", 1, HASH_BUCKET_HEX), 16, 10).cast("int"))
-    counts = keyed.groupBy(*g, "__bucket").agg(F.count("*").alias("__c"))
+    # ids and keys only, written once: the counts and the boundary bucket don't read the rows again
+    narrow = cut_lineage(keyed.select(*g, "__bucket", "__key", F.col(id_col).alias("__id")))
+    counts = narrow.groupBy(*g, "__bucket").agg(F.count("*").alias("__c"))
     wg = Window.partitionBy(*g)
     wc = Window.partitionBy(*g).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
     counts = (counts.withColumn("__n", F.sum("__c").over(wg))
@@ -143,8 +145,7 @@ def split_train_val(df: DataFrame, id_col: str, by: list[str] | None = None,
                             & (F.col("__cum") >= F.col("__nval"))).select(
         *g, F.col("__bucket").alias("__bb"), (F.col("__nval") - F.col("__cum") + F.col("__c"))
         .alias("__need"))
-    in_bucket = keyed.select(*g, "__bucket", "__key", F.col(id_col).alias("__id")).join(
-        F.broadcast(boundary), g).where(F.col("__bucket") == F.col("__bb"))
+    in_bucket = narrow.join(F.broadcast(boundary), g).where(F.col("__bucket") == F.col("__bb"))
     wr = Window.partitionBy(*g).orderBy("__key", "__id")
     thresholds = (in_bucket.withColumn("__r", F.row_number().over(wr))
                   .where(F.col("__r") == F.col("__need"))

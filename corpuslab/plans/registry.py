@@ -178,8 +178,8 @@ SELECT lang, CAST(count(*) AS BIGINT) AS loaded,
        round(sum(CASE WHEN split = 'val' THEN 1 ELSE 0 END) * 100.0 / count(*), 2) AS val_pct
 FROM split GROUP BY lang""")
 def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2."""
-    return pj.split_counts(pj.split_docs(_docs(spark, sf_dir)))
+    """A2: needs the ids of the loaded documents only, so their texts are read once."""
+    return pj.split_counts(pj.split_docs(written_table(_docs(spark, sf_dir).select("lang", "doc_id"), "ids")))
 
 
 @register("byte_totals", _SPLIT_CTE + """
