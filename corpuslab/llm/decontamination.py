@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import free_name, quoted, read
 
 WIDTH = 10
 #: Bound of one broadcast, in benchmark words (about 100 bytes each once hashed).
@@ -161,17 +161,15 @@ def decontamination_digest(docs: DataFrame, benchmark: DataFrame, **params) -> D
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The documents without any hit word, with their columns as they are."""
     own = docs.columns
-    d = scan_documents(docs.withColumnsRenamed({c: f"_own_{c}" for c in own}).withColumn("text", F.col("_own_text")),
-                       benchmark, **params)
-    return d.where(F.size("scan.starts") == 0).select(*[F.col(f"_own_{c}").alias(c) for c in own])
+    d = scan_documents(docs.select(F.struct(*map(quoted, own)).alias("own"), "text"), benchmark, **params)
+    return d.where(F.size("scan.starts") == 0).select("own.*")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """All documents with the hit words cut out of ``text`` (from the first character of a
     run's first word to the last of its last word); other columns stay."""
     own = docs.columns
-    d = scan_documents(docs.withColumnsRenamed({c: f"_own_{c}" for c in own}).withColumn("text", F.col("_own_text")),
-                       benchmark, **params)
+    d = scan_documents(docs.select(F.struct(*map(quoted, own)).alias("own"), "text"), benchmark, **params)
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
@@ -192,7 +190,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
         return pd.Series(out, dtype=object)
 
     text = without("text", "scan.starts", "scan.ends")
-    return d.select(*[text.alias("text") if c == "text" else F.col(f"_own_{c}").alias(c) for c in own])
+    rows = d.select("own.*", text.alias(free_name(docs, "left")))
+    return rows.select(*[quoted(free_name(docs, "left")).alias("text") if c == "text" else quoted(c) for c in own])
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, broadcast_if_small, cut, mix, read, shared_table, shingle_hashes
+from .common import WordIds, broadcast_if_small, cut, mix, quoted, read, shared_table, shingle_hashes
 from .components import connected_components
 from .overlap import blocked, family_roots
 from .stars import shared_buckets, star_links
@@ -184,18 +184,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def remove_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group (the smallest doc_id) with its columns; of rows sharing a
-    doc_id one stays. Rows without words or doc_id stay."""
+    """One document of each group (the smallest doc_id) with its columns; of rows sharing
+    doc_id and text one stays. Rows without words or doc_id stay."""
+    own = [quoted(c) for c in docs.columns]
     found = shared_table(near_duplicates(docs, width, percent), "minhash-groups")
     gone = cut(found.where("component_id <> doc_id").select("doc_id").distinct())
     again = cut(found.where("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
                 .select("doc_id"))
-    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(broadcast_if_small(gone), "doc_id", "left_anti").select(*own)
     if again.limit(1).count() == 0:
         return kept
     repeated = broadcast_if_small(again)
     return (kept.join(repeated, "doc_id", "left_anti")
-            .unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns))
+            .unionByName(kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*own))
 
 
 def op1_minhash_dedup(spark, sf_dir: str) -> DataFrame:

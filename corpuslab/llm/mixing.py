@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, cut, n_words, read, shared_table
+from .common import broadcast_if_small, cut, n_words, quoted, read, shared_table
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -129,7 +129,7 @@ def repeat_documents(docs: DataFrame, **params) -> DataFrame:
     sized = docs.select("doc_id", "source", size.alias("size"))
     sized = shared_table(sized, "mix-sizes")
     plan = mixing_plan(sized, **params)
-    full = docs.select("doc_id", "source", size.alias("size"), F.struct(*own).alias("row"))
+    full = docs.select("doc_id", "source", size.alias("size"), F.struct(*map(quoted, own)).alias("row"))
     t = with_taken(full, plan, params.get("seed", SEED)).where("taken > 0")
     t = t.select("*", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))).alias("copy"))
     t = t.withColumn("copy_words", F.least(F.col("size"), F.col("taken") - (F.col("copy") - 1) * F.col("size")))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, words
+from .common import SPACE_CHARS, quoted, words
 
 #: Function words of the four languages of the corpus.
 STOP_WORDS = list(dict.fromkeys(("the of and to in is that it for was with as be by on not "
@@ -86,7 +86,7 @@ def with_statistics(docs: DataFrame, text: str = "text", prefix: str = "_q_") ->
     # a generator of one row: a filter on the statistics isn't pushed below it, where their
     # arrays would be built again for every element that a lambda visits
     stats = F.inline(F.array(F.struct(*[v.cast("long").alias(prefix + k) for k, v in values.items()])))
-    return out.select(*docs.columns, stats)
+    return out.select(*map(quoted, docs.columns), stats)
 
 
 def base_failed(prefix: str = "") -> Column:
@@ -119,8 +119,11 @@ def quality_digest(docs: DataFrame, rules=RULES) -> DataFrame:
 
 def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """The documents that every rule accepts, with their columns as they are."""
-    d = with_statistics(docs)
-    return d.where(~base_failed("_q_") & verdict("_q_", rules)).select(*docs.columns)
+    prefix = "_q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    d = with_statistics(docs, prefix=prefix)
+    return d.where(~base_failed(prefix) & verdict(prefix, rules)).select(*map(quoted, docs.columns))
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:

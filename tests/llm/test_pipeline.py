@@ -47,3 +47,21 @@ def test_stages(spark, sf001):
             assert all(before[k] == t for k, t in after.items())
         docs = out
     assert corpus_pipeline.run(spark, sf001).count() == docs.count()
+
+
+def test_stages_with_odd_columns_and_rows(spark, sf001):
+    """Clashing and dotted names, nulls, repeated rows; and empty tables. (No such text is of quality.)"""
+    long = " ".join(f"the word{i} and some more of it" for i in range(60))
+    rows = [(1, long), (1, long), (1, long + " but not the same text"), (2, None), (None, long + "\nwith a null id"), (3, ""),
+            (4, "of the and " * 30_000), (5, " ".join(f"the other{i} line is new here" for i in range(40)))]
+    docs = spark.createDataFrame([(i, t, None, None, len(t or "")) for i, t in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("_q_n_words", "a.b", "key", "gone", "_own_text", "node"):
+        docs = docs.withColumn(name, F.lit(7))
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.shared_table(stage(spark, docs, sf001), "test-odd")
+        assert out.columns[:len(docs.columns)] == docs.columns, name
+        assert {r["a.b"] for r in out.collect()} == ({7} if name != "quality rules" else set()), name
+        assert stage(spark, docs.limit(0), sf001).count() == 0, name
+    left = corpus_pipeline.near_dedup(spark, docs, sf001)
+    assert sorted(str(r["doc_id"]) for r in left.collect()) == ["1", "1", "2", "3", "4", "5", "None"]
