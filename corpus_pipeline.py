@@ -2,6 +2,13 @@
 
 ``run`` applies the stages to ``documents``; every stage reads what the one before wrote
 (Parquet in the shared folder), so a lost executor costs at most one stage.
+
+Cases: null, empty and blank texts have no words and fail the quality rules; a null doc_id, lang or
+source is kept (a null doc_id is never a duplicate, a null source is a source); of rows with equal
+doc_id and text near dedup keeps one, repeated lines of different documents go from the later one;
+very long texts are taken whole; extra columns are carried along, whatever their names (the mix
+adds `copy` and `copy_words` in place of columns of these names); an empty table gives an empty
+table. Ties have no effect but in the mix, where places by hash decide.
 """
 
 from __future__ import annotations
