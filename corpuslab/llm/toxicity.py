@@ -58,7 +58,17 @@ SUSPICIOUS = re.compile(r"[^\W\d_][^\w\s]+[^\W_]|[0-9@$!|+€£*#][^\W\d_]|[^\W\
 REPEATED = re.compile(r"(.)\1\1")
 PUNCTUATION = ".,;:?!\"'()"
 SPACED = re.compile(r"(?<!\S)[a-z0-9@$!|](?: [a-z0-9@$!|]){2,}(?!\S)")
-EDGES = re.compile(r"^[^\w@$!|+]+|[^\w@$]+$|[@$!]{3,}$")
+HEAD, TAIL, MARKS = re.compile(r"[^\w@$!|+]+"), re.compile(r"[^\w@$]+"), re.compile(r"[@$!]{3,}")
+
+
+def without_edges(token: str) -> str:
+    """``token`` without punctuation at its ends, in time linear in its length: the end is matched on the
+    reversed token, as a search for a run up to the end would start at every mark of a long ruler."""
+    found = HEAD.match(token)
+    token = token[found.end():] if found else token
+    back = token[::-1]
+    ends = [m.end() for m in (TAIL.match(back), MARKS.match(back)) if m]
+    return token[:len(token) - max(ends, default=0)]
 
 
 class Decoder:
@@ -84,7 +94,7 @@ class Decoder:
             if bare.isalpha():
                 odd = REPEATED.search(bare)
             else:
-                bare = EDGES.sub("", token)
+                bare = without_edges(token)
                 odd = SUSPICIOUS.search(bare)
             found = self.decode(bare) if odd else bare
             if len(self.known) >= MAX_CACHED:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
@@ -174,6 +176,17 @@ def test_secret_links(spark):
     assert got[6] == [[(0, 1), (21, 4)]] and got[107] == [[]] and got[103] == [[], []] and got[None] == [[]]
 
 
+def test_edges_of_tokens():
+    """As one pattern over the whole token, and in linear time for rulers."""
+    rng, one = random.Random(23), re.compile(r"^[^\w@$!|+]+|[^\w@$]+$|[@$!]{3,}$")
+    for _ in range(20_000):
+        token = "".join(rng.choice("ab1_.,!@$|+-é") for _ in range(rng.randrange(1, 9)))
+        assert toxicity.without_edges(token) == one.sub("", token), token
+    start = time.time()
+    assert toxicity.without_edges("a" + "." * 300_000 + "b") == "a" + "." * 300_000 + "b"
+    assert time.time() - start < 1
+
+
 def test_toxicity(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet")
     labels = spark.read.parquet(f"{sf01}/labels.parquet")
