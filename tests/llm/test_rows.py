@@ -6,6 +6,7 @@ import random
 import re
 import sys
 import time
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -213,30 +214,86 @@ def test_toxicity(spark, sf01):
 
 def test_scoring(spark, sf01):
     docs = spark.read.parquet(f"{sf01}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
-    vocabulary = scoring.vocabulary_of(docs)
-    assert len(vocabulary) == scoring.N_WORDS and vocabulary == scoring.vocabulary_of(docs.repartition(5))
-    flat = scoring.trained(docs, vocabulary)
-    p, ids = scoring.unpack(flat), scoring.Tokens(vocabulary)
-    tokens = np.concatenate([ids.of(r["text"]) for r in docs.limit(60).collect()])
-    around = scoring.neighbours(tokens)
-    learnt = scoring.log_probabilities(p, tokens, around).mean()
-    assert learnt > scoring.log_probabilities(scoring.unpack(scoring.initial()), tokens, around).mean() + 0.5
+    counts = scoring.word_counts(docs)
+    net = scoring.net_for(counts.count())
+    vocabulary = scoring.vocabulary_of(counts, net)
+    again = scoring.vocabulary_of(scoring.word_counts(docs.repartition(5)), net)
+    assert len(vocabulary) == net.n_words and vocabulary == again
+    table = scoring.numbered(docs, net, vocabulary, 2)
+    p = net.unpack(scoring.trained(table, net))
+    rows = [r["tokens"] for r in table.where("hashes is null").limit(60).collect()]
+    tokens, around = next(scoring.windows(np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows]), net.pad, 1 << 20))
+    learnt = scoring.log_probabilities(net, p, tokens, around).mean()
+    assert learnt > scoring.log_probabilities(net, net.unpack(net.initial()), tokens, around).mean() + 0.5
     # all probabilities at one place sum to one
-    every = np.arange(1024)
-    assert abs(np.exp(scoring.log_probabilities(p, every, np.repeat(around[:1], 1024, 0))).sum() - 1) < 1e-3
+    every = np.arange(net.n_tokens)
+    assert abs(np.exp(scoring.log_probabilities(net, p, every, np.repeat(around[:1], net.n_tokens, 0))).sum() - 1) < 1e-3
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "the of and"), (3, "the of and"), (4, "the " * 150_000)], "doc_id long, text string")
     got = [tuple(r) for r in scoring.score_documents(rows).orderBy("doc_id").collect()]
     assert got[0] == (1, 0, 0.0, None) and got[2] == got[3] and got[4][1] == 150_000
     assert scoring.score_documents(rows.limit(0)).count() == 0
+    blank = spark.createDataFrame([(1, None), (2, " "), (None, "")], "doc_id long, text string")
+    assert sorted((tuple(r) for r in scoring.score_documents(blank).collect()), key=str) == [
+        (1, 0, 0.0, None), (2, 0, 0.0, None), (None, 0, 0.0, None)]
+
+
+def test_scores_against_brute_force(spark, sf001, monkeypatch):
+    """Scores of all documents, word by word in plain Python from the same parameters; small blocks."""
+    monkeypatch.setattr(scoring, "BLOCK", 500)
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text")
+    kept = {}
+
+    def remembered(table, net, rounds=2):
+        kept["net"], kept["flat"] = net, real(table, net, rounds)
+        return kept["flat"]
+
+    real = scoring.trained
+    monkeypatch.setattr(scoring, "trained", remembered)
+    got = {r["doc_id"]: r for r in scoring.score_documents(docs).collect()}
+    texts = {r["doc_id"]: scoring.split_words((r["text"] or "").encode()) for r in docs.collect()}
+    net, p = kept["net"], {k: v.astype(np.float64) for k, v in kept["net"].unpack(kept["flat"]).items()}
+    digest = {w: scoring.xxhash.xxh64_intdigest(w) for t in texts.values() for w in t}
+    counts = Counter(digest[w] for t in texts.values() for w in t)
+    ranked = sorted(counts, key=lambda h: (-counts[h], h - 2 ** 64 if h >= 2 ** 63 else h))
+    token = {h: k if k < net.n_words else net.n_words + (h >> 1) % net.n_other for k, h in enumerate(ranked)}
+    shared = Counter()
+    for h, k in token.items():
+        shared[k] += counts[h]
+
+    def log_softmax(z):
+        return z - z.max() - np.log(np.exp(z - z.max()).sum())
+
+    assert len(got) == len(texts)
+    for doc_id, t in list(texts.items())[::5]:
+        row = [net.pad] * 2 + [token[digest[w]] for w in t] + [net.pad] * 2
+        want = 0.0
+        for i, w in enumerate(t, 2):
+            x = np.concatenate([p["embed"][row[i + k]] for k in (-2, -1, 1, 2)])
+            h = np.tanh(x @ p["inner"] + p["inner_b"])
+            c, place = divmod(row[i], net.classes)
+            want += log_softmax(h @ p["cls"] + p["cls_b"])[c] + log_softmax(h @ p["word"][c] + p["word_b"][c])[place]
+            want += np.log(counts[digest[w]] / shared[row[i]])
+        assert got[doc_id]["n_tokens"] == len(t)
+        assert abs(got[doc_id]["log_likelihood"] - want) < 1e-3 * max(1.0, abs(want)), doc_id
+
+
+def test_rare_words_score_below_prose(spark, sf01):
+    """Words that no other document has are less likely than running text, as are shuffled words."""
+    docs = spark.read.parquet(f"{sf01}/documents.parquet").where("lang = 'en'").select("doc_id", "text")
+    prose = docs.where("length(text) between 2000 and 8000").orderBy("doc_id").limit(20).collect()
+    rng = random.Random(1)
+    odd = [(-1 - k, " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(300))) for k in range(20)]
+    got = {r["doc_id"]: r["per_token"] for r in scoring.score_documents(docs.union(spark.createDataFrame(odd, docs.schema))).collect()}
+    assert max(got[k] for k, _ in odd) < min(got[r["doc_id"]] for r in prose)
 
 
 def test_gradient_of_the_window_network():
     """One small step lowers the loss of its batch."""
     rng = np.random.default_rng(1)
-    tokens = rng.integers(0, 1023, 512)
-    around = scoring.neighbours(tokens)
-    t = scoring.Trainer(scoring.initial())
-    before = scoring.log_probabilities(t.p, tokens, around).mean()
+    net = scoring.Net(32)
+    tokens, around = next(scoring.windows(rng.integers(0, 1023, 512), np.array([512]), net.pad, 512))
+    t = scoring.Trainer(net, net.initial())
+    before = scoring.log_probabilities(net, t.p, tokens, around).mean()
     for _ in range(20):
         t.step(tokens, around)
-    assert scoring.log_probabilities(t.p, tokens, around).mean() > before + 0.1
+    assert scoring.log_probabilities(net, t.p, tokens, around).mean() > before + 0.1
