@@ -55,7 +55,7 @@ DIM, HIDDEN = 12, 16
 ROUNDS = 2
 BATCH, RATE = 8_192, 0.04
 CHUNK = 32_768
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 SEED = 7
 OFFSETS = [k for k in range(-REACH, REACH + 1) if k]
 
@@ -69,6 +69,7 @@ class Net:
         self.pad = c * c - 1
         self.n_other = c * c // 16 - 1
         self.n_words = c * c - 1 - self.n_other
+        self.number = np.dtype(np.uint16 if c * c <= 1 << 16 else np.int32)  # how a token is written
         self.shapes = {"embed": (c * c, DIM), "inner": (2 * REACH * DIM, HIDDEN), "inner_b": (HIDDEN,),
                        "cls": (HIDDEN, c), "cls_b": (c,), "word": (c, HIDDEN, c), "word_b": (c, c)}
         self.size = sum(int(np.prod(s)) for s in self.shapes.values())
@@ -286,7 +287,7 @@ class Codes(dict):
 def numbered(docs: DataFrame, net: Net, vocabulary: list[int], rounds: int) -> DataFrame:
     """Documents as token numbers, written once.
 
-    Rows of documents: ``block, doc_id, turn`` (the training round), ``tokens`` (32-bit numbers),
+    Rows of documents: ``block, doc_id, turn`` (the training round), ``tokens`` (numbers of type ``net.number``),
     ``outside`` (32-bit numbers of the outside words in the block, in order of occurrence). One row
     a block holds ``hashes`` of its outside words instead.
     """
@@ -307,7 +308,7 @@ def numbered(docs: DataFrame, net: Net, vocabulary: list[int], rounds: int) -> D
         def documents(doc_id, held) -> pa.RecordBatch:
             lengths = [len(x) for _, x in held]
             codes = np.fromiter((c for _, x in held for c in x), np.int64, sum(lengths))
-            tokens, other = ids.tokens(codes), codes >= net.n_tokens
+            tokens, other = ids.tokens(codes).astype(net.number), codes >= net.n_tokens
             ends = np.cumsum(lengths)
             out = ([], [])
             for s, e in zip(ends - lengths, ends, strict=True):
@@ -338,10 +339,10 @@ def numbered(docs: DataFrame, net: Net, vocabulary: list[int], rounds: int) -> D
     return shared_table(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema), "lm-tokens")
 
 
-def joined(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """32-bit numbers of all rows of a binary column, and how many each row has."""
+def joined(column: pa.ChunkedArray | pa.Array, number: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all rows of a binary column, and how many each row has."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows], np.int64)
+    return np.frombuffer(b"".join(rows), number), np.array([len(r) // number.itemsize for r in rows], np.int64)
 
 
 def trained(table: DataFrame, net: Net, rounds: int = ROUNDS) -> np.ndarray:
@@ -354,7 +355,7 @@ def trained(table: DataFrame, net: Net, rounds: int = ROUNDS) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
             t = Trainer(net, start.value)
             for batch in batches:
-                tokens, lengths = joined(batch.column("tokens"))
+                tokens, lengths = joined(batch.column("tokens"), net.number)
                 for piece, around in windows(tokens, lengths, net.pad, BATCH):
                     t.step(piece, around)
             if t.seen:  # position -1 holds the weight
@@ -386,14 +387,14 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         p = net.unpack(flat)
         log_n = np.zeros(len(outside))
         log_n[outside["at"].to_numpy()] = np.log(outside["n"].to_numpy())
-        tokens, lengths = joined(block["tokens"])
+        tokens, lengths = joined(block["tokens"], net.number)
         total = np.zeros(len(tokens))
         at = 0
         for piece, around in windows(tokens, lengths, net.pad, CHUNK):
             total[at:at + len(piece)] = log_probabilities(net, p, piece, around)
             at += len(piece)
         other = np.flatnonzero(tokens >= net.n_words)
-        total[other] += log_n[joined(block["outside"])[0]] - log_shared[tokens[other] - net.n_words]
+        total[other] += log_n[joined(block["outside"], np.dtype(np.int32))[0]] - log_shared[tokens[other] - net.n_words]
         ends = np.cumsum(lengths)
         sums = np.concatenate(([0.0], np.cumsum(total)))
         s = sums[ends] - sums[ends - lengths]

@@ -222,7 +222,7 @@ def test_scoring(spark, sf01):
     table = scoring.numbered(docs, net, vocabulary, 2)
     p = net.unpack(scoring.trained(table, net))
     rows = [r["tokens"] for r in table.where("hashes is null").limit(60).collect()]
-    tokens, around = next(scoring.windows(np.frombuffer(b"".join(rows), np.int32), np.array([len(r) // 4 for r in rows]), net.pad, 1 << 20))
+    tokens, around = next(scoring.windows(*scoring.joined(scoring.pa.array(rows), net.number), net.pad, 1 << 20))
     learnt = scoring.log_probabilities(net, p, tokens, around).mean()
     assert learnt > scoring.log_probabilities(net, net.unpack(net.initial()), tokens, around).mean() + 0.5
     # all probabilities at one place sum to one
