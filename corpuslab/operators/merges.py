@@ -2,25 +2,24 @@
 
 Greedy learning takes the most frequent pair, merges it in all words and starts again:
 thousands of steps, each of which needs counts over all words. Here a round of Spark jobs
-settles many steps at once:
-
-1. *Propose.* Per language, greedy learning over the most frequent words (a bounded sample)
-   proposes the next steps. The true pair counts are its starting point, and a step's effect
-   on the sample is scaled to the pair's true count.
-2. *Trace.* Tasks apply the proposed steps to all words and add up what each step does to the
-   count of each pair: ``(lang, pair, step, change)``, with the counts at the start as step -1.
-   A task sends one row per pair and step it changes, whatever the number of words.
-3. *Verify.* The running sum of a pair's changes is its count over all words before each step.
-   The first step at which another pair had a better count (or the smaller pair of equal
-   counts) ends the accepted prefix; the first step is always right, as it starts from true
-   counts, so every round makes progress.
-4. Accepted steps are applied to the word table, and the next round starts from there.
-
-The result is that of one step at a time, whatever the sample: a larger sample only means fewer
-rounds, and one round if it holds all words. Order of steps: count desc, left id, right id.
-
-What the driver holds is bounded by the vocabulary size: merges, proposals and their counts.
-The trace has at most a row per step and neighbouring symbol, independent of the corpus.
+settles many steps at once, exactly:
+
+1. *Count.* The counts of all pairs over all words. Two neighbouring symbols, however they were merged,
+   were once the pair at the same place, so a pair that a later step makes is no more frequent than
+   the pair it grew from. While the best count is ``t`` or more, no step merges across a pair of
+   a count under ``t``.
+2. *Cut.* So words are cut between the symbols of such pairs. Equal pieces are added up (most words
+   share theirs), pieces of one symbol dropped. ``t`` is the lowest of some levels at which a language
+   has no more than ``sample_words`` pieces, counted by a sample of their hashes; at the highest
+   level only the most frequent pairs are left, and their pieces are few.
+3. *Merge.* Greedy learning over the pieces, in a task a language, is that over all words down to a
+   count of ``t``.
+4. The steps are applied to the word table, and the next round starts from there.
+
+The result is that of one step at a time, whatever the number of pieces: more only mean fewer
+rounds, and one round if all words may be held. Order of steps: count desc, left id, right id.
+
+What the driver holds is bounded by parameters: merges, and the ``MAX_PAIRS`` most frequent pairs a language.
 Symbols 0-255 are bytes, merges get 256, 257, ...
 """
 
@@ -33,21 +32,22 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslab.session import drop_table, written_table
 
-#: Words of a language that the proposal sees (about 1 kB each in its task), and the steps it makes
-#: at least, if it doesn't see all. Both change the number of rounds only.
+#: Pieces of a language that its task may hold (about 1 kB each); changes the number of rounds only.
 SAMPLE_WORDS = 400_000
-FIRST_BATCH = 128
+#: Most frequent pairs of a language among which words may stay uncut, and those of the highest level;
+#: a level has twice the pairs of the one above.
+MAX_PAIRS, LEAST_PAIRS = 1 << 17, 8
+#: One in so many hashes of pieces is counted.
+HASHES = 64
 #: Bits of a symbol id in packed pairs and steps (ids stay below 2 ** 20).
 BITS = 20
 MASK = (1 << BITS) - 1
-PAIR = (1 << 2 * BITS) - 1
-#: Changes that a task holds before it passes them on.
-HELD_CHANGES = 500_000
 #: Words up to so many symbols are searched step by step, longer ones with a heap.
 SHORT_WORD = 24
 
@@ -69,6 +69,13 @@ class Merges:
 # ---------------------------------------------------------------- inside tasks
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A finaliser with good avalanche for 64-bit values (wraps modulo 2**64)."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 def merge_word(s: list[int], ranks: dict[int, tuple[int, int]], changes: dict | None = None, weight: int = 0) -> list[int]:
     """``s`` after all merges of ``ranks`` (packed pair -> (step, new id)), lowest step first and
     left to right. With ``changes``, what each step does to pair counts is added there, by
@@ -155,6 +162,12 @@ def propose(words: list[list[int]], freqs: list[int], true: dict[int, int] | Non
             min_freq: int) -> list[tuple[int, int]]:
     """The next ``steps`` pairs that greedy learning over ``words`` takes. ``true`` holds the counts
     of pairs over all words, if these are only some."""
+    return [(a, b) for a, b, _ in greedy(words, freqs, true, steps, first_id, min_freq)]
+
+
+def greedy(words: list[list[int]], freqs: list[int], true: dict[int, int] | None, steps: int, first_id: int,
+           min_freq: int) -> list[tuple[int, int, int]]:
+    """``propose`` with the pairs' counts: ``(left, right, count)``."""
     counts: dict[int, float] = defaultdict(int)
     where: dict[int, set[int]] = defaultdict(set)
     for k, (s, f) in enumerate(zip(words, freqs, strict=True)):
@@ -167,13 +180,14 @@ def propose(words: list[list[int]], freqs: list[int], true: dict[int, int] | Non
     out = []
     while heap and len(out) < steps:
         n, pair = heapq.heappop(heap)
-        if guess[pair] != -n:
+        n = -n
+        if guess[pair] != n:
             continue  # changed since
-        if -n < min_freq or n == 0:
+        if n < min_freq or n == 0:
             break
         left, right, new = pair >> BITS, pair & MASK, first_id + len(out)
-        out.append((left, right))
-        ratio = 1 if true is None or counts[pair] <= 0 else -n / counts[pair]
+        out.append((left, right, n))
+        ratio = 1 if true is None or counts[pair] <= 0 else n / counts[pair]
         changes: dict[int, int] = defaultdict(int)
         for k in where.pop(pair, ()):
             old = words[k]
@@ -192,82 +206,6 @@ def propose(words: list[list[int]], freqs: list[int], true: dict[int, int] | Non
     return out
 
 
-# ---------------------------------------------------------------- jobs
-
-
-def _with_sampled(words: DataFrame, sample_words: int) -> DataFrame:
-    """``words`` with ``sampled``: about the ``sample_words`` most frequent of each language. The
-    limit comes from the number of words per frequency, and by hash within one frequency."""
-    per = words.groupBy("lang", "freq").agg(F.count(F.lit(1)).alias("n"))
-    above = Window.partitionBy("lang").orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-    edge = per.where((F.col("above") < sample_words)).groupBy("lang").agg(
-        F.min_by(F.struct("freq", "n", "above"), "freq").alias("e"))
-    part = F.least(F.lit(1.0), (sample_words - F.col("e.above")) / F.col("e.n"))
-    place = F.pmod(F.xxhash64("syms"), F.lit(1 << 20)) / float(1 << 20)
-    sampled = (F.col("freq") > F.col("e.freq")) | ((F.col("freq") == F.col("e.freq")) & (place < part))
-    return words.join(F.broadcast(edge), "lang").select("lang", "freq", "syms", sampled.alias("sampled"))  # a row a language
-
-
-def _pair_counts(words: DataFrame) -> DataFrame:
-    n = F.size("syms")
-    left, right = F.slice("syms", 1, n - 1), F.slice("syms", 2, n - 1)
-    pair = F.zip_with(left, right, lambda a, b: F.shiftleft(a.cast("bigint"), BITS).bitwiseOR(b.cast("bigint")))
-    return words.where(n > 1).select("lang", "freq", F.explode(pair).alias("pair")) \
-        .groupBy("lang", "pair").agg(F.sum("freq").alias("n"))
-
-
-def _proposals(words: DataFrame, complete: dict[str, bool], steps: dict[str, int], first_id: dict[str, int],
-               min_freq: int) -> dict[str, list[tuple[int, int]]]:
-    """The next steps of each language, from one task a language over its sample."""
-
-    def run(sample: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        lang = (sample if len(sample) else pairs)["lang"].iloc[0]
-        true = None if complete[lang] else dict(zip(pairs["pair"].tolist(), pairs["n"].tolist(), strict=True))
-        found = propose([x.tolist() for x in sample["syms"]], sample["freq"].tolist(), true, steps[lang], first_id[lang], min_freq)
-        return pd.DataFrame([(lang, k, a, b) for k, (a, b) in enumerate(found)], columns=["lang", "step", "l", "r"], dtype=object)
-
-    partial = [lang for lang in steps if not complete[lang]]
-    pairs = _pair_counts(words.where(F.col("lang").isin(partial)))
-    rows = (words.where("sampled").select("lang", "freq", "syms").groupBy("lang").cogroup(pairs.groupBy("lang"))
-            .applyInPandas(run, "lang string, step int, l int, r int").collect())  # at most the vocabulary size
-    out = {lang: [] for lang in steps}
-    for r in sorted(rows, key=lambda r: (r.lang, r.step)):
-        out[r.lang].append((r.l, r.r))
-    return out
-
-
-def _ranks(steps: dict[str, list[tuple[int, int]]], first_id: dict[str, int]) -> dict[str, dict[int, tuple[int, int]]]:
-    return {lang: {a << BITS | b: (k, first_id[lang] + k) for k, (a, b) in enumerate(s)} for lang, s in steps.items()}
-
-
-def _trace(words: DataFrame, ranks: dict) -> DataFrame:
-    """``(lang, pair, step, change)`` of applying the steps to all words; step -1 has the counts before."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, dict[int, int]] = defaultdict(lambda: defaultdict(int))
-
-        def flush() -> Iterator[pd.DataFrame]:
-            for lang, changes in held.items():
-                key = np.fromiter(changes.keys(), np.int64, len(changes))
-                yield pd.DataFrame({"lang": pd.Series([lang] * len(key), dtype=object), "pair": key & PAIR, "step": (key >> 2 * BITS) - 1,
-                                    "change": np.fromiter(changes.values(), np.int64, len(changes))})
-            held.clear()
-
-        for batch in batches:
-            for lang, freq, syms in zip(batch["lang"], batch["freq"].tolist(), batch["syms"], strict=True):
-                s, changes = syms.tolist(), held[lang]
-                for a, b in zip(s, s[1:]):
-                    changes[a << BITS | b] += freq
-                merge_word(s, ranks[lang], changes, freq)
-            if sum(map(len, held.values())) > HELD_CHANGES:
-                yield from flush()
-        yield from flush()
-
-    rows = words.select("lang", "freq", "syms").mapInPandas(run, "lang string, pair bigint, step bigint, change bigint")
-    return rows.groupBy("lang", "pair", "step").agg(F.sum("change").alias("change")).where("change <> 0")
-
-
 def first_beaten(counts: np.ndarray, pairs: np.ndarray, pair: np.ndarray, value: np.ndarray, start: np.ndarray,
                  end: np.ndarray) -> np.ndarray:
     """For each row the first step in ``start .. end`` at which ``pair`` with a count of ``value`` comes
@@ -284,81 +222,196 @@ def first_beaten(counts: np.ndarray, pairs: np.ndarray, pair: np.ndarray, value:
     return out
 
 
-def _accepted(trace: DataFrame, steps: dict[str, list[tuple[int, int]]], min_freq: int) -> tuple[dict, dict]:
-    """Per language how many steps are those of greedy learning over all words, and the steps' counts."""
-    spark = trace.sparkSession
-    chosen = spark.createDataFrame([(lang, a << BITS | b, k) for lang, s in steps.items() for k, (a, b) in enumerate(s)],
-                                   "lang string, pair bigint, at bigint")
-    found = trace.join(F.broadcast(chosen), ["lang", "pair"]).where("step < at") \
-        .groupBy("lang", "at").agg(F.sum("change").alias("n")).collect()  # at most the vocabulary size
-    counts = {lang: np.zeros(len(s), np.int64) for lang, s in steps.items()}
-    for r in found:
-        counts[r.lang][r.at] = r.n
-    pairs = {lang: np.array([a << BITS | b for a, b in s], np.int64) for lang, s in steps.items()}
-
-    @F.pandas_udf("bigint")
-    def beaten(lang: pd.Series, pair: pd.Series, value: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-        out = np.zeros(len(lang), np.int64)
-        for x in lang.unique():
-            of = (lang == x).to_numpy()
-            out[of] = first_beaten(counts[x], pairs[x], *(c.to_numpy()[of] for c in (pair, value, start, end)))
-        return pd.Series(out)
-
-    by = Window.partitionBy("lang", "pair").orderBy("step")
-    spans = trace.select("lang", "pair", F.sum("change").over(by).alias("value"), (F.col("step") + 1).alias("start"),
-                         F.coalesce(F.lead("step").over(by), F.lit(1 << 40)).alias("end")).where(F.col("value") >= min_freq)
-    first = {r.lang: r.first for r in spans.groupBy("lang").agg(
-        F.min(beaten("lang", "pair", "value", "start", "end")).alias("first")).collect()}
+# ---------------------------------------------------------------- jobs
+
+
+def _pair_counts(words: DataFrame) -> DataFrame:
+    n = F.size("syms")
+    left, right = F.slice("syms", 1, n - 1), F.slice("syms", 2, n - 1)
+    pair = F.zip_with(left, right, lambda a, b: F.shiftleft(a.cast("bigint"), BITS).bitwiseOR(b.cast("bigint")))
+    return words.where(n > 1).select("lang", "freq", F.explode(pair).alias("pair")) \
+        .groupBy("lang", "pair").agg(F.sum("freq").alias("n"))
+
+
+def _levels(pairs: DataFrame, min_freq: int) -> dict[str, list[int]]:
+    """Per language the counts, rising, that pairs of a level have at least; the first is ``min_freq`` if no
+    more than ``MAX_PAIRS`` pairs have it. Languages without such pairs are left out."""
+    per = pairs.where(F.col("n") >= max(min_freq, 1)).groupBy("lang", "n").agg(F.count(F.lit(1)).alias("pairs"))
+    down = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    per = per.select("lang", "n", F.sum("pairs").over(down).alias("upto"))
+    sizes = [LEAST_PAIRS << k for k in range((MAX_PAIRS // LEAST_PAIRS).bit_length())]
+    lowest = [F.min(F.when(F.col("upto") <= size, F.col("n"))).alias(f"n{size}") for size in sizes]
     out = {}
-    for lang, s in steps.items():
-        rare = np.flatnonzero(counts[lang] < min_freq)
-        out[lang] = min(len(s), first.get(lang, len(s)), int(rare[0]) if len(rare) else len(s))
-    return out, counts
+    for r in per.groupBy("lang").agg(F.max("n").alias("top"), F.max("upto").alias("all"), *lowest).collect():  # a row a language
+        found = {r.top} | {r[f"n{size}"] for size in sizes if r[f"n{size}"] is not None}
+        if r["all"] <= MAX_PAIRS:
+            found.add(max(min_freq, 1))
+        out[r.lang] = sorted(found)
+    return out
+
+
+class _Cutter:
+    """What a task needs to cut words: the pairs of the lowest levels and their counts."""
+
+    def __init__(self, pairs: DataFrame, levels: dict[str, list[int]]):
+        self.langs = {lang: k for k, lang in enumerate(levels)}
+        lowest = None
+        for lang, counts in levels.items():
+            mine = (F.col("lang") == lang) & (F.col("n") >= counts[0])
+            lowest = mine if lowest is None else lowest | mine
+        rows = pairs.where(lowest).toArrow()  # at most MAX_PAIRS a language, or those of the best count
+        lang = np.array([self.langs[x] for x in rows["lang"].to_pylist()], np.int64)
+        key = lang << 2 * BITS | rows["pair"].to_numpy()
+        order = np.argsort(key)
+        self.key, self.n = key[order], rows["n"].to_numpy()[order]
+
+    def symbols(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The symbols of all words, their words and languages, and the counts of the pairs that they end
+        (0 for the first of a word)."""
+        column = batch.column("syms")
+        lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        word = np.repeat(np.arange(len(lengths)), lengths)
+        lang = np.array([self.langs[x] for x in batch.column("lang").to_pylist()], np.int64)[word]
+        n = np.zeros(len(flat), np.int64)
+        if len(flat) > 1:
+            key = lang[1:] << 2 * BITS | flat[:-1] << BITS | flat[1:]
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            n[1:] = np.where((self.key[at] == key) & (word[1:] == word[:-1]), self.n[at], 0)
+        return flat, word, lang, n
+
+
+def _pieces(n: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of two or more symbols whose pairs have a count of ``least``."""
+    start = np.flatnonzero(n < least)
+    end = np.append(start[1:], len(n))
+    some = end - start > 1
+    return start[some], end[some]
+
+
+def _cutting_counts(words: DataFrame, cutter, levels: dict[str, list[int]], most: int) -> dict[str, int]:
+    """Per language the lowest level with at most ``most`` different pieces, by a sample of their hashes."""
+    step = np.uint64(0x9E3779B97F4A7C15)
+    back = np.uint64(pow(int(step), -1, 1 << 64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter.value
+        table = np.zeros((len(levels), max(map(len, levels.values()))), np.int64)
+        for lang, k in cut.langs.items():
+            table[k] = 1 << 62
+            table[k, :len(levels[lang])] = levels[lang]
+        for batch in batches:
+            flat, _, lang, n = cut.symbols(batch)
+            if not len(flat):
+                continue
+            # a piece's hash: the sum of its symbols' hashes times powers by place, from its start on
+            power, inverse = np.full(len(flat), step), np.full(len(flat), back)
+            power[0] = inverse[0] = 1
+            power, inverse = np.multiply.accumulate(power), np.multiply.accumulate(inverse)
+            total = np.append(np.uint64(0), np.cumsum(mix(flat.astype(np.uint64) + np.uint64(1)) * power))
+            for level in range(table.shape[1]):
+                start, end = _pieces(n, table[lang, level])
+                h = mix((total[end] - total[start]) * inverse[start])
+                some = h % np.uint64(HASHES) == 0
+                found = np.unique(np.stack((lang[start][some], h[some].view(np.int64))), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found[0]), pa.array(np.full(found.shape[1], level)), pa.array(found[1])], ["k", "level", "h"])
+
+    rows = words.select("lang", "syms").mapInArrow(run, "k bigint, level bigint, h bigint") \
+        .groupBy("k", "level").agg(F.count_distinct("h").alias("n")).collect()  # a row a language and level
+    count = {(r.k, r.level): r.n * HASHES for r in rows}
+    return {lang: next((t for j, t in enumerate(levels[lang]) if count.get((k, j), 0) <= most), levels[lang][-1])
+            for k, lang in enumerate(levels)}
+
+
+def _cut_words(words: DataFrame, cutter, least: dict[str, int]) -> DataFrame:
+    """``(lang, syms, freq)``: the different pieces of all words, cut at pairs of a count under ``least``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = cutter.value
+        table = np.array([least[lang] for lang in cut.langs], np.int64)
+        for batch in batches:
+            flat, word, lang, n = cut.symbols(batch)
+            if not len(flat):
+                continue
+            start, end = _pieces(n, table[lang])
+            inside = np.zeros(len(flat) + 1, np.int64)
+            inside[start] += 1
+            np.subtract.at(inside, end, 1)
+            offsets = np.append(0, np.cumsum(end - start)).astype(np.int32)
+            syms = pa.ListArray.from_arrays(offsets, pa.array(flat[np.cumsum(inside[:-1]) > 0].astype(np.int32)))
+            at = pa.array(word[start])
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(at), syms, batch.column("freq").take(at)],
+                                             ["lang", "syms", "freq"])
+
+    return words.select("lang", "freq", "syms").mapInArrow(run, "lang string, syms array<int>, freq bigint") \
+        .groupBy("lang", "syms").agg(F.sum("freq").alias("freq"))
+
+
+def _next_steps(pieces: DataFrame, least: dict[str, int], steps: dict[str, int], first_id: dict[str, int]
+                ) -> dict[str, list[tuple[int, int, int]]]:
+    """The next steps of each language down to its least count, from one task a language over its pieces."""
+
+    def run(mine: pd.DataFrame) -> pd.DataFrame:
+        lang = mine["lang"].iloc[0]
+        found = greedy([x.tolist() for x in mine["syms"]], mine["freq"].tolist(), None, steps[lang], first_id[lang], least[lang])
+        return pd.DataFrame([(lang, k, *x) for k, x in enumerate(found)], columns=["lang", "step", "l", "r", "n"], dtype=object)
+
+    rows = pieces.groupBy("lang").applyInPandas(run, "lang string, step int, l int, r int, n bigint").collect()  # at most the vocabulary size
+    out = {lang: [] for lang in steps}
+    for r in sorted(rows, key=lambda r: (r.lang, r.step)):
+        out[r.lang].append((r.l, r.r, r.n))
+    return out
 
 
-def _applied(words: DataFrame, ranks: dict) -> DataFrame:
+def _applied(words: DataFrame, steps: dict[str, list[tuple[int, int, int]]], first_id: dict[str, int]) -> DataFrame:
     """``words`` after the steps; languages without any stay."""
+    ranks = words.sparkSession.sparkContext.broadcast({
+        lang: {a << BITS | b: (k, first_id[lang] + k) for k, (a, b, _) in enumerate(s)} for lang, s in steps.items()})
 
     @F.pandas_udf("array<int>")
     def run(lang: pd.Series, syms: pd.Series) -> pd.Series:
-        return pd.Series([merge_word(s.tolist(), ranks.get(x, {})) for x, s in zip(lang, syms, strict=True)], dtype=object)
+        return pd.Series([merge_word(s.tolist(), ranks.value.get(x, {})) for x, s in zip(lang, syms, strict=True)], dtype=object)
 
     return words.withColumn("syms", run("lang", "syms"))
 
 
 def learn_merges(words: DataFrame, num_merges: int | dict[str, int], min_freq: int = 1,
-                 sample_words: int = SAMPLE_WORDS, first_batch: int = FIRST_BATCH) -> Merges:
+                 sample_words: int = SAMPLE_WORDS, first_batch: int | None = None) -> Merges:
     """Up to ``num_merges`` merges per language from ``(lang, freq, syms)``, fewer where no pair of a
-    count of ``min_freq`` is left. ``sample_words`` and ``first_batch`` change the rounds, not the result."""
-    plain = words.select("lang", "freq", "syms").repartition("lang", "syms")
-    state = written_table(_with_sampled(plain, sample_words), "bpe-words")
+    count of ``min_freq`` is left. ``sample_words``, the pieces a task may hold, and ``first_batch``, the
+    steps of a round if not as many as come, change the rounds, not the result."""
+    sc = words.sparkSession.sparkContext
+    state = written_table(words.where("lang is not null").select("lang", "freq", "syms").repartition("lang", "syms"), "bpe-words")
     # a row per language and byte
-    symbols = state.select("lang", "sampled", F.explode(F.array_distinct("syms")).alias("b")).groupBy("lang") \
-        .agg(F.collect_set("b").alias("bytes"), F.bool_and("sampled").alias("complete")).collect()
-    complete = {r.lang: r.complete for r in symbols}
+    symbols = state.select("lang", F.explode(F.array_distinct("syms")).alias("b")).groupBy("lang") \
+        .agg(F.collect_set("b").alias("bytes")).collect()
     result = Merges({r.lang: [] for r in symbols}, {r.lang: sorted(r.bytes) for r in symbols})
-    wanted = num_merges if isinstance(num_merges, dict) else dict.fromkeys(complete, num_merges)
-    batch = {lang: wanted[lang] if complete[lang] else min(first_batch, wanted[lang]) for lang in complete}
-    active = [lang for lang in complete if wanted.get(lang, 0) > 0]
+    wanted = num_merges if isinstance(num_merges, dict) else dict.fromkeys(result.merges, num_merges)
+    active = [lang for lang in result.merges if wanted.get(lang, 0) > 0]
     while active:
         result.rounds += 1
-        mine = state.where(F.col("lang").isin(active))
-        first_id = {lang: 256 + len(result.merges[lang]) for lang in active}
-        left = {lang: min(batch[lang], wanted[lang] - len(result.merges[lang])) for lang in active}
-        steps = {k: v for k, v in _proposals(mine, complete, left, first_id, min_freq).items() if v}
-        if not steps:
+        pairs = written_table(_pair_counts(state.where(F.col("lang").isin(active))), "bpe-pairs")
+        levels = _levels(pairs, min_freq)
+        if not levels:
             break
-        trace = written_table(_trace(mine.where(F.col("lang").isin(list(steps))), _ranks(steps, first_id)), "bpe-trace")
-        accepted, counts = _accepted(trace, steps, min_freq)
-        drop_table(trace)
-        taken = {lang: s[:accepted[lang]] for lang, s in steps.items()}
-        for lang, s in taken.items():
-            result.merges[lang] += [(a, b, first_id[lang] + k, int(counts[lang][k])) for k, (a, b) in enumerate(s)]
-            batch[lang] = max(batch[lang], 2 * len(s)) if len(s) == len(steps[lang]) else max(first_batch, 2 * len(s))
-        # a language ends at its size, without a frequent pair, or (below) without any proposal
-        active = [lang for lang in steps if len(result.merges[lang]) < wanted[lang] and taken[lang]]
+        mine = state.where(F.col("lang").isin(list(levels)))
+        first_id = {lang: 256 + len(result.merges[lang]) for lang in levels}
+        left = {lang: wanted[lang] - len(result.merges[lang]) for lang in levels}
+        if first_batch is not None:
+            left = {lang: min(n, first_batch) for lang, n in left.items()}
+        cutter = sc.broadcast(_Cutter(pairs, levels))
+        drop_table(pairs)
+        least = _cutting_counts(mine, cutter, levels, sample_words)
+        steps = _next_steps(_cut_words(mine, cutter, least), least, left, first_id)
+        for lang, s in steps.items():
+            result.merges[lang] += [(a, b, first_id[lang] + k, n) for k, (a, b, n) in enumerate(s)]
+        # a language ends at its size or without a frequent pair
+        active = [lang for lang in steps if len(result.merges[lang]) < wanted[lang]
+                  and (len(steps[lang]) == left[lang] or least[lang] > max(min_freq, 1))]
         if active:
-            old, state = state, written_table(_applied(state, _ranks(taken, first_id)), "bpe-words")
+            old, state = state, written_table(_applied(state.where(F.col("lang").isin(active)), steps, first_id), "bpe-words")
             drop_table(old)
+        cutter.unpersist()
     drop_table(state)
     return result

@@ -198,3 +198,16 @@ def test_eval_variant(spark):
     assert rows == {"en": (7, 4), "eo": (5, 3)}
     rows = {r.lang: r.unk_tokens for r in bpe.unknown_counts(other, bpe.encode_words(other, m, "eval", "en")).collect()}
     assert rows == {"en": 4, "eo": 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_few_rounds_from_few_pieces(spark, seed, monkeypatch):
+    """Words cut at rare pairs give the same merges, and many of them a round, though the task holds
+    a tenth of the words."""
+    rng = random.Random(seed)
+    table = [("x", w, rng.choice([1, 1, 2, 3, 9])) for w in sorted({"".join(rng.choices("abcdefgh", range(8, 0, -1), k=rng.randint(2, 9)))
+                                                                   for _ in range(1_500)})]
+    monkeypatch.setattr(merges, "HASHES", 1)
+    got = bpe.learn_merges(_words(spark, table), 150, min_freq=2, sample_words=len(table) // 10)
+    assert got.merges["x"] == _naive(table, "x", 150, 2)
+    assert 1 < got.rounds < 15
