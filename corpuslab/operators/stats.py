@@ -113,7 +113,8 @@ def bootstrap_rows(scores: DataFrame, keys: list[str] | None = None, n_boot: int
                          .alias("first")).repartition("n", "rep", "first")
     draws = blocks.select("n", "rep", F.explode(F.sequence("first", F.least(F.col("first") + DRAW_BLOCK, F.col("n")) - 1)).alias("j"))
     draws = draws.select("n", "rep", _draw(F.col("rep"), F.col("j"), F.col("n"), seed).alias("pos"))
-    means = draws.join(scores, ["n", "pos"]).groupBy(*keys, "rep").agg(F.avg("val_bpb").alias("m"))
+    # the sizes of exploded rows are guessed far too small: without the hint they are broadcast through the driver
+    means = draws.hint("merge").join(scores, ["n", "pos"]).groupBy(*keys, "rep").agg(F.avg("val_bpb").alias("m"))
     q = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("p"))
     point = scores.groupBy(*keys).agg(F.avg("val_bpb").alias("mean"), F.count("*").cast("bigint").alias("n"))
     return point.join(q, keys).select(*keys, "mean", F.col("p")[0].alias("ci_lo"), F.col("p")[1].alias("ci_hi"), "n")
