@@ -9,16 +9,16 @@ one occurrence of each connected group is kept: the first by (doc_id, line numbe
 
 Lines under ``SHORT`` words also get keys of word pairs: an edit changes at most two pairs, so
 similar lines have most in common, and the first few of each (``n_keys``), from the rarest on, must
-share one (prefix filter). A SimHash of few words differs too much after one edit.
+share one (prefix filter). A SimHash of few words differs too much after one edit. Members of such a bucket
+are candidates if 64 bits, one set by each word, differ in no more than the allowed edits can change (two each).
 
 ``similarity`` is 1 - (word edits) / (words of the longer line), 0.8 by default. ``least_words`` (1)
 leaves shorter lines alone; lines too short for an edit are linked if equal.
 
 Scale: one row a block and line is shuffled (key, node, 64 bits), once; a second round reads only the
-rows with candidates left. A bucket of any size is read as a stream in order of its members' further
-bits, each compared with the ``WINDOW`` before it: buckets up to that size are searched whole, larger
-ones as if their blocks were some bits wider (each block sorts by other bits first). Keys of many
-thousand members, by a sample, are dealt out by their first further bits. Texts are read again
+rows with candidates left. A bucket of any size is searched whole: it is read as a stream, each member compared
+with all before it. Keys of many thousand members, by a sample, are dealt out in ``GROUPS`` groups, every
+two of which meet in a task. The members of a key that a task compares are held there (32 bytes each). Texts are read again
 for lines with a candidate. A 64-bit line hash that two different lines share (seen by a second
 hash) is left alone.
 
@@ -52,8 +52,8 @@ BITS, BLOCKS, WIDTH = 192, 12, 12
 CELL_RATIO = 1.5
 #: Of the last 64 bits so many agree in a candidate.
 AGREE = 48
-#: Members of a bucket that each is compared with, those next before it.
-WINDOW = 256
+#: Groups of the members of a key that is dealt out.
+GROUPS = 8
 #: Lines under so many words have keys of word pairs, too.
 SHORT = 12
 #: In a key's place for the block: the key is a word pair.
@@ -226,10 +226,13 @@ def runs_of(lines: list[list[bytes]], ids: WordIds, width: int) -> tuple[np.ndar
 
 
 def line_keys(lines: list[list[bytes]], ids: WordIds, ranks: np.ndarray, similarity: float, width: int) -> list[bytes]:
-    """Per line its first runs, by rank and hash, as bytes; a repeated run counts by its number."""
+    """Per line the bits of its words and its first runs, by rank and hash, as bytes; a repeated run counts by its
+    number."""
     if not lines:
         return []
     g, at = runs_of(lines, ids, width)
+    bits = np.uint64(1) << (mix(ids.of([w for line in lines for w in line])) >> np.uint64(58))
+    bits = np.bitwise_or.reduceat(bits, np.cumsum([0, *[len(x) for x in lines[:-1]]]))
     order = np.lexsort((g, at))
     g, at = g[order], at[order]
     place = np.arange(len(g))
@@ -241,7 +244,8 @@ def line_keys(lines: list[list[bytes]], ids: WordIds, ranks: np.ndarray, similar
     lengths = [len(x) for x in lines]
     wanted = {n: n_keys(n, similarity, width) for n in set(lengths)}
     starts = np.searchsorted(at, np.arange(len(lines))).tolist()
-    return [g[i:i + min(wanted[n], n - width + 1)].tobytes() for i, n in zip(starts, lengths, strict=True)]
+    return [bits[k:k + 1].tobytes() + g[i:i + min(wanted[n], n - width + 1)].tobytes()
+            for k, (i, n) in enumerate(zip(starts, lengths, strict=True))]
 
 
 def fuzzy_words(similarity: float) -> int:
@@ -339,57 +343,58 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
             has = np.flatnonzero(pdf["runs"].notna().to_numpy())
             raw = [np.frombuffer(pdf["runs"].iat[i], np.int64) for i in has]
             if raw:
-                at = np.repeat(has, [len(x) for x in raw])
-                yield pd.DataFrame({"key": np.concatenate(raw) | PAIR_KEY, "node": node[at], "rest": rest[at, 0]})
+                many = [len(x) - 1 for x in raw]
+                yield pd.DataFrame({"key": np.concatenate([x[1:] for x in raw]) | PAIR_KEY, "node": node[np.repeat(has, many)],
+                                    "rest": np.repeat([x[0] for x in raw], many)})
 
     return classes.where("sig is not null").select("h", "n", "sig", "runs").mapInPandas(run, "key bigint, node bigint, rest bigint")
 
 
-def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool) -> Iterator[pd.DataFrame]:
-    """Candidates of rows ``(key, node, rest[, label])`` sorted by key and rest.
+def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unlike: int = 64) -> Iterator[pd.DataFrame]:
+    """Candidates of rows ``(key, node, rest[, label][, tile])`` sorted by key, tile and rest.
 
-    A row is compared with the ``WINDOW`` rows of its key before it and with the key's first row. In the first
+    A row is compared with all rows of its key (and tile) before it; those of a word pair are candidates if no more
+    than ``most_unlike`` bits differ. In the first
     round the pairs with the row just before and with the first one are returned as ``(a, b)``, and the rows of other candidates
     as ``(node, null, key, rest)`` for a second round, which returns the candidates of unlike labels."""
-    names = ["key", "node", "rest"] + ([] if first_round else ["label"])
-    tail = [np.zeros(0, np.int64) for _ in names]
-    told = np.zeros(0, bool)
-    leader = None
+    columns, told = None, np.zeros(0, bool)
     for pdf in batches:
         if not len(pdf):
             continue
-        fresh = len(tail[0])
-        columns = [np.concatenate((t, pdf[c].to_numpy(np.int64))) for t, c in zip(tail, names, strict=True)]
-        key, node, rest = columns[:3]
-        label = node if first_round else columns[3]
+        if columns is None:
+            names = [c for c in ("key", "node", "rest", "label", "tile") if c in pdf.columns]
+            columns = {c: np.zeros(0, np.int64) for c in names}
+        fresh = len(told)
+        columns = {c: np.concatenate((t, pdf[c].to_numpy(np.int64))) for c, t in columns.items()}
+        key, node, rest = columns["key"], columns["node"], columns["rest"]
+        label = node if first_round else columns["label"]
         told = np.concatenate((told, np.zeros(len(pdf), bool)))
         live = told.copy()
         a, b = [], []
+        most = np.where((key & 31) == PAIR_KEY, most_unlike, 64 - AGREE)
 
-        def alike(key, one, two):
-            return (np.bitwise_count(one ^ two) <= 64 - AGREE) | ((key & 31) == PAIR_KEY)
+        def alike(i, j):
+            return (label[i] != label[j]) & (np.bitwise_count(rest[i] ^ rest[j]) <= most[i])
 
-        # with the key's first row
-        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        new_run = key[1:] != key[:-1]
+        if "tile" in columns:
+            new_run |= columns["tile"][1:] != columns["tile"][:-1]
+        start = np.flatnonzero(np.concatenate(([True], new_run)))
         lead = np.repeat(start, np.diff(np.append(start, len(key))))
-        lead_node, lead_rest, lead_label = node[lead], rest[lead], label[lead]
-        if leader is not None and leader[0] == key[0]:
-            first = lead == 0
-            lead_node[first], lead_rest[first], lead_label[first] = leader[1:]
+        # with the key's first row
         i = np.arange(fresh, len(key))
-        i = i[(label[i] != lead_label[i]) & alike(key[i], rest[i], lead_rest[i])]
+        i = i[alike(i, lead[i])]
         a.append(node[i])
-        b.append(lead_node[i])
+        b.append(node[lead[i]])
         # with those before
         i = np.arange(fresh, len(key))
-        for d in range(1, WINDOW + 1):
-            i = i[i >= d]
-            i = i[key[i] == key[i - d]]
-            if not len(i):
-                break
-            hit = i[(label[i] != label[i - d]) & alike(key[i], rest[i], rest[i - d])]
+        d = 0
+        while len(i):
+            d += 1
+            i = i[i - lead[i] >= d]
+            hit = i[alike(i, i - d)]
             if first_round and d > 1:
-                hit = hit[node[hit - d] != lead_node[hit]]
+                hit = hit[node[hit - d] != node[lead[hit]]]
                 live[hit] = live[hit - d] = True
             else:
                 a.append(node[hit])
@@ -400,19 +405,21 @@ def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool) -> Iterat
         new = np.flatnonzero(live & ~told)
         if len(new):
             yield pd.DataFrame({"a": node[new], "b": None, "key": key[new], "rest": rest[new]})
-        leader = (key[-1], lead_node[-1], lead_rest[-1], lead_label[-1])
-        tail, told = [x[-WINDOW:] for x in columns], live[-WINDOW:]
+        # the last key may go on
+        columns, told = {c: x[start[-1]:] for c, x in columns.items()}, live[start[-1]:]
 
 
-def searched(rows: DataFrame, hot: DataFrame, first_round: bool) -> DataFrame:
-    """Candidates of the buckets of ``rows``; ``hot`` keys are dealt out by their members' first bits."""
-    salt = F.when(F.col("hot").isNotNull(), F.shiftrightunsigned("rest", 58)).otherwise(F.lit(0))
-    rows = rows.join(hot, "key", "left").withColumn("salt", salt).drop("hot")
+def searched(rows: DataFrame, hot: DataFrame, first_round: bool, most_unlike: int = 64) -> DataFrame:
+    """Candidates of the buckets of ``rows``; ``hot`` keys are dealt out in tiles, one of every two groups of members."""
+    group = F.pmod(F.xxhash64("node"), F.lit(GROUPS))
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda x: (F.least(x, group) * GROUPS + F.greatest(x, group)).cast("bigint"))
+    tile = F.explode(F.when(F.col("hot").isNotNull(), tiles).otherwise(F.array(F.lit(0).cast("bigint"))))
+    rows = rows.join(hot, "key", "left").withColumn("tile", tile).drop("hot")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "key", "salt").sortWithinPartitions("key", "rest", "node").drop("salt")
+    rows = rows.repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "rest", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return bucket_matches(batches, first_round)
+        return bucket_matches(batches, first_round, most_unlike)
 
     return rows.mapInPandas(run, "a bigint, b bigint, key bigint, rest bigint")
 
@@ -454,9 +461,12 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
     some = bucket_rows(classes.where(F.pmod(F.xxhash64("h"), F.lit(HOT_SAMPLE)) == 0))
     hot = cut(some.groupBy("key").agg(F.count(F.lit(1)).alias("hot")).where(F.col("hot") > HOT))
     hot = broadcast_if_small(hot)
-    found = shared_table(searched(bucket_rows(classes), hot, True), "line-candidates")
+    # an edit changes the bits of two words at most
+    most_unlike = 2 * most_edits(SHORT - 1, similarity)
+    found = shared_table(searched(bucket_rows(classes), hot, True, most_unlike), "line-candidates")
     pairs = found.where("b is not null").select("a", "b").distinct()
-    left = found.where("b is null").select(F.col("a").alias("node"), "key", "rest")
+    # the rows of a key that was dealt out come from several tiles
+    left = found.where("b is null").select(F.col("a").alias("node"), "key", "rest").dropDuplicates(["key", "node"])
 
     nodes = found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct()
     wanted = cut(classes.select("h", F.col("first_doc").alias("doc_id")).join(nodes, "h", "left_semi")
@@ -476,7 +486,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
     links = verify(pairs)
     roots = cut(connected_components(links))
     left = left.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    more = searched(left, hot, False).select("a", "b").distinct()
+    more = searched(left, hot, False, most_unlike).select("a", "b").distinct()
     links = links.unionByName(verify(more))
     roots = cut(connected_components(links))
     group = (classes.select("h", "copies", "first_doc").join(roots.withColumnRenamed("node", "h"), "h", "left")

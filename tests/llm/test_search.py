@@ -249,6 +249,39 @@ def test_bucket_matches_are_all_pairs(batch):
     assert first | second == want
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_large_buckets_lose_no_pair(spark, hot):
+    """Like rows far apart in a bucket of 900, in one task and dealt out: both rounds give each pair."""
+    rng = random.Random(5)
+    rests = [rng.getrandbits(63) for _ in range(870)]
+    rests += [x ^ (1 << 61) ^ (1 << 3) for x in rests[:30]]
+    rows = [(64, i, x) for i, x in enumerate(rests)]
+    near = {(i, j) for i in range(900) for j in range(i + 1, 900) if (rests[i] ^ rests[j]).bit_count() <= 64 - lines.AGREE}
+    assert len(near) >= 30
+    hot = spark.createDataFrame([(64, 9)] if hot else [(1, 9)], "key long, hot long")
+    found = lines.searched(spark.createDataFrame(rows, "key long, node long, rest long"), hot, True).collect()
+    first = {(r.a, r.b) for r in found if r.b is not None}
+    left = {(r.key, r.a, r.rest, r.a) for r in found if r.b is None}
+    left = spark.createDataFrame(sorted(left), "key long, node long, rest long, label long")
+    assert first | {(r.a, r.b) for r in lines.searched(left, hot, False).collect()} == near
+
+
+def test_word_bits_keep_all_similar_lines():
+    """Lines of a word pair within the edits allowed differ in no more bits than these can change."""
+    rng, ids = random.Random(6), lines.WordIds()
+    ranks = np.zeros(lines.CELLS, np.uint8)
+    for _ in range(300):
+        one = [rng.choice("abcdefghij").encode() for _ in range(rng.randint(5, 11))]
+        two = list(one)
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(two))
+            two[k:k + rng.randint(0, 1)] = [rng.choice("klmnop").encode()] * rng.randint(0, 1)
+        if not 2 <= len(two) < lines.SHORT or lines.edit_distance(one, two) > lines.most_edits(max(len(one), len(two)), 0.8):
+            continue
+        a, b = (np.frombuffer(x, np.uint64)[0] for x in lines.line_keys([one, two], ids, ranks, 0.8, 2))
+        assert int(a ^ b).bit_count() <= 2 * lines.most_edits(lines.SHORT - 1, 0.8)
+
+
 def test_line_families_in_one_bucket(spark):
     """A thousand variants of one line and a thousand of another: a family each, none lost, the rest stays."""
     rng, rows = random.Random(21), []
