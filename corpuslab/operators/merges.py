@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import drop_table, written_table
 
-#: Pieces of a language that its task may hold (about 1 kB each); changes the number of rounds only.
-SAMPLE_WORDS = 400_000
+#: Pieces of a language that its task may hold (about 0.4 kB each); changes the number of rounds only.
+SAMPLE_WORDS = 1_000_000
 #: Most frequent pairs of a language among which words may stay uncut, and those of the highest level;
 #: a level has twice the pairs of the one above.
 MAX_PAIRS, LEAST_PAIRS = 1 << 17, 8
@@ -206,6 +206,106 @@ def greedy(words: list[list[int]], freqs: list[int], true: dict[int, int] | None
     return out
 
 
+class Pieces:
+    """Pieces as flat arrays: the symbol at each place, the places before and after it (-1 at an end), and the frequency
+    of the piece. A merge changes all its places at once. A pair's count is highest when its newer symbol is made, so the
+    places of pairs of a count under ``least`` are not kept."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, freqs: np.ndarray, least: int = 1):
+        self.least = least
+        n = len(flat)
+        self.sym = flat.astype(np.int64)
+        self.freq = np.repeat(freqs.astype(np.int64), lengths)
+        at = np.arange(n, dtype=np.int32)
+        ends = np.cumsum(lengths)
+        some = lengths > 0
+        self.after, self.before = at + np.int32(1), at - np.int32(1)
+        self.after[ends[some] - 1] = self.before[(ends - lengths)[some]] = -1
+        left = np.flatnonzero(self.after >= 0).astype(np.int32)
+        pair = self.pairs(left)
+        pairs, self.left, first, total = self.grouped(left)
+        self.counts: dict[int, int] = dict(zip(pairs, total, strict=True))
+        #: Places where a pair was at first, and where merges made it (some have changed since).
+        self.span = dict(zip(pairs, zip(first, [*first[1:], len(left)])))
+        self.made: dict[int, list[np.ndarray]] = defaultdict(list)
+
+    def grouped(self, left: np.ndarray) -> tuple[list[int], np.ndarray, list[int], list[int]]:
+        """The pairs at the places ``left``, the places by pair, where each pair's begin, and its frequency there."""
+        if not len(left):
+            return [], left, [], []
+        pair = self.pairs(left)
+        order = np.argsort(pair, kind="stable")
+        pair, left = pair[order], left[order]
+        first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        return pair[first].tolist(), left, first.tolist(), np.add.reduceat(self.freq[left], first).tolist()
+
+    def pairs(self, left: np.ndarray) -> np.ndarray:
+        return self.sym[left] << BITS | self.sym[self.after[left]]
+
+    def places(self, pair: int) -> np.ndarray:
+        """Where ``pair`` is merged: its places from left to right, none within another."""
+        start, end = self.span.pop(pair, (0, 0))
+        at = np.concatenate((self.left[start:end], *self.made.pop(pair, ())))
+        at = np.unique(at[self.after[at] >= 0])
+        at = at[self.pairs(at) == pair]
+        if pair >> BITS == pair & MASK and len(at):
+            # in a run of one symbol every other place
+            place = np.arange(len(at))
+            starts = np.concatenate(([True], self.after[at[:-1]] != at[1:]))
+            at = at[(place - np.maximum.accumulate(np.where(starts, place, 0))) % 2 == 0]
+        return at
+
+    def merge(self, pair: int, new: int) -> set[int]:
+        """Merges ``pair`` everywhere; the other pairs whose counts have changed."""
+        at = self.places(pair)
+        right, before = self.after[at], self.before[at]
+        old = np.concatenate((at, before[before >= 0], right[self.after[right] >= 0]))
+        changed = self._add(np.unique(old), -1)
+        after = self.after[right]
+        self.sym[at], self.sym[right] = new, -1
+        self.after[at], self.after[right] = after, -1
+        self.before[after[after >= 0]] = at[after >= 0]
+        before = self.before[at]
+        changed |= self._add(np.unique(np.concatenate((at[after >= 0], before[before >= 0]))), 1, self.made)
+        self.counts.pop(pair, None)
+        return changed - {pair}
+
+    def _add(self, left: np.ndarray, sign: int, made: dict | None = None) -> set[int]:
+        pairs, left, first, total = self.grouped(left)
+        for p, change in zip(pairs, total, strict=True):
+            self.counts[p] = self.counts.get(p, 0) + sign * change
+        if made is not None:
+            for p, start, end in zip(pairs, first, [*first[1:], len(left)]):
+                if self.counts[p] >= self.least:
+                    made[p].append(left[start:end].copy())
+        return set(pairs)
+
+
+def greedy_pieces(flat: np.ndarray, lengths: np.ndarray, freqs: np.ndarray, steps: int, first_id: int,
+                  min_freq: int) -> list[tuple[int, int, int]]:
+    """``greedy`` over pieces that lie in ``flat`` one after the other."""
+    pieces = Pieces(flat, lengths, freqs, min_freq)
+    counts = pieces.counts
+    heap = [(-n, p) for p, n in counts.items()]
+    heapq.heapify(heap)
+    out = []
+    while heap and len(out) < steps:
+        n, pair = heapq.heappop(heap)
+        n = -n
+        if counts.get(pair) != n:
+            continue  # changed since
+        if n < min_freq or n == 0:
+            break
+        changed = pieces.merge(pair, first_id + len(out))
+        out.append((pair >> BITS, pair & MASK, n))
+        for p in changed:
+            if counts[p] > 0:
+                heapq.heappush(heap, (-counts[p], p))
+            else:
+                del counts[p]
+    return out
+
+
 def first_beaten(counts: np.ndarray, pairs: np.ndarray, pair: np.ndarray, value: np.ndarray, start: np.ndarray,
                  end: np.ndarray) -> np.ndarray:
     """For each row the first step in ``start .. end`` at which ``pair`` with a count of ``value`` comes
@@ -352,12 +452,16 @@ def _next_steps(pieces: DataFrame, least: dict[str, int], steps: dict[str, int],
                 ) -> dict[str, list[tuple[int, int, int]]]:
     """The next steps of each language down to its least count, from one task a language over its pieces."""
 
-    def run(mine: pd.DataFrame) -> pd.DataFrame:
-        lang = mine["lang"].iloc[0]
-        found = greedy([x.tolist() for x in mine["syms"]], mine["freq"].tolist(), None, steps[lang], first_id[lang], least[lang])
-        return pd.DataFrame([(lang, k, *x) for k, x in enumerate(found)], columns=["lang", "step", "l", "r", "n"], dtype=object)
+    def run(mine: pa.Table) -> pa.Table:
+        lang = mine["lang"][0].as_py()
+        syms = mine["syms"].combine_chunks()
+        found = greedy_pieces(syms.flatten().to_numpy(zero_copy_only=False), syms.value_lengths().to_numpy(zero_copy_only=False),
+                              mine["freq"].to_numpy(), steps[lang], first_id[lang], least[lang])
+        left, right, n = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table([pa.array([lang] * len(found), pa.string()), pa.array(range(len(found)), pa.int32()), pa.array(left, pa.int32()),
+                         pa.array(right, pa.int32()), pa.array(n, pa.int64())], ["lang", "step", "l", "r", "n"])
 
-    rows = pieces.groupBy("lang").applyInPandas(run, "lang string, step int, l int, r int, n bigint").collect()  # at most the vocabulary size
+    rows = pieces.groupBy("lang").applyInArrow(run, "lang string, step int, l int, r int, n bigint").collect()  # at most the vocabulary size
     out = {lang: [] for lang in steps}
     for r in sorted(rows, key=lambda r: (r.lang, r.step)):
         out[r.lang].append((r.l, r.r, r.n))

@@ -98,6 +98,27 @@ def test_proposals_from_true_counts(seed):
     assert merges.propose([list(s) for s, _ in some], [f for _, f in some], true, 5, 256, 2)[0] == want[0]
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_pieces_merged_all_at_once(seed):
+    """Flat arrays, runs of one symbol and merges side by side included, give one merge at a time."""
+    rng = random.Random(seed)
+    alphabet = "abcde"[:1 + seed % 5]
+    table = {"".join(rng.choices(alphabet, k=rng.randint(0, 40))): rng.randint(1, 9) for _ in range(rng.randint(0, 30))}
+    table = [(list(w.encode()), f) for w, f in table.items()]
+    least = 1 + seed % 3
+    want = [(a, b, n) for a, b, _, n in naive_merges(table, 60, least)]
+    flat, lengths = np.array([x for s, _ in table for x in s], np.int32), np.array([len(s) for s, _ in table], np.int64)
+    assert merges.greedy_pieces(flat, lengths, np.array([f for _, f in table], np.int64), 60, 256, least) == want
+
+
+def test_pieces_of_half_a_million_words_in_one_round(spark):
+    """More than 400,000 pieces, held as numbers: one round (there were several)."""
+    words = spark.range(450_000).select(F.lit("x").alias("lang"), F.lit(1).cast("bigint").alias("freq"), F.array(
+        *[(97 + F.floor(F.col("id") / 26 ** k) % 26).cast("int") for k in range(4)]).alias("syms"))
+    got = bpe.learn_merges(words, 60)
+    assert got.rounds == 1 and len(got.merges["x"]) == 60
+
+
 def test_first_beaten():
     counts, pairs = np.array([9, 7, 7, 5, 5, 5]), np.array([30, 10, 20, 40, 50, 60])
 
