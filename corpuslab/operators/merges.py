@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 
 from corpuslab.session import drop_table, written_table
 
-#: Pieces of a language that its task may hold (about 0.4 kB each); changes the number of rounds only.
-SAMPLE_WORDS = 1_000_000
+#: Pieces of a language that its task may hold (about 0.8 kB each); changes the number of rounds only.
+SAMPLE_WORDS = 600_000
 #: Most frequent pairs of a language among which words may stay uncut, and those of the highest level;
 #: a level has twice the pairs of the one above.
 MAX_PAIRS, LEAST_PAIRS = 1 << 17, 8
