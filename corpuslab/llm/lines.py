@@ -12,13 +12,16 @@ similar lines have most in common, and the first few of each (``n_keys``), from
 share one (prefix filter). A SimHash of few words differs too much after one edit. Members of such a bucket
 are candidates if 64 bits, one set by each word, differ in no more than the allowed edits can change (two each).
 
+No candidate is a pair whose word counts or word parities (``bags``) differ by more than the allowed edits can change:
+the lines that a SimHash brings together by chance grow with the square of a bucket, and would all be read again.
+
 ``similarity`` is 1 - (word edits) / (words of the longer line), 0.8 by default. ``least_words`` (1)
 leaves shorter lines alone; lines too short for an edit are linked if equal.
 
-Scale: one row a block and line is shuffled (key, node, 64 bits), once; a second round reads only the
+Scale: one row a block and line is shuffled (key, node, twice 64 bits), once; a second round reads only the
 rows with candidates left. A bucket of any size is searched whole: it is read as a stream, each member compared
 with all before it. Keys of many thousand members, by a sample, are dealt out in ``GROUPS`` groups, every
-two of which meet in a task. The members of a key that a task compares are held there (32 bytes each). Texts are read again
+two of which meet in a task. The members of a key that a task compares are held there (40 bytes each). Texts are read again
 for lines with a candidate. A 64-bit line hash that two different lines share (seen by a second
 hash) is left alone.
 
@@ -52,6 +55,8 @@ BITS, BLOCKS, WIDTH = 192, 12, 12
 CELL_RATIO = 1.5
 #: Of the last 64 bits so many agree in a candidate.
 AGREE = 48
+#: Low bits of a bag, which have the number of words; the others have a parity each. MANY: so many words or more.
+COUNT_BITS, MANY = 6, 63
 #: Groups of the members of a key that is dealt out.
 GROUPS = 8
 #: Lines under so many words have keys of word pairs, too.
@@ -130,6 +135,7 @@ class WordBits(dict):
         super().__init__()
         self.new: list[bytes] = []
         self.lanes, self.weights = np.zeros((0, BITS // 8), np.uint64), np.zeros(0, np.int32)
+        self.marks, self.odd = np.zeros(0, np.uint64), np.zeros(0, bool)
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
@@ -144,13 +150,29 @@ class WordBits(dict):
         if n > len(self.lanes):  # room for twice as many, so that rows are seldom copied
             self.lanes = np.concatenate((self.lanes[:old], np.empty((2 * n - old, BITS // 8), np.uint64)))
             self.weights = np.concatenate((self.weights[:old], np.empty(2 * n - old, np.int32)))
+            self.marks = np.concatenate((self.marks[:old], np.empty(2 * n - old, np.uint64)))
+            self.odd = np.concatenate((self.odd[:old], np.empty(2 * n - old, bool)))
         self.lanes[old:n], self.weights[old:n] = bits.view(np.uint64), weights
+        place = np.frombuffer(raw, np.uint64).reshape(-1, BITS // 64)[:, -1] % np.uint64(64 - COUNT_BITS)
+        self.marks[old:n] = np.uint64(1) << (place + np.uint64(COUNT_BITS))
+        # white space beyond ASCII parts words when lines are compared
+        self.odd[old:n] = [not w.isascii() and len(w.decode("utf-8", "surrogatepass").split()) != 1 for w in self.new]
         self.new = []
 
     def simhashes(self, lines: list[list[bytes]]) -> np.ndarray:
         """One row of BITS / 8 bytes a line; all lines have words."""
+        return self.simhashes_and_bags(lines)[0]
+
+    def bags(self, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Per line the number of its words, and bits that each say if words of that bit's place come an odd number of times.
+        Lines that may have other words when compared count as long."""
+        first = np.cumsum(lengths) - lengths
+        n = np.where(np.logical_or.reduceat(self.odd[at], first), MANY, np.minimum(lengths, MANY))
+        return np.bitwise_xor.reduceat(self.marks[at], first) | n.astype(np.uint64)
+
+    def simhashes_and_bags(self, lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         if not lines:
-            return np.zeros((0, BITS // 8), np.uint8)
+            return np.zeros((0, BITS // 8), np.uint8), np.zeros(0, np.uint64)
         if len(self) > MAX_WORDS:
             self.clear()
             self.__init__()
@@ -176,7 +198,7 @@ class WordBits(dict):
         out = sums[first] > (weight >> 1)[:, None]  # a bit that more than half of the weight has
         for i in np.flatnonzero(n_pieces > 1):
             out[i] = sums[first[i]:first[i] + n_pieces[i]].sum(axis=0, dtype=np.int64) > weight[i] >> 1
-        return np.packbits(out, axis=1)
+        return np.packbits(out, axis=1), self.bags(at, lengths)
 
 
 def block_keys(signatures: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -292,7 +314,7 @@ def run_ranks(docs: DataFrame, least_words: int, width: int) -> np.ndarray:
 
 def line_table(docs: DataFrame, similarity: float, least_words: int) -> DataFrame:
     """``(doc_id, version, lines)``: per document the number, two hashes, the number of words, the SimHash and the
-    keys of word pairs (as bytes) of each line with enough words. Lines too short for an edit have no SimHash."""
+    keys of word pairs (as bytes) of each line with enough words. Lines too short for an edit have no SimHash; its bag stands behind it."""
     least = max(least_words, fuzzy_words(similarity))
     width = run_width(similarity, least)
     ranks = docs.sparkSession.sparkContext.broadcast(run_ranks(docs, least, width))
@@ -304,7 +326,8 @@ def line_table(docs: DataFrame, similarity: float, least_words: int) -> DataFram
         def flush(held: list, out: list) -> None:
             fuzzy = [x for _, _, x in held if len(x) >= least]
             short = [x for x in fuzzy if len(x) < SHORT]
-            signatures = iter(bits.simhashes(fuzzy))
+            signatures, bags = bits.simhashes_and_bags(fuzzy)
+            signatures = iter(np.hstack((signatures, bags.view(np.uint8).reshape(-1, 8))))
             runs = iter(line_keys(short, ids, ranks.value, similarity, width))
             for k, pos, words in held:
                 n = len(words)
@@ -330,39 +353,54 @@ def line_table(docs: DataFrame, similarity: float, least_words: int) -> DataFram
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """``(key, node, rest)``: a row for each block, and each word pair key, of ``(h, n, sig, runs)``."""
+    """``(key, node, rest, bag)``: a row for each block, and each word pair key, of ``(h, n, sig, runs)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
             node = pdf["h"].to_numpy(np.int64)
-            signatures = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BITS // 8)
-            key, rest = block_keys(signatures, pdf["n"].to_numpy(np.float64))
-            yield pd.DataFrame({"key": key.reshape(-1), "node": np.repeat(node, BLOCKS), "rest": rest.reshape(-1)})
+            signatures = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(-1, BITS // 8 + 8)
+            bag = np.ascontiguousarray(signatures[:, -8:]).view(np.int64)[:, 0]
+            key, rest = block_keys(signatures[:, :-8], pdf["n"].to_numpy(np.float64))
+            yield pd.DataFrame({"key": key.reshape(-1), "node": np.repeat(node, BLOCKS), "rest": rest.reshape(-1),
+                                "bag": np.repeat(bag, BLOCKS)})
             has = np.flatnonzero(pdf["runs"].notna().to_numpy())
             raw = [np.frombuffer(pdf["runs"].iat[i], np.int64) for i in has]
             if raw:
                 many = [len(x) - 1 for x in raw]
                 yield pd.DataFrame({"key": np.concatenate([x[1:] for x in raw]) | PAIR_KEY, "node": node[np.repeat(has, many)],
-                                    "rest": np.repeat([x[0] for x in raw], many)})
+                                    "rest": np.repeat([x[0] for x in raw], many), "bag": bag[np.repeat(has, many)]})
+
+    return classes.where("sig is not null").select("h", "n", "sig", "runs") \
+        .mapInPandas(run, "key bigint, node bigint, rest bigint, bag bigint")
+
 
-    return classes.where("sig is not null").select("h", "n", "sig", "runs").mapInPandas(run, "key bigint, node bigint, rest bigint")
+def may_be_similar(one: np.ndarray, two: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """If lines of these bags may be similar: ``k`` edits change ``2 * k`` words at most, and one less for each word
+    that the longer line has more. ``allowed``: edits by words of the longer line. Lines of ``MANY`` words always may."""
+    n, m = one & MANY, two & MANY
+    longest, more = np.maximum(n, m), np.abs(n - m)
+    edits = allowed[longest]
+    unlike = np.bitwise_count((one ^ two).view(np.uint64) >> np.uint64(COUNT_BITS))
+    return (longest == MANY) | ((more <= edits) & (unlike <= 2 * edits - more))
 
 
-def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unlike: int = 64) -> Iterator[pd.DataFrame]:
-    """Candidates of rows ``(key, node, rest[, label][, tile])`` sorted by key, tile and rest.
+def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unlike: int = 64,
+                   similarity: float = SIMILARITY) -> Iterator[pd.DataFrame]:
+    """Candidates of rows ``(key, node, rest[, bag][, label][, tile])`` sorted by key, tile and rest.
 
     A row is compared with all rows of its key (and tile) before it; those of a word pair are candidates if no more
     than ``most_unlike`` bits differ. In the first
     round the pairs with the row just before and with the first one are returned as ``(a, b)``, and the rows of other candidates
-    as ``(node, null, key, rest)`` for a second round, which returns the candidates of unlike labels."""
+    as ``(node, null, key, rest, bag)`` for a second round, which returns the candidates of unlike labels."""
     columns, told = None, np.zeros(0, bool)
+    allowed = np.array([most_edits(n, similarity) for n in range(MANY + 1)])
     for pdf in batches:
         if not len(pdf):
             continue
         if columns is None:
-            names = [c for c in ("key", "node", "rest", "label", "tile") if c in pdf.columns]
+            names = [c for c in ("key", "node", "rest", "bag", "label", "tile") if c in pdf.columns]
             columns = {c: np.zeros(0, np.int64) for c in names}
         fresh = len(told)
         columns = {c: np.concatenate((t, pdf[c].to_numpy(np.int64))) for c, t in columns.items()}
@@ -374,7 +412,12 @@ def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unli
         most = np.where((key & 31) == PAIR_KEY, most_unlike, 64 - AGREE)
 
         def alike(i, j):
-            return (label[i] != label[j]) & (np.bitwise_count(rest[i] ^ rest[j]) <= most[i])
+            """Those of the places ``i`` that are candidates with their place of ``j``."""
+            some = (label[i] != label[j]) & (np.bitwise_count(rest[i] ^ rest[j]) <= most[i])
+            i, j = i[some], j[some]
+            if "bag" in columns and len(i):
+                i = i[may_be_similar(columns["bag"][i], columns["bag"][j], allowed)]
+            return i
 
         new_run = key[1:] != key[:-1]
         if "tile" in columns:
@@ -383,7 +426,7 @@ def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unli
         lead = np.repeat(start, np.diff(np.append(start, len(key))))
         # with the key's first row
         i = np.arange(fresh, len(key))
-        i = i[alike(i, lead[i])]
+        i = alike(i, lead[i])
         a.append(node[i])
         b.append(node[lead[i]])
         # with those before
@@ -392,7 +435,7 @@ def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unli
         while len(i):
             d += 1
             i = i[i - lead[i] >= d]
-            hit = i[alike(i, i - d)]
+            hit = alike(i, i - d)
             if first_round and d > 1:
                 hit = hit[node[hit - d] != node[lead[hit]]]
                 live[hit] = live[hit - d] = True
@@ -401,15 +444,16 @@ def bucket_matches(batches: Iterator[pd.DataFrame], first_round: bool, most_unli
                 b.append(node[hit - d])
         a, b = np.concatenate(a), np.concatenate(b)
         if len(a):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": None, "rest": None})
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "key": None, "rest": None, "bag": None})
         new = np.flatnonzero(live & ~told)
         if len(new):
-            yield pd.DataFrame({"a": node[new], "b": None, "key": key[new], "rest": rest[new]})
+            bag = columns["bag"][new] if "bag" in columns else None
+            yield pd.DataFrame({"a": node[new], "b": None, "key": key[new], "rest": rest[new], "bag": bag})
         # the last key may go on
         columns, told = {c: x[start[-1]:] for c, x in columns.items()}, live[start[-1]:]
 
 
-def searched(rows: DataFrame, hot: DataFrame, first_round: bool, most_unlike: int = 64) -> DataFrame:
+def searched(rows: DataFrame, hot: DataFrame, first_round: bool, most_unlike: int = 64, similarity: float = SIMILARITY) -> DataFrame:
     """Candidates of the buckets of ``rows``; ``hot`` keys are dealt out in tiles, one of every two groups of members."""
     group = F.pmod(F.xxhash64("node"), F.lit(GROUPS))
     tiles = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda x: (F.least(x, group) * GROUPS + F.greatest(x, group)).cast("bigint"))
@@ -419,9 +463,9 @@ def searched(rows: DataFrame, hot: DataFrame, first_round: bool, most_unlike: in
     rows = rows.repartition(n, "key", "tile").sortWithinPartitions("key", "tile", "rest", "node")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        return bucket_matches(batches, first_round, most_unlike)
+        return bucket_matches(batches, first_round, most_unlike, similarity)
 
-    return rows.mapInPandas(run, "a bigint, b bigint, key bigint, rest bigint")
+    return rows.mapInPandas(run, "a bigint, b bigint, key bigint, rest bigint, bag bigint")
 
 
 def version(text) -> Column:
@@ -463,10 +507,10 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
     hot = broadcast_if_small(hot)
     # an edit changes the bits of two words at most
     most_unlike = 2 * most_edits(SHORT - 1, similarity)
-    found = shared_table(searched(bucket_rows(classes), hot, True, most_unlike), "line-candidates")
+    found = shared_table(searched(bucket_rows(classes), hot, True, most_unlike, similarity), "line-candidates")
     pairs = found.where("b is not null").select("a", "b").distinct()
     # the rows of a key that was dealt out come from several tiles
-    left = found.where("b is null").select(F.col("a").alias("node"), "key", "rest").dropDuplicates(["key", "node"])
+    left = found.where("b is null").select(F.col("a").alias("node"), "key", "rest", "bag").dropDuplicates(["key", "node"])
 
     nodes = found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct()
     wanted = cut(classes.select("h", F.col("first_doc").alias("doc_id")).join(nodes, "h", "left_semi")
@@ -486,7 +530,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = SIMILARITY, least_words
     links = verify(pairs)
     roots = cut(connected_components(links))
     left = left.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-    more = searched(left, hot, False, most_unlike).select("a", "b").distinct()
+    more = searched(left, hot, False, most_unlike, similarity).select("a", "b").distinct()
     links = links.unionByName(verify(more))
     roots = cut(connected_components(links))
     group = (classes.select("h", "copies", "first_doc").join(roots.withColumnRenamed("node", "h"), "h", "left")

@@ -249,6 +249,33 @@ def test_bucket_matches_are_all_pairs(batch):
     assert first | second == want
 
 
+def test_bags_lose_no_similar_pair():
+    """Lines of one key that agree in all 64 bits are candidates only if their words allow so few edits; words parted by
+    other white space count when lines are compared."""
+    rng, allowed = random.Random(8), np.array([lines.most_edits(n, 0.8) for n in range(lines.MANY + 1)])
+    vocabulary = [f"w{i}" for i in range(300)] + ["a\u00a0b\u2003c", "\u00a0", "caf\u00e9"]
+    near, far = [], []
+    for _ in range(3000):
+        one = rng.choices(vocabulary, k=rng.randint(4, 80))
+        two = list(one)
+        for _ in range(rng.randint(0, len(one) // 4 + 1)):
+            at = rng.randrange(len(two) + 1)
+            two[at:at + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 1))
+        if two and lines.similar(" ".join(one), " ".join(two), 0.8):
+            near.append((one, two))
+        far.append((one[:40], rng.choices(vocabulary[:300], k=len(one[:40]))))
+    assert len(near) > 500
+    of = lines.WordBits().simhashes_and_bags
+    one, two = (of([[w.encode() for w in x[k]] for x in near])[1].view(np.int64) for k in (0, 1))
+    assert lines.may_be_similar(one, two, allowed).all()
+    one, two = (of([[w.encode() for w in x[k] if w.isascii()] or [b"x"] for x in far])[1].view(np.int64) for k in (0, 1))
+    assert lines.may_be_similar(one, two, allowed).mean() < 0.05
+    # one bucket of lines with a word in common: hardly any is left for a second round
+    bag = of([[b"same", *(f"x{k}y{i}".encode() for i in range(15))] for k in range(100)])[1].view(np.int64)
+    rows = pd.DataFrame({"key": 11, "node": range(100), "rest": 5, "bag": bag})
+    assert sum(map(len, lines.bucket_matches(iter([rows]), True))) < 10
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_large_buckets_lose_no_pair(spark, hot):
     """Like rows far apart in a bucket of 900, in one task and dealt out: both rounds give each pair."""
