@@ -13,10 +13,17 @@ A cell's work is B x n expressions in B rows; replicates spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corpuslab.functions.md5 import md5_heads
 from corpuslab.operators.order import with_global_index
+from corpuslab.session import cut_lineage
 
 # The pre-registered criterion.
 RELATIVE_REDUCTION = 0.05
@@ -89,8 +96,13 @@ def bootstrap(cell_df: DataFrame, keys: list[str] | None = None, n_boot: int = B
     return out
 
 
-#: Draws of a replicate that one row is spread into at a time.
-DRAW_BLOCK = 65_536
+#: Draws of a replicate that are made at a time, and blocks of them a task makes.
+DRAW_BLOCK = 1_048_576
+TASK_BLOCKS = 8
+#: What meets in a row: so many scores of each cell (places in a chunk are two bytes), about so many cells, and replicates.
+CHUNK_SCORES = 8_192
+ROW_CELLS = 8
+ROW_REPLICATES = 32
 
 
 def score_rows(runs: DataFrame) -> DataFrame:
@@ -101,22 +113,87 @@ def score_rows(runs: DataFrame) -> DataFrame:
     return with_global_index(r, ["run_ord"], CELL, "pos").join(n, CELL).select(*CELL, "pos", "val_bpb", "n")
 
 
+def _drawn_places(spark: SparkSession, sizes: list[int], n_boot: int, seed: int) -> DataFrame:
+    """``(n, chunk, rep, places)``: the draws of every replicate of cells of n scores, as 16-bit places in the
+    chunks of scores they fall into. Cells of all sizes have the hashes of the draws in common."""
+    blocks = -(-max(sizes, default=0) // DRAW_BLOCK)
+    rows = n_boot * blocks
+    # a row stands for much work, which a count of partitions chosen by its bytes would put into one task
+    tasks = min(max(rows, 1), max(spark.sparkContext.defaultParallelism, -(-rows // TASK_BLOCKS)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.column("id").to_numpy():
+                rep, first = int(row) % n_boot, int(row) // n_boot * DRAW_BLOCK
+                heads = md5_heads(f"{seed}:{rep}:", first, min(first + DRAW_BLOCK, sizes[-1]), tables)
+                for n in sizes:
+                    if n <= first:
+                        continue
+                    pos = heads[:n - first] % np.uint32(n) if n < 1 << 32 else heads[:n - first].copy()
+                    pos.sort()
+                    at = np.append(np.searchsorted(pos, np.arange(0, min(n, 1 << 32), CHUNK_SCORES, dtype=np.uint32)), len(pos))
+                    some = np.flatnonzero(np.diff(at))
+                    places = (pos % np.uint32(CHUNK_SCORES)).astype("<u2")
+                    offsets = np.append(2 * at[some], 2 * len(pos)).astype(np.int32)
+                    yield pa.record_batch({
+                        "n": np.full(len(some), n), "chunk": some, "rep": np.full(len(some), rep, np.int32),
+                        "places": pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(places)])})
+
+    return spark.range(0, rows, 1, tasks).mapInArrow(run, "n bigint, chunk bigint, rep int, places binary")
+
+
+def _chunk_sums(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A row ``(cells, drawn)`` has a chunk of the scores of some cells and draws from it: for each cell and replicate the
+    sum of the scores drawn and their count, without nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cells, drawn in zip(batch.column("cells"), batch.column("drawn"), strict=True):
+                cells, drawn = cells.values, drawn.values
+                draws = [np.frombuffer(x.as_buffer(), "<u2") for x in drawn.field("places")]
+                at, n_each = np.concatenate(draws), np.array([len(x) for x in draws])
+                starts, sums, counts = np.cumsum(n_each) - n_each, [], []
+                for place, value in zip(cells.field("place"), cells.field("value"), strict=True):
+                    place, value = place.values.to_numpy(), value.values
+                    there = value.is_valid().to_numpy(zero_copy_only=False)
+                    total = np.bincount(place, value.fill_null(0.0).to_numpy(), CHUNK_SCORES)
+                    count = np.bincount(place[there], minlength=CHUNK_SCORES)
+                    with np.errstate(invalid="ignore"):  # infinite scores of both signs
+                        sums.append(np.add.reduceat(total[at], starts))
+                    counts.append(n_each if (count == 1).all() else np.add.reduceat(count[at], starts))
+                each = pa.array(np.repeat(np.arange(len(cells)), len(drawn)))
+                yield pa.RecordBatch.from_arrays(
+                    [*[cells.field(k).take(each) for k in keys], pa.concat_arrays([drawn.field("rep")] * len(cells)),
+                     pa.array(np.concatenate(sums)), pa.array(np.concatenate(counts))], [*keys, "rep", "s", "k"])
+
+    return run
+
+
 def bootstrap_rows(scores: DataFrame, keys: list[str] | None = None, n_boot: int = BOOTSTRAP_N,
                    alpha: float = CI_ALPHA, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """E1 for cells of any size, with the draws of ``bootstrap``: every draw is a row (n, replicate,
-    position), made in blocks, joined to the scores at that position of all cells of n scores, and
-    summed (partly before the shuffle) per cell and replicate. Only the ``n_boot`` means of a
-    cell come together."""
+    """E1 for cells of any size, with the draws of ``bootstrap``: the draws of a replicate are made in blocks and
+    dealt to the chunks of scores they fall into, chunks joined to those of all cells of n scores, and their sums
+    added up per cell and replicate. Only the ``n_boot`` means of a cell come together."""
     keys = keys or CELL
-    reps = scores.select("n").distinct().select("n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("rep"))
-    blocks = reps.select("n", "rep", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(DRAW_BLOCK).cast("bigint")))
-                         .alias("first")).repartition("n", "rep", "first")
-    draws = blocks.select("n", "rep", F.explode(F.sequence("first", F.least(F.col("first") + DRAW_BLOCK, F.col("n")) - 1)).alias("j"))
-    draws = draws.select("n", "rep", _draw(F.col("rep"), F.col("j"), F.col("n"), seed).alias("pos"))
-    # the sizes of exploded rows are guessed far too small: without the hint they are broadcast through the driver
-    means = draws.hint("merge").join(scores, ["n", "pos"]).groupBy(*keys, "rep").agg(F.avg("val_bpb").alias("m"))
+    x = F.struct((F.col("pos") % CHUNK_SCORES).cast("smallint").alias("place"), F.col("val_bpb").cast("double").alias("val_bpb"))
+    chunks = cut_lineage(  # read three times
+        scores.select(*keys, "n", F.expr(f"pos div {CHUNK_SCORES}").alias("chunk"), x.alias("x")).repartition("n", "chunk")
+        .groupBy(*keys, "n", "chunk").agg(F.collect_list("x").alias("x"), F.sum("x.val_bpb").alias("s"), F.count("x.val_bpb").alias("k"))
+        .select(*keys, "n", "chunk", F.col("x.place").alias("place"), F.col("x.val_bpb").alias("value"), "s", "k"))
+    # a row for each size; cells of m sizes have m*m/2 scores
+    cells = {r.n: r.cells for r in chunks.groupBy("n", "chunk").count().groupBy("n").agg(F.max("count").alias("cells")).collect()}
+    some = F.pmod(F.hash(*keys), F.lit(-(-max(cells.values(), default=1) // ROW_CELLS)))
+    met = chunks.groupBy("n", "chunk", some.alias("some")).agg(F.collect_list(F.struct(*keys, "place", "value")).alias("cells"))
+    draws = (_drawn_places(scores.sparkSession, sorted(cells), n_boot, seed).repartition("n", "chunk")
+             .groupBy("n", "chunk", F.expr(f"rep div {ROW_REPLICATES}").alias("part")).agg(F.collect_list(F.struct("rep", "places")).alias("drawn")))
+    # the sizes of rows from Python are guessed far too small: without the hint they are broadcast through the driver
+    met = draws.hint("merge").join(met, ["n", "chunk"]).select("cells", "drawn")
+    sums = met.mapInArrow(_chunk_sums(keys), T.StructType([
+        *[scores.schema[k] for k in keys], T.StructField("rep", T.IntegerType()), T.StructField("s", T.DoubleType()), T.StructField("k", T.LongType())]))
+    means = sums.groupBy(*keys, "rep").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("m"))
     q = means.groupBy(*keys).agg(F.percentile("m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("p"))
-    point = scores.groupBy(*keys).agg(F.avg("val_bpb").alias("mean"), F.count("*").cast("bigint").alias("n"))
+    point = chunks.groupBy(*keys).agg(F.try_divide(F.sum("s"), F.sum("k")).alias("mean"), F.sum(F.size("place")).cast("bigint").alias("n"))
     return point.join(q, keys).select(*keys, "mean", F.col("p")[0].alias("ci_lo"), F.col("p")[1].alias("ci_hi"), "n")
 
 
