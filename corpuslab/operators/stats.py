@@ -178,7 +178,7 @@ def bootstrap_rows(scores: DataFrame, keys: list[str] | None = None, n_boot: int
     keys = keys or CELL
     x = F.struct((F.col("pos") % CHUNK_SCORES).cast("smallint").alias("place"), F.col("val_bpb").cast("double").alias("val_bpb"))
     chunks = cut_lineage(  # read three times
-        scores.select(*keys, "n", F.expr(f"pos div {CHUNK_SCORES}").alias("chunk"), x.alias("x")).repartition("n", "chunk")
+        scores.select(*keys, "n", F.expr(f"pos div {CHUNK_SCORES}").alias("chunk"), x.alias("x"))
         .groupBy(*keys, "n", "chunk").agg(F.collect_list("x").alias("x"), F.sum("x.val_bpb").alias("s"), F.count("x.val_bpb").alias("k"))
         .select(*keys, "n", "chunk", F.col("x.place").alias("place"), F.col("x.val_bpb").alias("value"), "s", "k"))
     # a row for each size; cells of m sizes have m*m/2 scores
